@@ -2,11 +2,25 @@
 
 from __future__ import annotations
 
+from .decontaminate import op3_benchmark_decontamination
 from .exact_dedup import OP6_SQL, op6_exact_dedup
+from .jaccard_join import op5_ngram_jaccard_join
+from .language_id import op8_language_id
+from .language_model import op10_lm_scoring
+from .license_scan import OP9_SQL, op9_license_scan
 from .packing import op2_best_fit_packing
+from .substring_dedup import OP7_SQL, op7_substring_dedup
+from .url_filter import op4_url_filter
 
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_benchmark_decontamination": op3_benchmark_decontamination,
+    "op4_url_filter": op4_url_filter,
+    "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_substring_dedup": op7_substring_dedup,
+    "op8_language_id": op8_language_id,
+    "op9_license_scan": op9_license_scan,
+    "op10_lm_scoring": op10_lm_scoring,
 }
-ORACLES = {"op6_exact_dedup": OP6_SQL}
+ORACLES = {"op6_exact_dedup": OP6_SQL, "op7_substring_dedup": OP7_SQL, "op9_license_scan": OP9_SQL}
