@@ -78,7 +78,7 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def sentences_of(text: Column) -> Column:
     """Normalised sentences that have a letter or digit of ASCII."""
     lines = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), ENDS, "\n")
-    return F.filter(F.transform(F.split(F.regexp_replace(lines, r"[^a-z0-9\n]+", " "), "\n"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(F.regexp_replace(lines, r"[^a-z0-9\n]+", " "), "\n"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def _known(sentences: dict[str, list[str]]) -> dict[str, str]:
