@@ -9,10 +9,12 @@ from .language_id import op8_language_id
 from .language_model import op10_lm_scoring
 from .license_scan import OP9_SQL, op9_license_scan
 from .packing import op2_best_fit_packing
+from .pii_surrogates import op1_pii_surrogates
 from .substring_dedup import OP7_SQL, op7_substring_dedup
 from .url_filter import op4_url_filter
 
 QUERIES = {
+    "op1_pii_surrogates": op1_pii_surrogates,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_url_filter": op4_url_filter,
