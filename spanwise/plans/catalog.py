@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import interval_queries  # noqa: F401
+from .registry import REGISTRY
+
+QUERIES = REGISTRY.queries
+ORACLES = REGISTRY.sql
