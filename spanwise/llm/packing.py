@@ -16,14 +16,14 @@ An empty table gives an empty result. Other columns are ignored.
 
 from __future__ import annotations
 
-import unicodedata
+import functools
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -43,82 +43,105 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@functools.cache
+def _classes() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """By byte: a random number, the lower-case byte, the kind (0 space, 1 letter, 2 digit, 3 other), and what makes a word odd."""
+    lower, kind, odd = np.arange(256, dtype=np.uint8), np.full(256, 3), np.zeros(256, bool)
+    lower[65:91] += 32
+    kind[[32, *range(9, 14)]] = 0
+    kind[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+    kind[48:58] = 2
+    odd[: 32] = kind[:32] > 0
+    odd[[0x27, 0x7F, 0xC2, *range(0xC4, 0x100)]] = True
+    return wordhash.mix(np.arange(1, 257, dtype=np.uint64)), lower, kind.astype(np.uint8), odd
+
+
 class WordTokenizer:
     """Ids of a BPE tokenizer that works word by word and drops white space.
 
-    Equal to `Tokenizer.encode(text, add_special_tokens=False).ids`, but each distinct
-    word goes through the merges once. Words with letters beyond Latin ones, or with
-    what may be a special token, go through the tokenizer itself.
+    Equal to `Tokenizer.encode(text, add_special_tokens=False).ids`, but each distinct part
+    of a word (its letters, a digit, or other characters) goes through the merges once. Words
+    with characters beyond ASCII and the Latin-1 letters, with an apostrophe, or with what
+    may be a special token, go through the tokenizer itself, whole.
     """
 
-    PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+|\n")
-    PLAIN = regex.compile(r"[\x21-\x7eÀ-ſ\n]*")
-
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.model = self.whole.model
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         # the usual printable stand-ins of byte-level BPE
         self.stand_in = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
-        self.parts: dict[str, list[int]] = {}
-        self.words: dict[bytes, np.ndarray] = {}
-
-    def _part(self, part: str) -> list[int]:
-        ids = self.parts.get(part)
-        if ids is None:
-            spelled = part if part.isascii() else part.encode().decode("latin-1").translate(self.stand_in)
-            ids = self.parts[part] = [t.id for t in self.model.tokenize(spelled)]
-        return ids
-
-    def learn(self, words: list[bytes]) -> None:
-        """Makes the ids of words not met before."""
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
-        if len(self.parts) > REMEMBERED:
-            self.parts.clear()
-        plain, odd = [], []
-        for w in words:
-            if w not in self.words:
-                text = w.decode("utf-8", "replace")
-                (plain if self.PLAIN.fullmatch(text) and "<|" not in text else odd).append((w, text))
-        ids, at = [], 0
-        for part in self.PARTS.findall(unicodedata.normalize("NFC", "\n".join(t for _, t in plain) + "\n").lower()) if plain else ():
-            if part == "\n":
-                self.words[plain[at][0]] = np.array(ids, np.int32)
-                ids, at = [], at + 1
-            else:
-                ids += self._part(part)
-        for w, text in odd:
-            self.words[w] = np.array(self.whole.encode(text, add_special_tokens=False).ids, np.int32)
+        self._forget()
+
+    def _forget(self) -> None:
+        #: Number of each unit met, the ids of all one after the other, and where each unit's begin.
+        self.number: dict[bytes, int] = {}
+        self.ids, self.begin = array("i"), array("q", [0])
+
+    def units(self, buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Start, end and hash of each unit, whether it is an odd word, and the bytes as units spell them."""
+        table, lower, kinds, odd = _classes()
+        kind, low, strange = kinds[buf], lower[buf], odd[buf]
+        after = np.flatnonzero(buf[:-1] == 0xC3) + 1
+        strange[after] |= (buf[after] == 0x97) | (buf[after] == 0xB7)
+        capital = after[(buf[after] >= 0x80) & (buf[after] <= 0x9E) & (buf[after] != 0x97)]
+        low[capital] += 0x20
+        strange[:-1] |= (buf[:-1] == 0x3C) & (buf[1:] == 0x7C)
+        word = kind > 0
+        split = word & ((kind != np.append(0, kind[:-1])) | (kind == 2))
+        at_odd = np.zeros(len(buf), bool)
+        if strange.any():
+            start, end = wordhash.spans(buf)
+            seen = np.append(0, np.cumsum(strange))
+            which = seen[end] > seen[start]
+            edge = np.zeros(len(buf) + 1, np.int8)
+            edge[start[which]] += 1
+            edge[end[which]] -= 1
+            at_odd = np.cumsum(edge[:-1], dtype=np.int8) > 0
+            split &= ~at_odd
+            split[start[which]] = True
+            low = np.where(at_odd, buf, low)
+        last = word & np.append(split[1:] | ~word[1:], True)
+        start, end = np.flatnonzero(split), np.flatnonzero(last) + 1
+        up, down = wordhash._powers(wordhash._room(len(buf) + 1))
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(table[low] * up[: len(buf)], dtype=np.uint64)])
+        return start, end, wordhash.mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)), at_odd[start], low
+
+    def learn(self, units: list[bytes], odd: list[bool]) -> np.ndarray:
+        """Numbers of the units; makes the ids of those not met before."""
+        if len(self.number) > REMEMBERED:
+            self._forget()
+        number, ids, begin, model = self.number, self.ids, self.begin, self.whole.model
+        out = []
+        for unit, is_odd in zip(units, odd, strict=True):
+            key = b"\0" + unit if is_odd else unit
+            n = number.get(key)
+            if n is None:
+                if is_odd:
+                    ids.extend(self.whole.encode(unit.decode("utf-8", "replace"), add_special_tokens=False).ids)
+                else:
+                    ids.extend([t.id for t in model.tokenize(unit.decode() if unit.isascii() else unit.decode("latin-1").translate(self.stand_in))])
+                n = number[key] = len(number)
+                begin.append(len(ids))
+            out.append(n)
+        return np.array(out, np.int64)
 
     def encode(self, group: list[bytes]) -> Iterator[np.ndarray]:
         """Ids of each text."""
-        joined = b" ".join(group)
-        buf = np.frombuffer(joined, np.uint8)
-        start, end = wordhash.spans(buf)
-        keys, _, _ = wordhash._hash_block(buf, False)
-        # the tokenizer ignores case but for special tokens, so the number of capitals is enough
-        upper = np.concatenate([[0], np.cumsum((buf >= 65) & (buf <= 90))])
-        keys = keys ^ wordhash.mix((upper[end] - upper[start]).astype(np.uint64) * np.uint64(3))
+        start, end, keys, odd, low = self.units(np.frombuffer(b" ".join(group), np.uint8))
         _, first, which = np.unique(keys, return_index=True, return_inverse=True)
-        words = [joined[s:e] for s, e in zip(start[first].tolist(), end[first].tolist(), strict=True)]
-        self.learn(words)
-        known = [self.words[w] for w in words]
-        count = np.array([len(x) for x in known], np.int64)
-        flat = np.concatenate(known) if known else np.zeros(0, np.int32)
-        begin = np.cumsum(count) - count
-        bounds = np.searchsorted(start, np.cumsum([0] + [len(x) + 1 for x in group]))
+        spelled = low.tobytes()
+        number = self.learn([spelled[s:e] for s, e in zip(start[first].tolist(), end[first].tolist(), strict=True)], odd[first].tolist())
+        flat, begin = np.array(self.ids, np.int32), np.array(self.begin, np.int64)
+        count = (begin[number + 1] - begin[number])[which]
+        begin = begin[number][which]
+        to = np.cumsum(count)
+        ids = flat[np.repeat(begin - (to - count), count) + np.arange(to[-1] if len(to) else 0)]
+        bounds = np.append(0, to)[np.searchsorted(start, np.cumsum([0] + [len(x) + 1 for x in group]))]
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            w = which[a:b]
-            n = count[w]
-            if not n.sum():
-                yield np.zeros(0, np.int32)
-                continue
-            to = np.cumsum(n)
-            yield flat[np.repeat(begin[w] - (to - n), n) + np.arange(to[-1])]
+            yield ids[a:b]
 
 
 def pieces_of(tokenizer: str, size: int = SIZE):
@@ -128,7 +151,7 @@ def pieces_of(tokenizer: str, size: int = SIZE):
         tok = WordTokenizer(tokenizer)
         for batch in found:
             ids = batch.column(0).to_pylist()
-            for first, group in wordhash.batches(batch.column(1).to_pylist(), size=wordhash.BLOCK):
+            for first, group in wordhash.batches(batch.column(1).to_pylist(), size=2 * wordhash.BLOCK):
                 out = defaultdict(list)
                 for k, tokens in enumerate(tok.encode(group)):
                     tokens = np.append(tokens, 0).astype("<u4")
