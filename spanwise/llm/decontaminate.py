@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .scratch import ship, table
+from .scratch import broadcast_if_small, materialize, ship, table
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -164,7 +164,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that hold no item. A row with a null id cannot be referred to and stays."""
-    leaking = find_leaks(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("leaking_id")).distinct()
+    leaking = broadcast_if_small(materialize(find_leaks(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("leaking_id")).distinct(), "leaking"))
     return docs.join(leaking, docs[id_col] == leaking["leaking_id"], "left_anti")
 
 

@@ -1,7 +1,7 @@
 """Exact deduplication with a heavy-hitter split, in DataFrame operations only.
 
 A Misra-Gries summary of the text digests (the frequent-items sketch behind
-`approx_top_k`, kept per task and merged, `TRACKED` counters) names the digests that
+`approx_top_k`, kept per task and merged in two steps, `TRACKED` counters) names the digests that
 may be frequent. An aggregation that combines on the map side verifies their groups,
 and the verified winners, at most `HEAVY` rows, are broadcast, so rows of frequent
 groups never travel. A digest that the summary leaves out occurs in about
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .scratch import materialize, table
+from .scratch import broadcast_if_small, frequent_values, materialize, table
 
 #: Digests whose groups may be settled by broadcast, and counters of the summary.
 HEAVY, TRACKED = 256, 4096
@@ -32,9 +32,9 @@ def text_digest(text: Column) -> Column:
 
 
 def frequent_digests(rows: DataFrame) -> DataFrame:
-    """At most HEAVY values of `digest`, among them all that fill over HEAVY / TRACKED of the rows."""
-    found = rows.select(F.expr(f"approx_top_k(hex(digest), {HEAVY}, {TRACKED})").alias("top"))
-    return found.select(F.explode("top").alias("item")).where("item.count > 1").select(F.unhex("item.item").alias("digest"))
+    """At most HEAVY values of `digest`, the most frequent of those in the summary."""
+    found = frequent_values(rows.select(F.hex("digest").alias("digest")), "digest", HEAVY, TRACKED)
+    return found.where("count > 1").select(F.unhex("item").alias("digest"))
 
 
 def mark_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -67,7 +67,7 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """The rows of `docs` that stay, with the columns of `docs`."""
     marks = mark_exact_duplicates(docs, id_col, text_col).where("not kept").select(F.col(id_col).alias("id"), "digest", "keep_id")
     gone = materialize(marks, "duplicates")
-    dropped = gone.where("id <> keep_id").select("id").distinct()
+    dropped = broadcast_if_small(gone.where("id <> keep_id").select("id").distinct())
     stays = docs.join(dropped, docs[id_col] == dropped["id"], "left_anti")
     again = gone.where("id = keep_id").select("id").distinct()
     if again.isEmpty():

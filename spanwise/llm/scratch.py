@@ -10,6 +10,7 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,3 +52,24 @@ def ship(df: DataFrame) -> DataFrame:
         sc.addPyFile(_archive())
         sc._spanwise_shipped = True
     return df
+
+
+#: Rows of one id each, 8 bytes or so, up to which a materialised table is broadcast.
+BROADCAST_IDS = 1_000_000
+
+
+def broadcast_if_small(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """`ids` with a broadcast hint if it is counted to have at most `most` rows; beyond that Spark shuffles both sides."""
+    return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
+
+
+def frequent_values(df: DataFrame, column: str, most: int, tracked: int, groups: int = 64) -> DataFrame:
+    """At most `most` values of `column` with upper bounds of their counts: columns item and count.
+
+    Misra-Gries summaries with `tracked` counters, made in each task, merged in `groups` groups of
+    tasks and then to one: any value that fills over 1 / (0.75 * tracked) of the rows is among them.
+    """
+    summed = df.groupBy(F.pmod(F.spark_partition_id(), F.lit(groups)).alias("part")).agg(F.expr(f"approx_top_k_accumulate({column}, {tracked})").alias("summary"))
+    merged = summed.agg(F.expr(f"approx_top_k_combine(summary, {tracked})").alias("summary"))
+    top = merged.select(F.explode(F.expr(f"approx_top_k_estimate(summary, {most})")).alias("x"))
+    return top.select("x.item", "x.count")
