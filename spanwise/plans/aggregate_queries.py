@@ -16,7 +16,7 @@ from .registry import REGISTRY
 
 KEY, ORDER = ["sample_id"], ["start_sec", "note_seq"]
 r6 = lambda c: F.round(c, 6)
-DUR = F.col("end_sec") - F.col("start_sec")
+dur = lambda: F.col("end_sec") - F.col("start_sec")
 BY = "(PARTITION BY sample_id ORDER BY start_sec, note_seq)"
 
 
@@ -28,7 +28,7 @@ def f1_pitch_range(spark, sf):
 @REGISTRY.query("f2_ornament_filter", f"WITH {NOTES} SELECT sample_id, note_seq FROM notes WHERE NOT (end_sec - start_sec < 0.12 OR confidence < 0.52 OR (end_sec - start_sec < 0.16 AND confidence < 0.6))")
 def f2_ornament_filter(spark, sf):
     """Also the noise floor."""
-    drop = (DUR < 0.12) | (F.col("confidence") < 0.52) | ((DUR < 0.16) & (F.col("confidence") < 0.6))
+    drop = (dur() < 0.12) | (F.col("confidence") < 0.52) | ((dur() < 0.16) & (F.col("confidence") < 0.6))
     return T.notes(spark, sf).where(~drop).select("sample_id", "note_seq")
 
 
@@ -40,14 +40,14 @@ REASON_SQL = "list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for c,
 def f4_rejection_reasons(spark, sf):
     """Every failing test adds its code; the soft variant waives one of them for long notes."""
     n = R.with_reasons(T.notes(spark, sf), [(F.expr(c), name) for c, name in REASONS])
-    waived = R.waive("reasons", ["low_confidence"], DUR > 0.3)
+    waived = R.waive("reasons", ["low_confidence"], dur() > 0.3)
     return n.select("sample_id", "note_seq", F.array_join("reasons", ",").alias("reasons"), (F.size("reasons") == 0).alias("accepted"), waived.alias("accepted_softly"))
 
 
 @REGISTRY.query("f6_sequential_counters", f"WITH {NOTES}, b AS (SELECT sample_id, CASE WHEN NOT voiced THEN 'unvoiced' WHEN pitch < 45 THEN 'low' WHEN confidence < 0.3 THEN 'weak' ELSE 'kept' END AS bucket, end_sec - start_sec < 0.12 AS short FROM notes) SELECT sample_id, bucket, count(*) AS n, count(*) FILTER (short) AS n_short FROM b GROUP BY 1, 2")
 def f6_sequential_counters(spark, sf):
     bucket = S.first_label((~F.col("voiced"), "unvoiced"), (F.col("pitch") < 45, "low"), (F.col("confidence") < 0.3, "weak"), otherwise="kept")
-    return T.notes(spark, sf).groupBy("sample_id", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.count_if(DUR < 0.12).alias("n_short"))
+    return T.notes(spark, sf).groupBy("sample_id", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.count_if(dur() < 0.12).alias("n_short"))
 
 
 @REGISTRY.query("f8_shift_projection", f"WITH {NOTES} SELECT sample_id, note_seq, round(start_sec + 0.25, 6) AS start_sec, round(end_sec + 0.25, 6) AS end_sec, pitch + 12 AS pitch, pitch + 12 <= 96 AS in_range FROM notes")
@@ -81,14 +81,14 @@ def f12_failure_modes(spark, sf):
 
 @REGISTRY.query("a4_audibility", f"WITH {NOTES} SELECT sample_id, round(min(start_sec), 6) AS first_onset, round(min(end_sec - start_sec), 6) AS min_sec, round(avg(end_sec - start_sec), 6) AS mean_sec, round(max(end_sec - start_sec), 6) AS max_sec, min(velocity) AS min_velocity, round(avg(velocity), 6) AS mean_velocity, max(velocity) AS max_velocity FROM notes GROUP BY 1")
 def a4_audibility(spark, sf):
-    return T.notes(spark, sf).groupBy("sample_id").agg(r6(F.min("start_sec")).alias("first_onset"), r6(F.min(DUR)).alias("min_sec"), r6(F.avg(DUR)).alias("mean_sec"), r6(F.max(DUR)).alias("max_sec"), F.min("velocity").alias("min_velocity"), r6(F.avg("velocity")).alias("mean_velocity"), F.max("velocity").alias("max_velocity"))
+    return T.notes(spark, sf).groupBy("sample_id").agg(r6(F.min("start_sec")).alias("first_onset"), r6(F.min(dur())).alias("min_sec"), r6(F.avg(dur())).alias("mean_sec"), r6(F.max(dur())).alias("max_sec"), F.min("velocity").alias("min_velocity"), r6(F.avg("velocity")).alias("mean_velocity"), F.max("velocity").alias("max_velocity"))
 
 
 @REGISTRY.query("a6_median_percentiles", f"WITH {NOTES} SELECT sample_id, median(pitch::DOUBLE) AS median_pitch, round(quantile_cont(pitch::DOUBLE, 0.05), 6) AS p05, round(quantile_cont(pitch::DOUBLE, 0.95), 6) AS p95, round(quantile_cont(end_sec - start_sec, 0.9) - quantile_cont(end_sec - start_sec, 0.1), 6) AS robust_span, round(stddev_pop(pitch::DOUBLE), 6) AS deviation, round(stddev_pop(pitch::DOUBLE) / avg(pitch), 6) AS variation FROM notes GROUP BY 1")
 def a6_median_percentiles(spark, sf):
     """Median, percentiles (A7), robust span (A15), deviation."""
     p = F.col("pitch").cast("double")
-    return T.notes(spark, sf).groupBy("sample_id").agg(F.median(p).alias("median_pitch"), r6(F.percentile(p, 0.05)).alias("p05"), r6(F.percentile(p, 0.95)).alias("p95"), r6(F.percentile(DUR, 0.9) - F.percentile(DUR, 0.1)).alias("robust_span"), r6(F.stddev_pop(p)).alias("deviation"), r6(F.stddev_pop(p) / F.avg(p)).alias("variation"))
+    return T.notes(spark, sf).groupBy("sample_id").agg(F.median(p).alias("median_pitch"), r6(F.percentile(p, 0.05)).alias("p05"), r6(F.percentile(p, 0.95)).alias("p95"), r6(F.percentile(dur(), 0.9) - F.percentile(dur(), 0.1)).alias("robust_span"), r6(F.stddev_pop(p)).alias("deviation"), r6(F.stddev_pop(p) / F.avg(p)).alias("variation"))
 
 
 @REGISTRY.query(
@@ -97,17 +97,17 @@ def a6_median_percentiles(spark, sf):
   SELECT sample_id, min(pitch) FILTER (run >= 0.05 * total - 1e-12) AS p05, min(pitch) FILTER (run >= 0.5 * total - 1e-12) AS p50, min(pitch) FILTER (run >= 0.95 * total - 1e-12) AS p95 FROM r GROUP BY 1""",
 )
 def a8_weighted_percentile(spark, sf):
-    return A.weighted_percentile(T.notes(spark, sf).withColumn("w", DUR), KEY, "pitch", "w", {"p05": 0.05, "p50": 0.5, "p95": 0.95})
+    return A.weighted_percentile(T.notes(spark, sf).withColumn("w", dur()), KEY, "pitch", "w", {"p05": 0.05, "p50": 0.5, "p95": 0.95})
 
 
 @REGISTRY.query("a9_weighted_mean", f"WITH {NOTES} SELECT sample_id, round(sum(pitch * (end_sec - start_sec)) / sum(end_sec - start_sec), 6) AS by_duration, round(sum(pitch * (end_sec - start_sec) * confidence) / nullif(sum((end_sec - start_sec) * confidence), 0), 6) AS by_confidence FROM notes GROUP BY 1")
 def a9_weighted_mean(spark, sf):
-    return T.notes(spark, sf).groupBy("sample_id").agg(r6(A.weighted_mean(F.col("pitch"), DUR)).alias("by_duration"), r6(A.weighted_mean(F.col("pitch"), DUR * F.col("confidence"))).alias("by_confidence"))
+    return T.notes(spark, sf).groupBy("sample_id").agg(r6(A.weighted_mean(F.col("pitch"), dur())).alias("by_duration"), r6(A.weighted_mean(F.col("pitch"), dur() * F.col("confidence"))).alias("by_confidence"))
 
 
 @REGISTRY.query("a10_weighted_histogram", f"WITH {NOTES}, h AS (SELECT sample_id, CAST(round_even(pitch / 2.0, 0) AS INT) AS bin, sum(end_sec - start_sec) AS weight, count(*) AS n FROM notes GROUP BY 1, 2) SELECT sample_id, bin, n, round(weight, 6) AS weight, round(weight / sum(weight) OVER (PARTITION BY sample_id), 6) AS share FROM h")
 def a10_weighted_histogram(spark, sf):
-    n = T.notes(spark, sf).withColumns({"half": F.col("pitch") / 2.0, "w": DUR})
+    n = T.notes(spark, sf).withColumns({"half": F.col("pitch") / 2.0, "w": dur()})
     return A.weighted_histogram(n, KEY, "half", "w").select("sample_id", "bin", "n", r6("weight").alias("weight"), r6("share").alias("share"))
 
 
@@ -118,7 +118,7 @@ def a10_weighted_histogram(spark, sf):
   r AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY shared DESC, abs(shift), shift DESC) AS k FROM j) SELECT sample_id, round(shared, 6) AS shared, CAST(shift AS INT) AS shift FROM r WHERE k = 1""",
 )
 def a11_histogram_overlap(spark, sf):
-    n = T.notes(spark, sf).withColumn("w", DUR)
+    n = T.notes(spark, sf).withColumn("w", dur())
     h = A.weighted_histogram(n, ["sample_id", "state"], "pitch", "w")
     out = A.histogram_overlap(h.where("state = 'vocal'"), h.where("state = 'instrumental'"), KEY, [-24, -12, 0, 12, 24])
     return out.select("sample_id", r6("shared").alias("shared"), "shift")
@@ -151,7 +151,7 @@ def a17_reason_counts(spark, sf):
 )
 def a18_pitch_class_mode(spark, sf):
     """A top-k report: the five most frequent pitch classes."""
-    p = T.notes(spark, sf).groupBy("sample_id", S.pitch_class(F.col("pitch")).alias("pitch_class")).agg(F.count(F.lit(1)).alias("n"), r6(F.sum(DUR * F.col("confidence"))).alias("weight"))
+    p = T.notes(spark, sf).groupBy("sample_id", S.pitch_class(F.col("pitch")).alias("pitch_class")).agg(F.count(F.lit(1)).alias("n"), r6(F.sum(dur() * F.col("confidence"))).alias("weight"))
     return p.withColumn("rank", F.row_number().over(W.partitionBy("sample_id").orderBy(F.desc("n"), "pitch_class")).cast("long")).where("rank <= 5")
 
 
@@ -190,7 +190,7 @@ def a23_stage_continuity(spark, sf):
 
 @REGISTRY.query("a24_means_by_status", f"WITH {NOTES} SELECT coalesce(event_type, 'total') AS status, round(avg(confidence), 6) AS confidence, round(avg(end_sec - start_sec), 6) AS seconds, count(*) AS n FROM notes GROUP BY GROUPING SETS ((event_type), ())")
 def a24_means_by_status(spark, sf):
-    n = T.notes(spark, sf).rollup("event_type").agg(r6(F.avg("confidence")).alias("confidence"), r6(F.avg(DUR)).alias("seconds"), F.count(F.lit(1)).alias("n"))
+    n = T.notes(spark, sf).rollup("event_type").agg(r6(F.avg("confidence")).alias("confidence"), r6(F.avg(dur())).alias("seconds"), F.count(F.lit(1)).alias("n"))
     return n.select(F.coalesce("event_type", F.lit("total")).alias("status"), "confidence", "seconds", "n")
 
 
@@ -223,7 +223,7 @@ MINOR = [6.33, 2.68, 3.52, 5.38, 2.60, 3.53, 2.54, 4.75, 3.98, 2.69, 3.34, 3.17]
 )
 def a28_key_estimate(spark, sf):
     """24 correlations with key profiles. The profiles are literals, so nothing but the histogram is shuffled."""
-    bins = [F.sum(F.when(S.pitch_class(F.col("pitch")) == k, DUR).otherwise(0.0)) for k in range(12)]
+    bins = [F.sum(F.when(S.pitch_class(F.col("pitch")) == k, dur()).otherwise(0.0)) for k in range(12)]
     h = T.notes(spark, sf).groupBy("sample_id").agg(F.array(*bins).alias("w"))
     profiles = F.array(*(F.struct(F.lit(t).alias("tonic"), F.lit(m).alias("mode"), F.array(*(F.lit(p[(pc - t) % 12]) for pc in range(12))).alias("p")) for m, p in (("major", MAJOR), ("minor", MINOR)) for t in range(12)))
     k = h.select("sample_id", "w", F.explode(profiles).alias("k")).select("sample_id", "k.tonic", "k.mode", F.explode(F.arrays_zip("w", F.col("k.p").alias("p"))).alias("x"))
@@ -268,12 +268,12 @@ def c5_pitch_range_iou(spark, sf):
 def c26_ornament_flags(spark, sf):
     w = X.ordered(KEY, ORDER)
     nxt = F.lead("pitch").over(w)
-    return T.notes(spark, sf).select("sample_id", "note_seq", ((DUR < 0.12) & (F.abs(F.coalesce(nxt, F.col("pitch")) - F.col("pitch")) <= 2)).alias("ornament"), F.coalesce((nxt == F.col("pitch")) & (F.lead("start_sec").over(w) - F.col("end_sec") <= 0.02), F.lit(False)).alias("tie"))
+    return T.notes(spark, sf).select("sample_id", "note_seq", ((dur() < 0.12) & (F.abs(F.coalesce(nxt, F.col("pitch")) - F.col("pitch")) <= 2)).alias("ornament"), F.coalesce((nxt == F.col("pitch")) & (F.lead("start_sec").over(w) - F.col("end_sec") <= 0.02), F.lit(False)).alias("tie"))
 
 
 @REGISTRY.query("c62_primary_pitch_class", f"WITH {NOTES}, r AS (SELECT sample_id, pitch % 12 AS pitch_class, row_number() OVER (PARTITION BY sample_id ORDER BY round(end_sec - start_sec, 9) DESC, confidence DESC, start_sec) AS k FROM notes) SELECT sample_id, pitch_class FROM r WHERE k = 1")
 def c62_primary_pitch_class(spark, sf):
-    best = F.max_by(S.pitch_class(F.col("pitch")), F.struct(F.round(DUR, 9), "confidence", -F.col("start_sec")))
+    best = F.max_by(S.pitch_class(F.col("pitch")), F.struct(F.round(dur(), 9), "confidence", -F.col("start_sec")))
     return T.notes(spark, sf).groupBy("sample_id").agg(best.alias("pitch_class"))
 
 
@@ -283,7 +283,7 @@ def c62_primary_pitch_class(spark, sf):
   SELECT a.sample_id, a.source AS source_a, b.source AS source_b, round(sum(least(a.share, b.share)), 6) AS shared FROM s a JOIN s b ON a.sample_id = b.sample_id AND a.bin = b.bin AND a.source < b.source GROUP BY 1, 2, 3""",
 )
 def c53_source_comparisons(spark, sf):
-    h = A.weighted_histogram(T.notes(spark, sf).withColumnRenamed("event_type", "source").withColumn("w", DUR), ["sample_id", "source"], "pitch", "w")
+    h = A.weighted_histogram(T.notes(spark, sf).withColumnRenamed("event_type", "source").withColumn("w", dur()), ["sample_id", "source"], "pitch", "w")
     a = h.select("sample_id", "bin", F.col("source").alias("source_a"), F.col("share").alias("x"))
     b = h.select("sample_id", "bin", F.col("source").alias("source_b"), F.col("share").alias("y"))
     return a.join(b, ["sample_id", "bin"]).where("source_a < source_b").groupBy("sample_id", "source_a", "source_b").agg(r6(F.sum(F.least("x", "y"))).alias("shared"))
