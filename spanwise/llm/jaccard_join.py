@@ -12,13 +12,16 @@ of a large group of near copies: first each against one pivot, then, after the l
 so far are merged to components, only pairs of different components. No link between
 components can be missed, since any such pair still stands in the second round.
 
-Frequent n-grams (at most FREQUENT, by the counts of the n-grams at the head of all
-documents) only change the order, which any two documents share, so they cost no link.
+A candidate must also pass the bound that parity bitmaps give: sets whose bitmaps differ in d
+bits differ in d shingles at least. That, too, rejects no pair that links.
+
+Frequent n-grams (at most FREQUENT, found by a Misra-Gries summary of the n-grams at the head
+of all documents) only change the order, which any two documents share: they cost no link.
 
 Results for odd input. Null or empty texts and texts without words have no shingle and link
 with nothing. A text of fewer words than a shingle is one shingle as a whole. Rows with a
-null id link with nothing and have no component. Rows repeated with the same id count as one
-document. Ties do not arise: a component is named by its least id. An empty table gives an
+null id link with nothing and have no component. Rows repeated with the same id are linked by
+their own texts. Ties do not arise: a component is named by its least id. An empty table gives an
 empty result. Other columns are ignored, and kept by `keep_one_of_each`.
 """
 
@@ -35,11 +38,13 @@ from pyspark.sql import Window as W
 
 from . import wordhash
 from .components import connected_components
-from .scratch import materialize, ship, table
+from .scratch import broadcast_if_small, frequent_values, materialize, ship, table
 
 FRAGMENTS = 8
-#: An n-gram is frequent from so many documents on, and there are at most so many of them.
-OFTEN, FREQUENT = 64, 200_000
+#: Frequent n-grams at most, from how many documents on, and counters of the summary that finds them.
+FREQUENT, OFTEN, TRACKED = 50_000, 64, 1 << 17
+#: 64-bit words that the parity bitmap of a set has at most.
+BITMAP = 1024
 
 
 def shingle_set(found: np.ndarray, k: int) -> np.ndarray:
@@ -54,13 +59,21 @@ def class_of(items: np.ndarray) -> int:
     return int(wordhash.mix(both[:1] ^ wordhash.mix(both[1:]))[0].view(np.int64))
 
 
+def parities(items: np.ndarray) -> np.ndarray:
+    """For each bucket of hashes whether the set has an odd number of its shingles; about as many buckets as shingles, a power of two."""
+    size = 64 * min(BITMAP, 1 << max(0, (len(items) - 1) // 64).bit_length())
+    at = (items.view(np.uint64) >> np.uint64(17)) & np.uint64(size - 1)
+    odd = (np.bincount(at.astype(np.int64), minlength=size) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
 def _needed(n: int, percent: int) -> int:
     """Least overlap with which a set of n links to any other."""
     return -(-percent * n // 100)
 
 
 def heads(k: int, percent: int, frequent=None, more: float = 1.0):
-    """A function for mapInArrow: (id, text) to (id, n, class, the head of the set in the global order)."""
+    """A function for mapInArrow: (id, text) to (id, n, class, parity bitmap, the head of the set in the global order)."""
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, rank = frequent.value if frequent is not None else (np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -87,9 +100,10 @@ def heads(k: int, percent: int, frequent=None, more: float = 1.0):
                     out["id"].append(ids[first + j])
                     out["n"].append(len(items))
                     out["class"].append(class_of(items) if len(items) else None)
+                    out["bitmap"].append(parities(items))
                     out["head"].append(chosen)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(out["id"], pa.int64()), pa.array(out["n"], pa.int64()), pa.array(out["class"], pa.int64()), pa.array(out["head"], pa.list_(pa.int64()))], names=["id", "n", "class", "head"]
+                    [pa.array(out["id"], pa.int64()), pa.array(out["n"], pa.int64()), pa.array(out["class"], pa.int64()), pa.array(out["bitmap"], pa.list_(pa.int64())), pa.array(out["head"], pa.list_(pa.int64()))], names=["id", "n", "class", "bitmap", "head"]
                 )
 
     return run
@@ -125,15 +139,34 @@ def _may_link(percent: int, m: str, i: str, n: str, j: str) -> Column:
     return (100 * F.least(m, n) >= percent * F.greatest(m, n)) & ((100 + percent) * room >= percent * (m + n))
 
 
+def _halved(bitmap: Column) -> Column:
+    """The bitmap of half the size: buckets that differ in the top bit only are joined."""
+    half = (F.size(bitmap) / 2).cast("int")
+    return F.zip_with(F.slice(bitmap, 1, half), F.slice(bitmap, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+
+
+def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, m, b, n) that the bitmaps do not rule out. Sizes of sets that may link differ by less than two, so those of bitmaps by one halving at most."""
+    left, right = (classes.select(F.col("class").alias(x), F.col("bitmap").alias(f"of_{x}")) for x in "ab")
+    a = F.when(F.size("of_a") > F.size("of_b"), _halved(F.col("of_a"))).otherwise(F.col("of_a"))
+    b = F.when(F.size("of_b") > F.size("of_a"), _halved(F.col("of_b"))).otherwise(F.col("of_b"))
+    differ = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    both = (F.col("m") + F.col("n") - differ) / 2  # an upper bound of the overlap
+    joined = pairs.join(left, "a").join(right, "b")
+    return joined.where((100 + percent) * both >= percent * (F.col("m") + F.col("n"))).select("a", "m", "b", "n")
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
     """Of the pairs (a, m, b, n) of classes those that link: overlaps counted by fragment, then summed."""
     wanted = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
-    wanted = wanted.join(classes.select("class", "least_id"), "class").select(F.col("least_id").alias("wanted_id")).distinct()
-    texts = rows.join(wanted, rows["id"] == wanted["wanted_id"], "left_semi")
-    parts = materialize(texts.mapInArrow(fragments(k), "class long, fragment int, part array<long>").dropDuplicates(["class", "fragment"]), "fragments")
+    wanted = materialize(wanted.join(classes.select("class", "least_id"), "class").select(F.col("least_id").alias("wanted_id")).distinct(), "wanted")
+    texts = rows.join(broadcast_if_small(wanted), F.col("id") == F.col("wanted_id"), "left_semi")
+    parts = materialize(texts.mapInArrow(fragments(k), "class long, fragment int, part array<long>"), "fragments")
     left = parts.select(F.col("class").alias("a"), "fragment", F.col("part").alias("of_a"))
     right = parts.select(F.col("class").alias("b"), "fragment", F.col("part").alias("of_b"))
-    shared = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "m", "b", "n", F.size(F.array_intersect("of_a", "of_b")).alias("both"))
+    shared = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "m", "b", "n", "fragment", F.size(F.array_intersect("of_a", "of_b")).alias("both"))
+    # a class comes twice where the input repeats a row, with the same overlaps
+    shared = shared.groupBy("a", "m", "b", "n", "fragment").agg(F.max("both").alias("both"))
     total = shared.groupBy("a", "m", "b", "n").agg(F.sum("both").alias("both"))
     return total.where(100 * F.col("both") >= percent * (F.col("m") + F.col("n") - F.col("both"))).select("a", "b")
 
@@ -142,29 +175,31 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per row of `docs`: id, n_shingles, component_id (null for a null id)."""
     spark = docs.sparkSession
     rows = ship(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    schema = "id long, n long, class long, head array<long>"
-    profile = materialize(rows.mapInArrow(heads(k, percent, more=1.3), schema), "profile")
-    total = profile.agg(F.coalesce(F.sum(F.size("head")), F.lit(0))).first()[0]
-    least = max(OFTEN, -(-total // FREQUENT))  # so many documents each, so at most FREQUENT of them
-    often = profile.select(F.explode("head").alias("gram")).groupBy("gram").count().where(F.col("count") >= least).toPandas().sort_values("gram")
-    sent = spark.sparkContext.broadcast((often["gram"].to_numpy(np.int64), often["count"].to_numpy(np.int64)))
-
-    linkable = rows.where("id is not null").mapInArrow(heads(k, percent, sent), schema).where("n > 0")
-    classes = materialize(linkable.groupBy("class", "n").agg(F.min("id").alias("least_id"), F.any_value("head").alias("head")), "classes")
-
-    held = classes.select("class", "n", F.posexplode("head").alias("place", "gram"))
-    frequent = F.broadcast(spark.createDataFrame([(int(g),) for g in often["gram"]], "gram long"))
+    schema = "id long, n long, class long, bitmap array<long>, head array<long>"
+    # 1.3 times the head, as the heads get longer where frequent n-grams leave them
+    grams = rows.mapInArrow(heads(k, percent, more=1.3), schema).select(F.explode("head").alias("gram"))
+    often = frequent_values(grams, "gram", FREQUENT, TRACKED).where(F.col("count") >= OFTEN).toPandas().sort_values("item")
+    sent = spark.sparkContext.broadcast((often["item"].to_numpy(np.int64), often["count"].to_numpy(np.int64)))
+
+    profile = materialize(rows.mapInArrow(heads(k, percent, sent), schema), "profile")
+    linkable = profile.where("id is not null and class is not null")
+    classes = materialize(linkable.groupBy("class", "n").agg(F.min("id").alias("least_id"), F.first("bitmap").alias("bitmap")), "classes")
+    held = linkable.select("class", "id", "head").join(classes.drop("bitmap"), "class").where("id = least_id")
+    held = held.select("class", "n", F.posexplode("head").alias("place", "gram"))
+
+    frequent = F.broadcast(spark.createDataFrame([(int(g),) for g in often["item"]], "gram long"))
     seldom, often_held = held.join(frequent, "gram", "left_anti"), held.join(frequent, "gram", "left_semi")
     of_gram = W.partitionBy("gram")
     first = F.struct("place", F.col("class").alias("a"), F.col("n").alias("m"))
     met = seldom.withColumn("docs", F.count(F.lit(1)).over(of_gram)).withColumn("pivot", F.min(first).over(of_gram)).where("docs > 1")
     # of a frequent n-gram the pivot is found by an aggregate that combines early, and sent to its rows
     pivots = F.broadcast(often_held.groupBy("gram").agg(F.count(F.lit(1)).alias("docs"), F.min(first).alias("pivot")).where("docs > 1"))
-    met = materialize(met.unionByName(often_held.join(pivots, "gram"), allowMissingColumns=False).drop("docs"), "met")
+    met = materialize(met.unionByName(often_held.join(pivots, "gram")).drop("docs"), "met")
 
     near = met.select(F.col("pivot.a").alias("a"), F.col("pivot.m").alias("m"), F.col("pivot.place").alias("i"), F.col("class").alias("b"), "n", F.col("place").alias("j"))
-    pairs = materialize(near.where((F.col("a") != F.col("b")) & _may_link(percent, "m", "i", "n", "j")).select("a", "m", "b", "n").distinct(), "pairs")
-    links = materialize(_verified(pairs, classes, rows, k, percent), "links")
+    tried = near.where((F.col("a") != F.col("b")) & _may_link(percent, "m", "i", "n", "j")).select("a", "m", "b", "n").distinct()
+    tried = materialize(_plausible(tried, classes, percent), "pairs")
+    links = materialize(_verified(tried, classes, rows, k, percent), "links")
     label = materialize(connected_components(links), "labels")
 
     known = label.select(F.col("node").alias("class"), "label")
@@ -173,13 +208,14 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mixed = shares.groupBy("gram").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1").drop("labels")
     spread = spread.join(mixed, "gram")
     one = spread.where("label <> main").select("gram", F.col("class").alias("a"), F.col("n").alias("m"), F.col("place").alias("i"), F.col("label").alias("la"))
-    other = spread.select("gram", "main", F.col("class").alias("b"), "n", F.col("place").alias("j"), F.col("label").alias("lb"))
+    other = spread.select(F.col("gram").alias("same_gram"), "main", F.col("class").alias("b"), "n", F.col("place").alias("j"), F.col("label").alias("lb"))
     across = (F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("main")) | (F.col("a") < F.col("b"))) & _may_link(percent, "m", "i", "n", "j")
-    rest = one.join(other, (one["gram"] == other["gram"]) & across).select("a", "m", "b", "n").distinct()
-    tried = pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
-    rest = materialize(rest.join(tried, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti"), "pairs")
+    rest = one.join(other, (F.col("gram") == F.col("same_gram")) & across).select("a", "m", "b", "n").distinct()
+    done = tried.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+    rest = rest.join(done, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti")
+    rest = materialize(_plausible(rest, classes, percent), "pairs")
     more = materialize(_verified(rest, classes, rows, k, percent), "links")
-    label = materialize(connected_components(links.unionByName(more)), "labels")
+    label = connected_components(links.unionByName(more)) if not more.isEmpty() else label
 
     named = classes.select("class", "least_id").join(label.select(F.col("node").alias("class"), "label"), "class", "left").withColumn("label", F.coalesce("label", "class"))
     names = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
@@ -193,7 +229,8 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of `docs` that have the least id of their component, with the columns of `docs`."""
     found = link_components(docs, id_col, text_col, k, percent)
-    dropped = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("dropped_id")).distinct()
+    dropped = materialize(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("dropped_id")).distinct(), "dropped")
+    dropped = broadcast_if_small(dropped)
     return docs.join(dropped, docs[id_col] == dropped["dropped_id"], "left_anti")
 
 
