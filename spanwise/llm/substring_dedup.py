@@ -1,18 +1,23 @@
 """Substring deduplication over sliding sentence spans.
 
-Every run of RUN consecutive sentences with at least WORDS words is hashed. Spans meet in
-one global aggregation, which keeps for each its first place (least id, then position) and
+From every sentence on, the shortest run of consecutive sentences with at least RUN sentences
+and WORDS words is hashed; shorter runs, such as shared headings and license lines, are no
+evidence. Spans meet in one global aggregation, which keeps for each its first place (least id, then position) and
 combines on the map side, so a span that fills a third of the corpus is no burden. Every
 sentence that a repeated span covers anywhere but at its first place is removed.
 
+Only what may be concerned travels: bitmaps of a fixed size tell tasks which spans may be
+repeated and which documents may have some, so other spans are not shuffled again and other
+texts not at all. A bitmap only ever lets too much through.
+
 A sentence is `[^.!?\\n]*[.!?\\n]+`, or what is left at the end. Spans are compared by
 their words: runs of letters and digits, with A-Z lower-cased; punctuation does not count.
 
 Results for odd input. Null text stays null and has no sentence. Rows with a null id stay
 as they are and take no part. Rows repeated with the same id count as one document: their
 spans are no repeats of each other. Ties do not arise, as a place is unique. Texts may
-become empty. An empty table gives an empty result. Other columns are ignored, and kept by
-`remove_repeats`.
+become empty. An empty table gives an empty result. Other columns are kept, but n_sentences and
+n_removed give way to the new ones.
 """
 
 from __future__ import annotations
@@ -24,89 +29,117 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import wordhash
-from .scratch import materialize, ship, table
+from .scratch import Bitmap, materialize, ship, table
 
-RUN, WORDS = 3, 10
+RUN, WORDS = 2, 20
 _SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+")
 _END = np.zeros(256, bool)
 _END[[ord(c) for c in ".!?\n"]] = True
 
 
-def span_hashes(data: bytes, run: int = RUN, words: int = WORDS) -> tuple[int, np.ndarray, np.ndarray]:
-    """Number of sentences; first sentence and hash of each span with enough words."""
+def span_hashes(data: bytes, run: int = RUN, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First sentence, number of sentences and hash of each span."""
     buf = np.frombuffer(data, np.uint8)
     ends = _END[buf]
     after = np.flatnonzero(ends & ~np.append(ends[1:], False)) + 1
     begin = np.concatenate([[0], after[after < len(buf)]]) if len(buf) else np.zeros(0, np.int64)
     n = len(begin)
-    if n < run:
-        return n, np.zeros(0, np.int64), np.zeros(0, np.uint64)
     start, _ = wordhash.spans(buf, letters_only=True)
     found = wordhash.words(data, letters_only=True)
     first = np.append(np.searchsorted(start, begin), len(found))
     up, down = wordhash._powers(wordhash._room(len(found) + 1))
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(found * up[: len(found)], dtype=np.uint64)])
-    a, b = first[: n - run + 1], first[run:]
-    keep = b - a >= words
-    a, b = a[keep], b[keep]
-    return n, np.flatnonzero(keep), wordhash.mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64))
+    place = np.arange(n)
+    stop = np.maximum(np.searchsorted(first, first[:n] + words), place + run)
+    place = place[stop <= n]
+    many = stop[place] - place
+    a, b = first[place], first[place + many]
+    return place, many, wordhash.mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64))
+
+
+_SPAN = "span long, id long, place int, many int"
 
 
-def _spans(run: int, words: int):
+def _spans(run: int, words: int, repeated=None):
+    """A function for mapInArrow: (id, text) to (span, id, place, many), of all spans or those that may be repeated."""
+
     def make(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
             ids = batch.column(0).to_pylist()
             for first, group in wordhash.batches(batch.column(1).to_pylist()):
-                who, places, hashes = [], [], []
-                for k, data in enumerate(group):
-                    _, place, h = span_hashes(data, run, words)
-                    who.append(np.full(len(place), ids[first + k], np.int64))
-                    places.append(place.astype(np.int32))
-                    hashes.append(h.view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hashes, who, places)], names=["span", "id", "place"])
+                parts = [(h.view(np.int64), np.full(len(h), ids[first + k], np.int64), place.astype(np.int32), many.astype(np.int32)) for k, data in enumerate(group) for place, many, h in [span_hashes(data, run, words)]]
+                columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
+                if repeated is not None:
+                    keep = repeated.value.may_hold(columns[0])
+                    columns = [x[keep] for x in columns]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["span", "id", "place", "many"])
 
     return make
 
 
-def cut_repeats(text: str | None, places: list[int] | None, run: int = RUN) -> tuple[str | None, int, int]:
-    """The text without the sentences that spans at `places` cover; sentences there were, and removed."""
+def cut_repeats(text: str | None, places: list[dict] | None) -> tuple[str | None, int, int]:
+    """The text without the sentences of the spans (place, many); sentences there were, and removed."""
     if text is None:
         return None, 0, 0
     sentences = _SENTENCE.findall(text)
     if not places:
         return text, len(sentences), 0
-    gone = {p + k for p in places for k in range(run)}
+    gone = {k for p in places for k in range(p["place"], p["place"] + p["many"])}
     return "".join(s for k, s in enumerate(sentences) if k not in gone), len(sentences), len(gone)
 
 
 def repeated_places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, words: int = WORDS) -> DataFrame:
-    """Id, and the array of first sentences of its spans that are repeats, of every document that has some."""
+    """Id, and the array of spans (place, many) that are repeats, of every document that has some."""
     rows = ship(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    spans = rows.mapInArrow(_spans(run, words), "span long, id long, place int")
     place = F.struct("id", "place")
+    spans = rows.mapInArrow(_spans(run, words), _SPAN)
     repeated = spans.groupBy("span").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("span", "first")
-    again = spans.join(repeated, "span").where(place != F.col("first"))
-    return again.groupBy("id").agg(F.collect_set("place").alias("places"))
+    repeated = materialize(repeated, "repeated")
+    sent = docs.sparkSession.sparkContext.broadcast(Bitmap.of(repeated, "span"))
+    again = rows.mapInArrow(_spans(run, words, sent), _SPAN).join(repeated, "span").where(place != F.col("first"))
+    return again.groupBy("id").agg(F.collect_set(F.struct("place", "many")).alias("places"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, words: int = WORDS) -> DataFrame:
     """The rows of `docs` with repeated sentences cut from the text, and n_sentences and n_removed."""
     at = materialize(repeated_places(docs, id_col, text_col, run, words), "repeats").withColumnRenamed("id", "repeats_id")
-    names = [f.name for f in docs.schema]
-    row = F.struct(*(F.col(c) for c in names)).alias("row")
-    joined = docs.select(row).join(at, F.col("row")[id_col].cast("long") == F.col("repeats_id"), "left").select("row", "places")
-
-    def make(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sent = docs.sparkSession.sparkContext.broadcast(Bitmap.of(at, "repeats_id"))
+    docs = docs.drop("n_sentences", "n_removed")
+    names = docs.columns
+    out = StructType([*docs.schema.fields, StructField("n_sentences", LongType()), StructField("n_removed", LongType())])
+
+    def concerned(want: bool):
+        def make(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in found:
+                ids = batch.column(batch.schema.get_field_index(id_col)).cast(pa.int64())
+                may = np.zeros(len(ids), bool)
+                known = np.flatnonzero(ids.is_valid().to_numpy(zero_copy_only=False))
+                may[known] = sent.value.may_hold(ids.drop_null().to_numpy(zero_copy_only=False))
+                batch = batch.filter(pa.array(may == want))
+                yield batch if want else _with_counts(batch, [None] * len(batch), text_col)
+
+        return make
+
+    def cut(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
-            row = batch.column(0)
-            got = [cut_repeats(t, p, run) for t, p in zip(row.field(text_col).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            columns = [pa.array([g[0] for g in got], pa.string()) if c == text_col else row.field(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*columns, *(pa.array([g[k] for g in got], pa.int64()) for k in (1, 2))], names=[*names, "n_sentences", "n_removed"])
+            row, places = batch.column(0), batch.column(1).to_pylist()
+            yield _with_counts(pa.RecordBatch.from_arrays([row.field(c) for c in names], names=names), places, text_col)
+
+    rest = docs.mapInArrow(concerned(False), out)
+    some = docs.mapInArrow(concerned(True), docs.schema)
+    some = some.select(F.struct(*(F.col(c) for c in names)).alias("row"))
+    some = some.join(at, F.col("row")[id_col].cast("long") == F.col("repeats_id"), "left").select("row", "places")
+    return rest.unionByName(some.mapInArrow(cut, out))
+
 
-    out = docs.schema.add("n_sentences", "long").add("n_removed", "long")
-    return joined.mapInArrow(make, out)
+def _with_counts(batch: pa.RecordBatch, places: list, text_col: str) -> pa.RecordBatch:
+    text = batch.schema.get_field_index(text_col)
+    got = [cut_repeats(t, p) for t, p in zip(batch.column(text).to_pylist(), places, strict=True)]
+    columns = [pa.array([g[0] for g in got], pa.string()) if k == text else c for k, c in enumerate(batch.columns)]
+    return pa.RecordBatch.from_arrays([*columns, *(pa.array([g[k] for g in got], pa.int64()) for k in (1, 2))], names=[*batch.schema.names, "n_sentences", "n_removed"])
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,15 +153,23 @@ flat AS (SELECT doc_id, unnest(parts) AS s, generate_subscripts(parts, 1) - 1 AS
 clean AS (
   SELECT doc_id, i, s, nullif(trim(regexp_replace(translate(s, '{_UPPER}', '{_LOWER}'), '[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+', ' ', 'g')), '') AS w FROM flat
 ),
-spans AS (
-  SELECT doc_id, i, concat_ws(' ', w, lead(w, 1) OVER o, lead(w, 2) OVER o) AS span, lead(i, 2) OVER o AS last_i
-  FROM clean WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+counted AS (
+  SELECT *, CASE WHEN w IS NULL THEN 0 ELSE len(string_split(w, ' ')) END AS n,
+    sum(CASE WHEN w IS NULL THEN 0 ELSE len(string_split(w, ' ')) END) OVER (PARTITION BY doc_id ORDER BY i) AS upto, max(i) OVER (PARTITION BY doc_id) AS last_i
+  FROM clean
+),
+reach AS (
+  SELECT a.doc_id, a.i, a.last_i, greatest(b.i, a.i + {RUN - 1}) AS j
+  FROM (SELECT *, (upto - n + {WORDS}) * 1000000 AS target FROM counted) a ASOF JOIN (SELECT doc_id, i, upto * 1000000 + i AS key FROM counted) b ON a.doc_id = b.doc_id AND a.target <= b.key
+),
+long_spans AS (
+  SELECT r.doc_id, r.i, r.j, string_agg(c.w, ' ' ORDER BY c.i) AS span
+  FROM reach r JOIN counted c ON c.doc_id = r.doc_id AND c.i BETWEEN r.i AND r.j WHERE r.j <= r.last_i GROUP BY 1, 2, 3
 ),
-long_spans AS (SELECT doc_id, i, span FROM spans WHERE last_i IS NOT NULL AND len(string_split(span, ' ')) >= {WORDS}),
 again AS (
-  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY span ORDER BY doc_id, i) AS nth FROM long_spans) WHERE nth > 1
+  SELECT doc_id, i, j FROM (SELECT doc_id, i, j, row_number() OVER (PARTITION BY span ORDER BY doc_id, i) AS nth FROM long_spans) WHERE nth > 1
 ),
-gone AS (SELECT DISTINCT doc_id, i + k AS i FROM again, (VALUES (0), (1), (2)) AS t(k)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, j + 1)) AS i FROM again),
 kept AS (
   SELECT c.doc_id, count(*) AS n_sentences, count(g.i) AS n_removed, string_agg(CASE WHEN g.i IS NULL THEN c.s END, '' ORDER BY c.i) AS text
   FROM clean c LEFT JOIN gone g USING (doc_id, i) GROUP BY c.doc_id
