@@ -7,10 +7,38 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def island_ids(df: DataFrame, keys: list[str], order: list[str], boundary: Column, name: str = "island") -> DataFrame:
-    """Numbers the runs of rows from 0; a row for which `boundary` holds starts a new one."""
+def prefix(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str, pick=F.max, before: bool = True, bucket: Column | None = None) -> DataFrame:
+    """Adds `name`: max, min or sum of `value` over the rows of the key before a row (before=False: up to it).
+
+    With `bucket`, a number that never falls along the order, no task needs a whole key: rows
+    are dealt by key and bucket, and what the buckets before add up to, one row a bucket, is
+    computed apart and joined.
+    """
+    last = -1 if before else 0
+    if bucket is None:
+        return df.withColumn(name, pick(value).over(W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, last)))
+    rows = df.withColumns({"__bucket": bucket, "__value": value})
+    own = pick("__value").over(W.partitionBy(*keys, "__bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, last))
+    carried = rows.groupBy(*keys, "__bucket").agg(pick("__value").alias("__whole"))
+    carried = carried.withColumn("__carry", pick("__whole").over(W.partitionBy(*keys).orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1))).drop("__whole")
+    joined = rows.withColumn("__own", own).join(carried, [*keys, "__bucket"])
+    if pick is F.sum:
+        both = F.when(F.col("__own").isNotNull() | F.col("__carry").isNotNull(), F.coalesce("__own", F.lit(0)) + F.coalesce("__carry", F.lit(0)))
+    else:
+        both = (F.greatest if pick is F.max else F.least)("__own", "__carry")
+    return joined.withColumn(name, both).drop("__bucket", "__value", "__own", "__carry")
+
+
+def _bucket(time: str, width: float | None) -> Column | None:
+    return None if width is None else F.floor(F.col(time) / width)
+
+
+def island_ids(df: DataFrame, keys: list[str], order: list[str], boundary: Column, name: str = "island", bucket: Column | None = None) -> DataFrame:
+    """Numbers the runs of rows from 0; a row for which `boundary` holds starts a new one, and the first row of a key the first."""
     w = W.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("__new", F.when(F.row_number().over(w) == 1, 0).when(F.coalesce(boundary, F.lit(False)), 1).otherwise(0)).withColumn(name, F.sum("__new").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("__new")
+    if bucket is None:
+        return df.withColumn("__new", F.when(F.row_number().over(w) == 1, 0).when(F.coalesce(boundary, F.lit(False)), 1).otherwise(0)).withColumn(name, F.sum("__new").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("__new")
+    return prefix(df, keys, order, F.coalesce(boundary, F.lit(False)).cast("int"), name, F.sum, before=False, bucket=bucket)
 
 
 def reach(keys: list[str], order: list[str], end: str = "end_sec") -> Column:
@@ -18,26 +46,26 @@ def reach(keys: list[str], order: list[str], end: str = "end_sec") -> Column:
     return F.max(end).over(W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
 
 
-def merge_spans(df: DataFrame, keys: list[str], start: str = "start_sec", end: str = "end_sec", gap: float = 0.0) -> DataFrame:
-    """Unions of intervals that overlap or stand at most `gap` apart: keys, start, end, n_merged."""
+def merge_spans(df: DataFrame, keys: list[str], start: str = "start_sec", end: str = "end_sec", gap: float = 0.0, width: float | None = None) -> DataFrame:
+    """Unions of intervals that overlap or stand at most `gap` apart: keys, start, end, n_merged. width: seconds of a key that one task takes."""
     order = [start, end]
-    cut = df.select(*keys, start, end).withColumn("__reach", reach(keys, order, end))
-    runs = island_ids(cut, keys, order, F.col(start) > F.col("__reach") + gap, "__run")
+    cut = prefix(df.select(*keys, start, end), keys, order, F.col(end), "__reach", bucket=_bucket(start, width))
+    runs = island_ids(cut, keys, order, F.col(start) > F.col("__reach") + gap, "__run", _bucket(start, width))
     return runs.groupBy(*keys, "__run").agg(F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("n_merged")).drop("__run")
 
 
-def coverage(df: DataFrame, keys: list[str], start: str = "start_sec", end: str = "end_sec") -> DataFrame:
+def coverage(df: DataFrame, keys: list[str], start: str = "start_sec", end: str = "end_sec", width: float | None = None) -> DataFrame:
     """Per key: span, length of the union, share of the span that it covers, and the longest silence inside."""
-    cut = df.select(*keys, start, end).withColumn("__reach", reach(keys, [start, end], end))
+    cut = prefix(df.select(*keys, start, end), keys, [start, end], F.col(end), "__reach", bucket=_bucket(start, width))
     own = F.greatest(F.lit(0.0), F.col(end) - F.greatest(F.col(start), F.coalesce("__reach", start)))
     silence = F.greatest(F.lit(0.0), F.col(start) - F.coalesce("__reach", start))
     out = cut.groupBy(*keys).agg((F.max(end) - F.min(start)).alias("span_sec"), F.sum(own).alias("covered_sec"), F.max(silence).alias("longest_silence_sec"))
     return out.withColumn("coverage", F.coalesce(F.try_divide("covered_sec", "span_sec"), F.lit(0.0)))
 
 
-def gaps(df: DataFrame, keys: list[str], start: str = "start_sec", end: str = "end_sec", least: float = 0.0) -> DataFrame:
+def gaps(df: DataFrame, keys: list[str], start: str = "start_sec", end: str = "end_sec", least: float = 0.0, width: float | None = None) -> DataFrame:
     """Spaces longer than `least` between the union of the rows so far and the next row: keys, gap_start, gap_end, gap_sec."""
-    cut = df.select(*keys, start, end).withColumn("gap_start", reach(keys, [start, end], end))
+    cut = prefix(df.select(*keys, start, end), keys, [start, end], F.col(end), "gap_start", bucket=_bucket(start, width))
     return cut.where(F.col(start) - F.col("gap_start") > least).select(*keys, "gap_start", F.col(start).alias("gap_end"), (F.col(start) - F.col("gap_start")).alias("gap_sec"))
 
 
@@ -67,17 +95,27 @@ def band_join(left: DataFrame, right: DataFrame, keys: list[str], l_time: str, r
     return a.join(b, [*keys, "__bucket"]).drop("__bucket").where(F.abs(F.col(l_time) - F.col(r_time)) <= tolerance)
 
 
-def asof_join(left: DataFrame, right: DataFrame, keys: list[str], l_time: str, r_time: str, carry: list[str], forward: bool = False) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, keys: list[str], l_time: str, r_time: str, carry: list[str], forward: bool = False, width: float | None = None) -> DataFrame:
     """Adds to each left row `carry` of the last right row at or before it (forward: the first at or after it), or nulls.
 
-    One union and one window: the keys are shuffled once and nothing is multiplied.
+    One union and one window: the keys are shuffled once and nothing is multiplied. With `width`,
+    rows are dealt by key and buckets of so many seconds, and the last right row before each bucket
+    is found apart, so that no task needs a whole key.
     """
     tagged = left.withColumns({"__time": F.col(l_time), "__side": F.lit(1)})
     other = right.select(*keys, F.col(r_time).alias("__time"), F.lit(0).alias("__side"), F.struct(*carry).alias("__found"))
     both = tagged.unionByName(other, allowMissingColumns=True)
     order = [F.desc("__time"), "__side"] if forward else ["__time", "__side"]
-    w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    both = both.withColumn("__found", F.last("__found", ignorenulls=True).over(w)).where("__side = 1")
+    upto = lambda *by: W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    if width is None:
+        both = both.withColumn("__found", F.last("__found", ignorenulls=True).over(upto(*keys))).where("__side = 1")
+    else:
+        both = both.withColumn("__bucket", F.floor(F.col("__time") / width))
+        edge = (F.min_by if forward else F.max_by)("__found", F.when(F.col("__side") == 0, F.col("__time")))
+        along = W.partitionBy(*keys).orderBy(F.desc("__bucket") if forward else "__bucket").rowsBetween(W.unboundedPreceding, -1)
+        edges = both.groupBy(*keys, "__bucket").agg(edge.alias("__edge")).withColumn("__carry", F.last("__edge", ignorenulls=True).over(along)).drop("__edge")
+        both = both.withColumn("__found", F.last("__found", ignorenulls=True).over(upto(*keys, "__bucket"))).where("__side = 1")
+        both = both.join(edges, [*keys, "__bucket"]).withColumn("__found", F.coalesce("__found", "__carry"))
     return both.select(*left.columns, *(F.col("__found")[c].alias(c) for c in carry))
 
 

@@ -126,7 +126,7 @@ def a30_bar_phase(spark, sf):
     return d.groupBy("sample_id").agg(r6(F.avg(first.cast("int"))).alias("on_first"), r6(F.avg(F.when(first, F.col("velocity")))).alias("first_strength"))
 
 
-@REGISTRY.query("a36_confidence_composite", f"WITH {NOTES}, m AS (SELECT sample_id, count(*) AS n, avg(confidence) AS c, avg(voiced::INT) AS v FROM notes GROUP BY 1) SELECT sample_id, round(least(1, greatest(0, 0.2 + 0.41 * c + 0.3 * v + 0.1 * least(1, n / 80))), 6) AS confidence, round(least(1, greatest(0, (c - 0.3) / 0.4)), 6) AS ramp FROM m")
+@REGISTRY.query("a36_confidence_composite", f"WITH {NOTES}, m AS (SELECT sample_id, count(*) AS n, avg(confidence) AS c, avg(voiced::INT) AS v FROM notes GROUP BY 1) SELECT sample_id, round(least(1, greatest(0, 0.2 + 0.41 * c + 0.3 * v + 0.1 * least(1, n / 80))), 6) AS confidence, round(least(1, greatest(0, (c - 0.3) / (0.7::DOUBLE - 0.3::DOUBLE))), 6) AS ramp FROM m")
 def a36_confidence_composite(spark, sf):
     m = T.notes(spark, sf).groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"), F.avg("confidence").alias("c"), F.avg(F.col("voiced").cast("int")).alias("v"))
     whole = S.clamp(0.2 + 0.41 * F.col("c") + 0.3 * F.col("v") + 0.1 * F.least(F.lit(1.0), F.col("n") / 80))

@@ -235,7 +235,7 @@ MERGED = """x AS (SELECT sample_id, start_sec, end_sec, max(end_sec) OVER (PARTI
   SELECT sample_id, round(min(start_sec), 6) AS start_sec, round(max(end_sec), 6) AS end_sec, count(*) AS n_merged FROM k GROUP BY sample_id, run""",
 )
 def i7_merge_spans(spark, sf):
-    m = I.merge_spans(T.notes(spark, sf), KEY, gap=0.06)
+    m = I.merge_spans(T.notes(spark, sf), KEY, gap=0.06, width=10.0)
     return m.select("sample_id", r6("start_sec").alias("start_sec"), r6("end_sec").alias("end_sec"), "n_merged")
 
 
@@ -245,13 +245,13 @@ def i7_merge_spans(spark, sf):
   SELECT sample_id, round(span, 6) AS span_sec, round(cov, 6) AS covered_sec, round(sil, 6) AS longest_silence_sec, round(cov / span, 6) AS coverage FROM a""",
 )
 def i8_coverage(spark, sf):
-    c = I.coverage(T.notes(spark, sf), KEY)
+    c = I.coverage(T.notes(spark, sf), KEY, width=10.0)
     return c.select("sample_id", *(r6(x).alias(x) for x in ("span_sec", "covered_sec", "longest_silence_sec", "coverage")))
 
 
 @REGISTRY.query("i10_gaps", f"""WITH {NOTES}, {MERGED} SELECT sample_id, round(reach, 6) AS gap_start, round(start_sec, 6) AS gap_end, round(start_sec - reach, 6) AS gap_sec FROM x WHERE start_sec - reach > 0.25""")
 def i10_gaps(spark, sf):
-    return I.gaps(T.notes(spark, sf), KEY, least=0.25).select("sample_id", r6("gap_start").alias("gap_start"), r6("gap_end").alias("gap_end"), r6("gap_sec").alias("gap_sec"))
+    return I.gaps(T.notes(spark, sf), KEY, least=0.25, width=10.0).select("sample_id", r6("gap_start").alias("gap_start"), r6("gap_end").alias("gap_end"), r6("gap_sec").alias("gap_sec"))
 
 
 @REGISTRY.query(
@@ -263,7 +263,7 @@ def i10_gaps(spark, sf):
 def t5_longest_gaps(spark, sf):
     """A top-k report by sample."""
     w = W.partitionBy("sample_id").orderBy(F.desc("gap_sec"), "gap_start")
-    g = I.gaps(T.notes(spark, sf), KEY).withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 12")
+    g = I.gaps(T.notes(spark, sf), KEY, width=10.0).withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 12")
     return g.select("sample_id", "rank", r6("gap_start").alias("gap_start"), r6("gap_sec").alias("gap_sec"))
 
 
@@ -352,7 +352,7 @@ def j5_overlap_with_tolerance(spark, sf):
 def j6_asof_measure(spark, sf):
     n = T.notes(spark, sf).select("sample_id", "note_seq", "start_sec")
     d = T.grid(n).where("is_downbeat").select("sample_id", F.floor(F.col("idx") / 4).alias("measure"), "time_sec")
-    j = I.asof_join(n, d, KEY, "start_sec", "time_sec", ["measure", "time_sec"])
+    j = I.asof_join(n, d, KEY, "start_sec", "time_sec", ["measure", "time_sec"], width=10.0)
     return j.select("sample_id", "note_seq", "measure", r6(F.col("start_sec") - F.col("time_sec")).alias("into_measure"))
 
 
@@ -365,8 +365,8 @@ def j7_nearest_beat(spark, sf):
     """The nearest of the last beat before and the first after; the earlier of two equally near ones."""
     n = T.notes(spark, sf).select("sample_id", "note_seq", "start_sec")
     g = T.grid(n)
-    b = I.asof_join(n, g.select("sample_id", F.col("idx").alias("i1"), F.col("time_sec").alias("t1")), KEY, "start_sec", "t1", ["i1", "t1"])
-    b = I.asof_join(b, g.select("sample_id", F.col("idx").alias("i2"), F.col("time_sec").alias("t2")), KEY, "start_sec", "t2", ["i2", "t2"], forward=True)
+    b = I.asof_join(n, g.select("sample_id", F.col("idx").alias("i1"), F.col("time_sec").alias("t1")), KEY, "start_sec", "t1", ["i1", "t1"], width=10.0)
+    b = I.asof_join(b, g.select("sample_id", F.col("idx").alias("i2"), F.col("time_sec").alias("t2")), KEY, "start_sec", "t2", ["i2", "t2"], forward=True, width=10.0)
     first = F.col("i2").isNull() | (F.col("start_sec") - F.col("t1") <= F.col("t2") - F.col("start_sec"))
     b = b.select("sample_id", "note_seq", F.when(first, F.col("i1")).otherwise(F.col("i2")).alias("beat"), r6(F.col("start_sec") - F.when(first, F.col("t1")).otherwise(F.col("t2"))).alias("offset_sec"))
     return b.where("beat is not null")
@@ -383,8 +383,8 @@ def j8_bounded_context(spark, sf):
     n = T.notes(spark, sf)
     good = n.where("confidence >= 0.5")
     bad = n.where("confidence < 0.5").select("sample_id", "note_seq", "start_sec")
-    j = I.asof_join(bad, good.select("sample_id", F.col("start_sec").alias("t1"), F.col("pitch").alias("p1")), KEY, "start_sec", "t1", ["t1", "p1"])
-    j = I.asof_join(j, good.select("sample_id", F.col("start_sec").alias("t2"), F.col("pitch").alias("p2")), KEY, "start_sec", "t2", ["t2", "p2"], forward=True)
+    j = I.asof_join(bad, good.select("sample_id", F.col("start_sec").alias("t1"), F.col("pitch").alias("p1")), KEY, "start_sec", "t1", ["t1", "p1"], width=10.0)
+    j = I.asof_join(j, good.select("sample_id", F.col("start_sec").alias("t2"), F.col("pitch").alias("p2")), KEY, "start_sec", "t2", ["t2", "p2"], forward=True, width=10.0)
     return j.select("sample_id", "note_seq", F.when(F.col("start_sec") - F.col("t1") <= 1, F.col("p1")).alias("left_pitch"), F.when(F.col("t2") - F.col("start_sec") <= 1, F.col("p2")).alias("right_pitch"))
 
 
@@ -438,5 +438,5 @@ def j16_overlap_semi_join(spark, sf):
 def i26_beat_to_time(spark, sf):
     n = T.notes(spark, sf).select("sample_id", "note_seq", "start_sec")
     g = T.grid(n).select("sample_id", "idx", F.col("time_sec").alias("t1"), F.lead("time_sec").over(W.partitionBy("sample_id").orderBy("idx")).alias("t2"))
-    j = I.asof_join(n, g, KEY, "start_sec", "t1", ["idx", "t1", "t2"]).where("t2 is not null")
+    j = I.asof_join(n, g, KEY, "start_sec", "t1", ["idx", "t1", "t2"], width=10.0).where("t2 is not null")
     return j.select("sample_id", "note_seq", r6(F.col("idx") + (F.col("start_sec") - F.col("t1")) / (F.col("t2") - F.col("t1"))).alias("beat"))

@@ -102,6 +102,18 @@ def test_empty_and_touching(spark):
     assert c[1].covered_sec == 2.0 and c[1].longest_silence_sec == 1.0 and c[2].coverage == 1.0
 
 
+def test_split_keys_give_the_same(spark):
+    """Operators that deal a key out over buckets of time against those that keep it whole."""
+    df, _ = notes(spark, 300, 8)
+    for f in (intervals.merge_spans, intervals.coverage, intervals.gaps):
+        split, whole = (sorted(tuple(round(v, 9) for v in r) for r in f(df, ["sample_id"], width=w).collect()) for w in (3.0, None))
+        assert split == whole
+    right = df.where("note_seq % 5 = 0").select("sample_id", F.col("start_sec").alias("t"), F.col("note_seq").alias("other"))
+    for forward in (False, True):
+        whole, split = (sorted(map(tuple, intervals.asof_join(df.select("sample_id", "note_seq", "start_sec"), right, ["sample_id"], "start_sec", "t", ["other", "t"], forward, w).collect()), key=repr) for w in (None, 2.0))
+        assert whole == split
+
+
 def test_scalars(spark):
     row = spark.range(1).select(
         S.hz_to_midi(F.lit(440.0)).alias("a"), S.hz_to_midi(F.lit(0.0)).alias("zero"), S.name_to_midi(F.lit("Bb3")).alias("b"), S.name_to_midi(F.lit("x")).alias("none"),
