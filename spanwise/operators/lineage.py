@@ -25,9 +25,18 @@ def _archive() -> str:
     return shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="spanwise-"), package.name), "zip", package.parent, package.name)
 
 
+#: Bytes of a batch that Spark hands to Python, unless the session sets them: rows may be long texts.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship(df: DataFrame) -> DataFrame:
-    """Sees to it that executors can import this package; Spark sends the archive to each of them, once a session."""
+    """Sees to it that executors can import this package; Spark sends the archive to each of them, once a session.
+
+    Also bounds the batches that Python gets by bytes, where the session does not, as 10,000 rows may be long texts.
+    """
     sc = df.sparkSession.sparkContext
+    if not sc.getConf().contains(BATCH_BYTES):
+        df.sparkSession.conf.set(BATCH_BYTES, "4m")
     if not getattr(sc, "_spanwise_shipped", False):
         sc.addPyFile(_archive())
         sc._spanwise_shipped = True
