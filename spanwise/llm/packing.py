@@ -33,8 +33,8 @@ from .scratch import materialize, ship, table
 
 SIZE = 2048
 BUCKETS = 256
-#: Words whose ids a worker remembers.
-REMEMBERED = 400_000
+#: Parts of words whose ids a task remembers.
+REMEMBERED = 200_000
 
 
 def default_tokenizer() -> str:
@@ -151,7 +151,7 @@ def pieces_of(tokenizer: str, size: int = SIZE):
         tok = WordTokenizer(tokenizer)
         for batch in found:
             ids = batch.column(0).to_pylist()
-            for first, group in wordhash.batches(batch.column(1).to_pylist(), size=2 * wordhash.BLOCK):
+            for first, group in wordhash.batches(batch.column(1).to_pylist(), size=wordhash.BLOCK // 2):
                 out = defaultdict(list)
                 for k, tokens in enumerate(tok.encode(group)):
                     tokens = np.append(tokens, 0).astype("<u4")
