@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import functools
-import os
-import shutil
 import tempfile
 import uuid
-from pathlib import Path
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lineage import ship  # noqa: F401
+from .wordhash import mix
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The checkpoint folder of the session; a local one is set only where none is configured."""
@@ -39,21 +39,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@functools.cache
-def _archive() -> str:
-    root = Path(__file__).resolve().parents[2]
-    return shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="spanwise-"), "spanwise"), "zip", root, Path(__file__).resolve().parents[1].name)
-
-
-def ship(df: DataFrame) -> DataFrame:
-    """Sees to it that executors can import this package; Spark sends the archive to each of them."""
-    sc = df.sparkSession.sparkContext
-    if not getattr(sc, "_spanwise_shipped", False):
-        sc.addPyFile(_archive())
-        sc._spanwise_shipped = True
-    return df
-
-
 #: Rows of one id each, 8 bytes or so, up to which a materialised table is broadcast.
 BROADCAST_IDS = 1_000_000
 
@@ -69,7 +54,58 @@ def frequent_values(df: DataFrame, column: str, most: int, tracked: int, groups:
     Misra-Gries summaries with `tracked` counters, made in each task, merged in `groups` groups of
     tasks and then to one: any value that fills over 1 / (0.75 * tracked) of the rows is among them.
     """
-    summed = df.groupBy(F.pmod(F.spark_partition_id(), F.lit(groups)).alias("part")).agg(F.expr(f"approx_top_k_accumulate({column}, {tracked})").alias("summary"))
-    merged = summed.agg(F.expr(f"approx_top_k_combine(summary, {tracked})").alias("summary"))
+    kind = dict(df.dtypes)[column]
+    # a null, which is not counted, so that there is a summary to merge when there are no rows
+    rows = df.select(column).union(df.sparkSession.range(1).select(F.lit(None).cast(kind)))
+    summed = rows.groupBy(F.pmod(F.spark_partition_id(), F.lit(groups)).alias("part")).agg(F.expr(f"approx_top_k_accumulate({column}, {tracked})").alias("summary"))
+    # in one partition, as merging fails on an empty one; there are `groups` rows at most
+    merged = summed.repartition(1).agg(F.expr(f"approx_top_k_combine(summary, {tracked})").alias("summary"))
     top = merged.select(F.explode(F.expr(f"approx_top_k_estimate(summary, {most})")).alias("x"))
     return top.select("x.item", "x.count")
+
+
+#: Bits of a membership bitmap, 8 MB, and bits set for each value.
+BITS, HASHES = 1 << 26, 2
+
+
+class Bitmap:
+    """Which 64-bit values may be in a set: never wrong about one that is, and of a fixed size.
+
+    Where the set is too large for it, it says yes more often; what relies on it then moves
+    more rows, with the same result.
+    """
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+
+    @staticmethod
+    def places(values: np.ndarray) -> list[np.ndarray]:
+        h = mix(values.view(np.uint64))
+        return [(h >> np.uint64(26 * k)) & np.uint64(BITS - 1) for k in range(HASHES)]
+
+    def may_hold(self, values: np.ndarray) -> np.ndarray:
+        found = np.ones(len(values), bool)
+        for at in self.places(values):
+            found &= (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+        return found
+
+    @classmethod
+    def of(cls, df: DataFrame, column: str) -> Bitmap:
+        """Made by an aggregation of at most BITS / 64 rows, which the driver gets."""
+
+        def run(batches):
+            import pyarrow as pa
+
+            words = np.zeros(BITS // 64, np.uint64)
+            for batch in batches:
+                for at in cls.places(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)):
+                    np.bitwise_or.at(words, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+            held = np.flatnonzero(words)
+            for a in range(0, len(held), 1 << 16):
+                part = held[a : a + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(words[part].view(np.int64))], names=["at", "word"])
+
+        parts = ship(df).select(F.col(column).cast("long")).mapInArrow(run, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
+        words = np.zeros(BITS // 64, np.uint64)
+        words[parts.column(0).to_numpy()] = parts.column(1).to_numpy().view(np.uint64)
+        return cls(words)
