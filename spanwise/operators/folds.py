@@ -137,3 +137,102 @@ def fix_octaves(least_gain: float) -> Callable[[list[Note]], list[tuple]]:
         return [(n[4], int(n[2]), int(p)) for n, p in zip(notes, pitch, strict=True)]
 
     return fold
+
+
+def bridge_merge(gap: float, step: float) -> Callable[[list[Note]], list[tuple]]:
+    """A note joins the last one over a short gap to a near pitch; the pitch becomes the mean by duration."""
+
+    def fold(notes: list[Note]) -> list[tuple]:
+        out: list[list] = []
+        for note in notes:
+            last = out[-1] if out else None
+            if last and note[0] - last[1] <= gap and abs(note[2] - last[2]) <= step:
+                a, b = last[1] - last[0], note[1] - note[0]
+                last[2] = (last[2] * a + note[2] * b) / (a + b) if a + b > 0 else last[2]
+                last[1], last[3], last[5] = max(last[1], note[1]), max(last[3], note[3]), last[5] + 1
+            else:
+                out.append([*note, 1])
+        return [(n[4], n[0], n[1], float(n[2]), n[5]) for n in out]
+
+    return fold
+
+
+def replace_weaker() -> Callable[[list[Note]], list[tuple]]:
+    """Of two notes that overlap the more confident stays whole, the earlier of equals."""
+
+    def fold(notes: list[Note]) -> list[tuple]:
+        kept: list[Note] = []
+        for note in notes:
+            while kept and kept[-1][1] > note[0] and kept[-1][3] < note[3]:
+                kept.pop()
+            if not kept or kept[-1][1] <= note[0]:
+                kept.append(note)
+        return [(n[4], n[0], n[1], int(n[2])) for n in kept]
+
+    return fold
+
+
+def absorb_short(most_sec: float, passes: int = 2) -> Callable[[list[Note]], list[tuple]]:
+    """A short note between two of one pitch makes one note with them; again until nothing changes, `passes` times at most."""
+
+    def once(notes: list[tuple]) -> list[tuple]:
+        out: list[tuple] = []
+        for note in notes:
+            if len(out) > 1 and out[-1][1] - out[-1][0] <= most_sec and out[-2][2] == note[2]:
+                first = out[-2]
+                out[-2:] = [(first[0], max(first[1], note[1]), first[2], max(first[3], note[3]), first[4])]
+            else:
+                out.append(note)
+        return out
+
+    def fold(notes: list[Note]) -> list[tuple]:
+        for _ in range(passes):
+            now = once(notes)
+            if len(now) == len(notes):
+                break
+            notes = now
+        return [(n[4], n[0], n[1], int(n[2])) for n in notes]
+
+    return fold
+
+
+def cheapest_path(costs: list[list[float]], step: Callable[[int, int, int], float]) -> list[int]:
+    """States of the least total of own costs and step(k, from, to) costs; the smaller state of equals."""
+    total, back = list(costs[0]), []
+    for k in range(1, len(costs)):
+        ways = [min((total[i] + step(k, i, j), i) for i in range(len(total))) for j in range(len(costs[k]))]
+        back.append([i for _, i in ways])
+        total = [w + c for (w, _), c in zip(ways, costs[k], strict=True)]
+    path = [min(range(len(total)), key=lambda j: (total[j], j))]
+    for b in reversed(back):
+        path.append(b[path[-1]])
+    return path[::-1]
+
+
+#: What a note's pitch may be heard as, in semitones, and the cost of hearing it so; None: not at all.
+HEARD = [(0, 0.0), (-12, 0.6), (12, 0.6), (None, 1.2)]
+
+
+def octave_path(notes: list[Note]) -> list[tuple]:
+    """The cheapest way to hear each note, as it is, an octave off or not at all; jumps cost by octaves, doubt makes silence cheaper."""
+    costs = [[c * (0.5 + n[3]) if s is not None else 0.2 + c * n[3] for s, c in HEARD] for n in notes]
+
+    def step(k: int, i: int, j: int) -> float:
+        a, b = HEARD[i][0], HEARD[j][0]
+        return 0.3 if a is None or b is None else abs(notes[k][2] + b - notes[k - 1][2] - a) / 12
+
+    path = cheapest_path(costs, step)
+    return [(n[4], int(n[2]), None if HEARD[s][0] is None else int(n[2]) + HEARD[s][0]) for n, s in zip(notes, path, strict=True)]
+
+
+def lattice_snap(grid: float) -> Callable[[list[Note]], list[tuple]]:
+    """Onsets on the grid, each at one of the three nearest points, so that shifts, collisions and reversed order cost least in all."""
+
+    def fold(notes: list[Note]) -> list[tuple]:
+        points = [[round(n[0] / grid) + d for d in (-1, 0, 1)] for n in notes]
+        costs = [[abs(p * grid - n[0]) / grid for p in ps] for n, ps in zip(notes, points, strict=True)]
+        step = lambda k, i, j: 0.0 if points[k][j] > points[k - 1][i] else 1.0 if points[k][j] == points[k - 1][i] else 4.0
+        path = cheapest_path(costs, step)
+        return [(n[4], n[0], points[k][s] * grid) for k, (n, s) in enumerate(zip(notes, path, strict=True))]
+
+    return fold

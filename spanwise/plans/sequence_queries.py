@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import alignment as L
@@ -107,3 +108,92 @@ def d7_tempo_candidates(spark, sf):
     m = d.groupBy("sample_id").agg((60 / F.median("step")).alias("bpm"))
     tries = F.transform(F.array(*map(F.lit, (0.25, 0.5, 1.0, 2.0, 4.0))), lambda f: F.struct(F.abs(F.log(F.col("bpm") * f / 110)).alias("d"), f.alias("f")))
     return m.select("sample_id", r6("bpm").alias("raw_bpm"), r6(F.col("bpm") * F.array_min(tries)["f"]).alias("bpm"))
+
+
+@REGISTRY.query("i12_bridge_merge")
+def i12_bridge_merge(spark, sf):
+    return D.fold_runs(T.notes(spark, sf), "sample_id", 0.12, D.bridge_merge(0.12, 2.0), "note_seq long, start_sec double, end_sec double, pitch double, n_merged int")
+
+
+@REGISTRY.query("i15_replace_weaker")
+def i15_replace_weaker(spark, sf):
+    return D.fold_runs(T.notes(spark, sf), "sample_id", 0.0, D.replace_weaker(), "note_seq long, start_sec double, end_sec double, pitch int")
+
+
+@REGISTRY.query("i18_absorb_short")
+def i18_absorb_short(spark, sf):
+    """Also the chain to a fixpoint."""
+    return D.fold_runs(T.notes(spark, sf), "sample_id", 0.5, D.absorb_short(0.2), "note_seq long, start_sec double, end_sec double, pitch int")
+
+
+@REGISTRY.query(
+    "i19_isolated_fragments",
+    f"""WITH {NOTES}, x AS (SELECT *, max(end_sec) OVER (PARTITION BY sample_id ORDER BY start_sec, note_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM notes), k AS (SELECT *, sum(coalesce((start_sec > reach + 0.3)::INT, 0)) OVER {BY} AS run FROM x),
+  c AS (SELECT *, count(*) OVER (PARTITION BY sample_id, run) AS n FROM k) SELECT sample_id, note_seq, NOT (n = 1 AND end_sec - start_sec < 0.15) AS kept FROM c""",
+)
+def i19_isolated_fragments(spark, sf):
+    """Short notes alone between silences go: a run of one note, so no fold is needed."""
+    n = T.notes(spark, sf).withColumn("reach", I.reach(KEY, ORDER))
+    k = I.island_ids(n, KEY, ORDER, F.col("start_sec") > F.col("reach") + 0.3, "run")
+    alone = F.count(F.lit(1)).over(W.partitionBy("sample_id", "run")) == 1
+    return k.select("sample_id", "note_seq", (~(alone & (F.col("end_sec") - F.col("start_sec") < 0.15))).alias("kept"))
+
+
+@REGISTRY.query(
+    "j20_gaps_in_runs",
+    f"""WITH {NOTES}, v AS (SELECT *, max(end_sec) OVER (PARTITION BY sample_id ORDER BY start_sec, end_sec ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM notes WHERE state = 'vocal'), g AS (SELECT sample_id, reach AS a, start_sec AS b FROM v WHERE start_sec > reach)
+  SELECT n.sample_id, note_seq, round(a, 6) AS gap_start, round(least(end_sec, b) - greatest(start_sec, a), 6) AS clipped_sec FROM notes n JOIN g ON n.sample_id = g.sample_id AND end_sec > a AND start_sec < b WHERE state = 'instrumental' AND least(end_sec, b) - greatest(start_sec, a) >= 0.12""",
+)
+def j20_gaps_in_runs(spark, sf):
+    """Instrumental notes clipped to the gaps between vocal ones, 0.12 seconds at least."""
+    n = T.notes(spark, sf)
+    g = I.gaps(n.where("state = 'vocal'"), KEY, width=10.0).select("sample_id", F.col("gap_start").alias("a"), F.col("gap_end").alias("b"))
+    both = F.least("end_sec", "b") - F.greatest("start_sec", "a")
+    j = I.interval_join(n.where("state = 'instrumental'"), g, KEY, 1.0, "start_sec", "end_sec", "a", "b", both >= 0.12)
+    return j.select("sample_id", "note_seq", r6("a").alias("gap_start"), r6(both).alias("clipped_sec"))
+
+
+@REGISTRY.query(
+    "j14_equivalent_segments",
+    f"""WITH {NOTES}, a AS (SELECT * FROM notes WHERE note_seq % 2 = 0), b AS (SELECT sample_id, note_seq AS other, start_sec + 0.01 AS s2, end_sec + 0.02 AS e2, pitch AS p2 FROM notes WHERE note_seq % 3 = 0),
+  r AS (SELECT a.sample_id, note_seq, other, s2, e2, row_number() OVER (PARTITION BY a.sample_id, note_seq ORDER BY round(least(end_sec, e2) - greatest(start_sec, s2), 9) DESC, other) AS k FROM a JOIN b ON a.sample_id = b.sample_id AND end_sec > s2 AND start_sec < e2 WHERE abs(pitch - p2) <= 1 AND least(end_sec, e2) - greatest(start_sec, s2) >= 0.8 * greatest(end_sec - start_sec, e2 - s2))
+  SELECT a.sample_id, a.note_seq, other, round(coalesce(s2, start_sec), 6) AS start_sec, round(coalesce(e2, end_sec), 6) AS end_sec FROM a LEFT JOIN r ON a.sample_id = r.sample_id AND a.note_seq = r.note_seq AND k = 1""",
+)
+def j14_equivalent_segments(spark, sf):
+    """Segments give way to the best that overlaps them by 80 percent both ways with nearly the same pitch."""
+    n = T.notes(spark, sf)
+    a = n.where("note_seq % 2 = 0").select("sample_id", "note_seq", "start_sec", "end_sec", "pitch")
+    b = n.where("note_seq % 3 = 0").select("sample_id", F.col("note_seq").alias("other"), (F.col("start_sec") + 0.01).alias("s2"), (F.col("end_sec") + 0.02).alias("e2"), F.col("pitch").alias("p2"))
+    both = F.least("end_sec", "e2") - F.greatest("start_sec", "s2")
+    same = (F.abs(F.col("pitch") - F.col("p2")) <= 1) & (both >= 0.8 * F.greatest(F.col("end_sec") - F.col("start_sec"), F.col("e2") - F.col("s2")))
+    j = I.interval_join(a, b, KEY, 0.5, "start_sec", "end_sec", "s2", "e2", same)
+    best = j.groupBy("sample_id", "note_seq").agg(F.max_by(F.struct("other", "s2", "e2"), F.struct(F.round(both, 9), -F.col("other"))).alias("m"))
+    out = a.join(best, ["sample_id", "note_seq"], "left")
+    return out.select("sample_id", "note_seq", F.col("m.other").alias("other"), r6(F.coalesce("m.s2", "start_sec")).alias("start_sec"), r6(F.coalesce("m.e2", "end_sec")).alias("end_sec"))
+
+
+@REGISTRY.query("d2_octave_path")
+def d2_octave_path(spark, sf):
+    """The cheapest path over what each note may be heard as."""
+    return D.fold_runs(T.notes(spark, sf), "sample_id", 1.0, D.octave_path, "note_seq long, pitch int, heard int")
+
+
+@REGISTRY.query("d3_lattice_snap")
+def d3_lattice_snap(spark, sf):
+    return D.fold_runs(T.notes(spark, sf), "sample_id", 0.5, D.lattice_snap(0.125), "note_seq long, start_sec double, snapped_sec double")
+
+
+@REGISTRY.query(
+    "d8_grid_candidates",
+    f"""WITH {NOTES}, v AS (SELECT sample_id, step, phase, abs((start_sec - phase * step) / step - round_even((start_sec - phase * step) / step, 0)) AS d FROM notes, (VALUES (0.25::DOUBLE), (0.5::DOUBLE), (1.0::DOUBLE)) s(step), (VALUES (0.0::DOUBLE), (0.25::DOUBLE), (0.5::DOUBLE), (0.75::DOUBLE)) p(phase)),
+  c AS (SELECT sample_id, step, phase, round(1 - 2 * avg(d), 9) AS score FROM v GROUP BY 1, 2, 3) SELECT sample_id, step, phase, round(score, 6) AS score, row_number() OVER (PARTITION BY sample_id ORDER BY score DESC, step, phase) AS rank FROM c""",
+)
+def d8_grid_candidates(spark, sf):
+    """Twelve grids scored for each sample by how near the onsets are; one pass, all grids as aggregates."""
+    start = F.col("start_sec")
+    grids = [(s, p) for s in (0.25, 0.5, 1.0) for p in (0.0, 0.25, 0.5, 0.75)]
+    off = lambda s, p: F.abs((start - p * s) / s - F.bround((start - p * s) / s))
+    c = T.notes(spark, sf).groupBy("sample_id").agg(F.array(*(F.struct(F.lit(s).alias("step"), F.lit(p).alias("phase"), F.round(1 - 2 * F.avg(off(s, p)), 9).alias("score")) for s, p in grids)).alias("g"))
+    c = c.select("sample_id", F.explode("g").alias("g")).select("sample_id", "g.*")
+    rank = F.row_number().over(W.partitionBy("sample_id").orderBy(F.desc("score"), "step", "phase"))
+    return c.select("sample_id", "step", "phase", r6("score").alias("score"), rank.cast("long").alias("rank"))

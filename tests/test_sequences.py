@@ -1,5 +1,6 @@
 """Matching, folds and alignment against plain Python, and edge cases of interval operators."""
 
+import itertools
 import random
 
 import numpy as np
@@ -61,6 +62,25 @@ def test_trimmed_notes_do_not_overlap(spark):
         by[r.sample_id] = r.end_sec
 
 
+def test_cheapest_path_is_the_cheapest():
+    r = random.Random(6)
+    for _ in range(40):
+        costs = [[r.randrange(9) for _ in range(3)] for _ in range(r.randint(1, 6))]
+        move = [[r.randrange(5) for _ in range(3)] for _ in range(3)]
+        price = lambda p: sum(costs[k][s] for k, s in enumerate(p)) + sum(move[a][b] for a, b in zip(p, p[1:], strict=False))  # noqa: B023, E731
+        path = folds.cheapest_path(costs, lambda k, i, j: move[i][j])  # noqa: B023
+        assert price(path) == min(map(price, itertools.product(range(3), repeat=len(costs))))
+
+
+def test_small_folds():
+    n = [(0.0, 0.5, 60.0, 0.5, 1), (0.55, 0.6, 72.0, 0.4, 2), (0.62, 1.0, 60.0, 0.6, 3), (0.9, 1.2, 65.0, 0.9, 4)]
+    assert folds.absorb_short(0.1)(n) == [(1, 0.0, 1.0, 60), (4, 0.9, 1.2, 65)]
+    assert folds.replace_weaker()(n) == [(1, 0.0, 0.5, 60), (2, 0.55, 0.6, 72), (4, 0.9, 1.2, 65)]
+    assert [x[0] for x in folds.bridge_merge(0.1, 1.0)(n)] == [1, 2, 3, 4] and folds.bridge_merge(0.2, 99.0)(n)[0][4] == 4
+    assert [x[2] for x in folds.octave_path([(0, 1, 60.0, 0.9, 1), (1, 2, 72.0, 0.9, 2), (2, 3, 60.0, 0.9, 3)])][0] == 60
+    assert [x[2] for x in folds.lattice_snap(0.5)([(0.1, 1, 60.0, 1, 1), (0.2, 1, 60.0, 1, 2)])] == [0.0, 0.5]
+
+
 def naive_align(a, b):
     d = [[(0.0, 0)] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) + 1):
