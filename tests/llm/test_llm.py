@@ -490,6 +490,37 @@ def test_lm_probabilities_sum_to_one(spark):
         assert total == pytest.approx(1.0, abs=0.02)
 
 
+def test_lm_keeps_every_ngram(spark, docs, texts, monkeypatch):
+    """Scores by counts of all words, pairs and trigrams, against plain Python, with rare and heavy words, on both ways to ask."""
+    monkeypatch.setattr(language_model, "FREQUENT", 300)
+    monkeypatch.setattr(language_model, "BUCKET_CHARS", 20_000)
+    monkeypatch.setattr(language_model, "BLOCK_TOKENS", 5000)
+    c, after = Counter(), defaultdict(set)
+    for d, t in texts.items():
+        if zlib.crc32(str(d).encode()) % 7 != 2:
+            w = [*words(t), None]
+            for k in range(1, 4):
+                for g in (tuple(w[i : i + k]) for i in range(len(w) - k + 1)):
+                    c[g] += 1
+                    after[g[:-1]].add(g)
+    n, v = sum(x for g, x in c.items() if len(g) == 1), len(after[()])
+
+    def p(g):
+        if len(g) == 1:
+            return (c[g] + 1) / (n + v + 1)
+        return (max(c[g] - 0.75, 0) + 0.75 * len(after[g[:-1]]) * p(g[1:])) / c[g[:-1]] if c[g[:-1]] else p(g[1:])
+
+    fold = language_model.held_out()
+    model = language_model.train(docs.where(~fold))
+    assert model.trie is None
+    for learned in (None, ~fold):
+        got = {r.doc_id: r.score for r in language_model.score(docs, model, learned=learned).collect()}
+        assert len(got) == len(texts)
+        for d, t in texts.items():
+            w = [*words(t), None]
+            assert got[d] == pytest.approx(sum(math.log10(p(tuple(w[max(0, i - 2) : i + 1]))) for i in range(len(w))))
+
+
 # -- queries --------------------------------------------------------------------------------
 
 
