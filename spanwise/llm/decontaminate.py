@@ -1,7 +1,7 @@
 """Benchmark decontamination by SimHash of item-sized windows.
 
 For each benchmark item of n words, documents are looked at through windows of n words,
-starting at every word. A window's fingerprint is the 64-bit SimHash of its five-word
+starting at every word; a shorter document is one window, whole. A window's fingerprint is the 64-bit SimHash of its five-word
 shingles, weighted by how often they occur. Items are indexed, by number of words, under
 BLOCKS blocks of bits of their fingerprints, each with all values that differ in at most
 RADIUS // BLOCKS bits: of two fingerprints within RADIUS bits at least one block differs
@@ -14,9 +14,12 @@ over a shared shingle get a fingerprint. The rest of a text costs one hash a wor
 Items are taken in blocks of ITEMS_AT_ONCE, with one pass over the documents for each
 block; what travels to the tasks is bounded by the block. Documents are never shuffled.
 
-Results for odd input. Words are runs of letters and digits, lower-cased. Items of fewer
-than five words are no evidence and are passed over, as are null texts on either side and
-empty tables. Repeated items give results of their own; repeated documents too. Ties
+A document shorter than an item is compared with every item that shares enough shingles
+with it, without fingerprints. An item of fewer than five words is one shingle of all its
+words, and is held by every document with these words in a row.
+
+Results for odd input. Words are runs of letters and digits, lower-cased. Null texts on
+either side, items without a word and empty tables give nothing. Repeated items give results of their own; repeated documents too. Ties
 between windows go to the first. Other columns are ignored, and kept by `drop_leaks`.
 """
 
@@ -75,9 +78,16 @@ class Index:
         by_words = defaultdict(list)
         for item_id, text in items:
             found = wordhash.words((text or "").lower().encode("utf-8", "surrogatepass"), letters_only=True)
-            if len(found) >= SHINGLE:
+            if len(found):
                 by_words[len(found)].append(len(self.items))
                 self.items.append((item_id, wordhash.shingles(found, SHINGLE)))
+        self.short = {n: by_words.pop(n) for n in range(1, SHINGLE) if n in by_words}
+        long = [(n, k) for n, members in by_words.items() for k in members]
+        #: Different shingles of the other items, sorted, and the items.
+        posted = np.concatenate([np.zeros(0, np.uint64), *(np.unique(self.items[k][1]) for _, k in long)])
+        poster = np.repeat(np.array([k for _, k in long], np.int64), [len(np.unique(self.items[k][1])) for _, k in long])
+        order = np.argsort(posted, kind="stable")
+        self.posted, self.poster = posted[order], poster[order]
         self.sizes = {}
         owner = defaultdict(set)
         for n, members in by_words.items():
@@ -109,6 +119,15 @@ class Index:
         close = apart <= RADIUS
         return w[close], members[k[close]], apart[close]
 
+    def over_whole(self, own: np.ndarray) -> Iterator[tuple[int, float, int]]:
+        """Items of more words than a document with these shingles, similarity and differing bits."""
+        lo, hi = np.searchsorted(self.posted, own, "left"), np.searchsorted(self.posted, own, "right")
+        items, shared = np.unique(np.concatenate([self.poster[a:b] for a, b in zip(lo, hi, strict=True)]), return_counts=True)
+        for k in items[shared >= SIMILAR * len(own) - 1e-9].tolist():
+            item = self.items[k][1]
+            if len(item) > len(own) and (score := similarity(own, item)) >= SIMILAR:
+                yield k, score, int(np.bitwise_count(simhash(own, len(own))[0] ^ simhash(item, len(item))[0]))
+
     def search(self, found: np.ndarray) -> list[tuple[int, float, int, int, int]]:
         """Item, best similarity, first word, number of words and differing bits, for the word hashes of a document."""
         own = wordhash.shingles(found, SHINGLE) if len(found) >= SHINGLE else np.zeros(0, np.uint64)
@@ -119,6 +138,13 @@ class Index:
             for n in self.widths[at[p]].tolist():
                 starts[n].append(p)
         best: dict[int, tuple[float, int, int, int]] = {}
+        for n, members in self.short.items():
+            held = wordhash.shingles(found, n) if len(found) >= n else np.zeros(0, np.uint64)
+            for k in members:
+                if len(same := np.flatnonzero(held == self.items[k][1][0])):
+                    best[k] = (1.0, int(same[0]), n, 0)
+        if any(len(own) < n - SHINGLE + 1 for n in starts):
+            best.update((k, (score, 0, len(found), apart)) for k, score, apart in self.over_whole(own))
         for n, places in starts.items():
             width = n - SHINGLE + 1
             begin = np.unique(np.concatenate([np.arange(max(0, p - width + 1), min(p, len(own) - width) + 1) for p in places]))

@@ -211,6 +211,28 @@ def test_decontamination(spark):
     assert decontaminate.find_leaks(df, bench.limit(0)).count() == 0 and decontaminate.find_leaks(df.limit(0), bench).count() == 0
 
 
+def test_decontamination_of_short_texts(spark):
+    """Documents with fewer words than an item, against all shingles; items of fewer than five words."""
+    item = [f"w{k}" for k in range(40)]
+    docs = {0: item[:39], 1: item[1:], 2: item[:20] + item[21:], 3: item[:32], 4: item[:33], 5: item[:9] + item[10:], 6: ["a", "w7", "b", "c"], 7: ["c", "b"], 8: ["x", "a", "b"], 9: item[:4], 10: []}
+    items = {0: item, 1: item[:41] + ["y"], 2: ["a", "b"], 3: ["C"], 4: item[:9], 5: item[:5]}
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    bag = lambda w, n: Counter(tuple(w[k : k + n]) for k in range(len(w) - n + 1))
+    want = {}
+    for d, w in docs.items():
+        for i, v in items.items():
+            v, n = [x.lower() for x in v], min(5, len(v))
+            for k in range(max(1, len(w) - len(v) + 1)):
+                a, b = bag(w[k : k + len(v)], n), bag(v, n)
+                score = sum((a & b).values()) / sum((a | b).values())
+                if score >= 0.8 and score > want.get((d, i), 0):
+                    want[d, i] = score
+    got = {(x.doc_id, x.item_id): x.similarity for x in decontaminate.find_leaks(df, bench).collect()}
+    assert got == pytest.approx(want) and want[0, 0] == 35 / 36 and (8, 2) in want and (7, 3) in want and (7, 2) not in want
+    assert {x.doc_id for x in decontaminate.drop_leaks(df, bench).collect()} == set(docs) - {d for d, _ in want}
+
+
 def test_hamming_blocks_return_all_within_the_radius():
     r = np.random.default_rng(1)
     index = decontaminate.Index([(k, " ".join(f"w{x}" for x in r.integers(0, 30, 20))) for k in range(200)])
