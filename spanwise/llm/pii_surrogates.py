@@ -45,15 +45,22 @@ ALPHABETS = ["abcdefghijklmnopqrstuvwxyz", "абвгдежзиклмнопрст
 _EDGE, _STOP = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _TITLE = "(?:" + "|".join(MALE + FEMALE + NEUTRAL) + r")\.?"
+#: Phone numbers: three groups of 3, 3 and 4; after a country's code; after a trunk 0, 9 to 12 digits that are no date.
+_PHONES = [
+    r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}",
+    r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d(?:[ ./-]?\d){5,11}",
+    r"(?!\d\d[ ./-]\d\d[ ./-](?:19|20)\d\d(?!\d))(?:0\d[ ./-](?:[ ./-]?\d){7,9}|0\d\d[ ./-](?:[ ./-]?\d){6,8}|0\d{3,4}[ ./-](?:[ ./-]?\d){5,7})",
+    r"\(0\d{1,4}\)[ ./-]?\d(?:[ ./-]?\d){4,8}",
+]
 #: Kinds by precedence.
 KINDS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}" + _STOP,
     "key": _EDGE + r"AKIA[0-9A-Z]{16}" + _STOP,
-    "hash": _EDGE + r"[0-9a-f]{40}" + _STOP,
+    "hash": _EDGE + r"[0-9a-fA-F]{40}" + _STOP,
     "iban": _EDGE + r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?" + _STOP,
     "card": _EDGE + r"\d{4}(?:[ -]?\d{4}){3}" + _STOP,
     "ssn": _EDGE + r"\d{3}-\d{2}-\d{4}" + _STOP,
-    "phone": r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}" + _STOP,
+    "phone": r"(?<![\p{L}\p{N}+])(?:" + "|".join(p + _STOP for p in _PHONES) + ")",
     "ip": r"(?<![\p{L}\p{N}.])" + rf"{_OCTET}(?:\.{_OCTET}){{3}}" + r"(?![\p{L}\p{N}]|\.\d)",
     "name": _EDGE + _TITLE + r"(?: \p{Lu}[\p{L}'-]{1,30}){1,3}" + _STOP,
 }
@@ -171,7 +178,8 @@ def written_like(match: Column, kind: Column, core: Column, new: Column) -> Colu
     title = F.regexp_extract(match, rf"^{_TITLE} ", 0)
     rest = F.substr(match, F.length(title) + 1)
     named = F.concat(title, F.when((F.upper(rest) == rest) & (F.length(rest) > 2), F.upper(new)).otherwise(new))
-    return F.when(kind == "ip", new).when(kind == "name", named).otherwise(_joined(F.length(match), char))
+    capital = (kind == "hash") & match.rlike("[A-F]") & (F.upper(match) == match)
+    return F.when(kind == "ip", new).when(kind == "name", named).when(capital, F.upper(new)).otherwise(_joined(F.length(match), char))
 
 
 def _matches(text: Column) -> Column:
@@ -191,10 +199,12 @@ def later_attempts(found: DataFrame, key: str) -> DataFrame:
     cores = materialize(found.select("kind", "core").distinct(), "cores")
     make = lambda df: df.withColumn("new", surrogate(F.col("kind"), F.col("core"), F.col("attempt"), key))
     now = make(cores.withColumn("attempt", F.lit(0)))
-    taken = cores.select("kind", F.col("core").alias("new"), F.lit(True).alias("real"))
+    # surrogates and cores in one form: lower-case, and a name without the mark of its gender
+    written = F.when(F.col("kind") == "name", F.regexp_replace("core", r"^[mfn]\|", "")).otherwise(F.col("core"))
+    taken = cores.select("kind", F.lower(written).alias("form"), F.lit(True).alias("real")).distinct()
     while True:
-        order = F.row_number().over(W.partitionBy("kind", "new").orderBy("attempt", "core"))
-        now = materialize(now.withColumn("nth", order).join(taken, ["kind", "new"], "left").withColumn("clash", (F.col("nth") > 1) | F.col("real").isNotNull()).drop("nth", "real"), "surrogates")
+        order = F.row_number().over(W.partitionBy("kind", "form").orderBy("attempt", "core"))
+        now = materialize(now.withColumn("form", F.lower("new")).withColumn("nth", order).join(taken, ["kind", "form"], "left").withColumn("clash", (F.col("nth") > 1) | F.col("real").isNotNull()).drop("nth", "real", "form"), "surrogates")
         if now.where("clash").isEmpty():
             return now.where("attempt > 0").select("kind", "core", "attempt")
         again = make(now.where("clash").select("kind", "core", (F.col("attempt") + 1).alias("attempt")))

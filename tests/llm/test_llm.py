@@ -99,6 +99,24 @@ def test_pii_collisions_are_resolved(spark):
     assert not real & {r.surrogate for r in out}
 
 
+def test_pii_formats_and_real_names(spark):
+    """Capital hex tokens, phones of other countries, and surrogates that would be a name that occurs."""
+    token = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"
+    phones = ["+49 30 1234567", "+33 1 23 45 67 89", "+44 20 7946 0958", "+4930123456", "030/12345678", "(030) 123456", "01 23 45 67 89", "0171-1234567"]
+    plain = ["on 01.02.2024 12:30", "05 12 2020 11", "12 345 678", "0.25", "2024-01-02"]
+    schema = "doc_id long, text string"
+    rows = [(0, f'TOKEN = "{token}"'), *((k + 1, f"Call {p}, please.") for k, p in enumerate(phones)), *((k + 50, f"x {p} y") for k, p in enumerate(plain))]
+    got = {r.doc_id: r for r in pii_surrogates.replace_entities(spark.createDataFrame(rows, schema)).collect()}
+    assert re.fullmatch(r'TOKEN = "[0-9A-F]{40}"', got[0].text) and token not in got[0].text
+    for k, p in enumerate(phones):
+        assert [e.kind for e in got[k + 1].entities] == ["phone"] and p not in got[k + 1].text, p
+        assert re.sub(r"\d", "0", got[k + 1].text) == re.sub(r"\d", "0", rows[k + 1][1])
+    assert all(got[k + 50].text == rows[1 + len(phones) + k][1] for k in range(len(plain)))
+    one = pii_surrogates.replace_entities(spark.createDataFrame([(1, "Mr. John Smith")], schema)).first().text
+    both = {r.doc_id: r.text for r in pii_surrogates.replace_entities(spark.createDataFrame([(1, "Mr. John Smith"), (2, one.replace("Mr.", "Dr."))], schema)).collect()}
+    assert both[1] != one and both[1].startswith("Mr. ")
+
+
 # -- op2 ------------------------------------------------------------------------------------
 
 
