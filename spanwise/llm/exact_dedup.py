@@ -3,9 +3,9 @@
 A Misra-Gries summary of the text digests (the frequent-items sketch behind
 `approx_top_k`, kept per task and merged in two steps, `TRACKED` counters) names the digests that
 may be frequent. An aggregation that combines on the map side verifies their groups,
-and the verified winners, at most `HEAVY` rows, are broadcast, so rows of frequent
-groups never travel. A digest that the summary leaves out occurs in about
-rows / TRACKED rows at most; those groups take an ordinary shuffle on the digest.
+and the verified winners of all of them, at most `TRACKED` rows, are broadcast, so rows of
+frequent groups never travel. A digest that the summary leaves out occurs in at most
+1 / (0.75 * TRACKED) of the rows; those groups take an ordinary shuffle on the digest.
 
 Results for odd input. Null text counts as empty. Of equal texts the row with the
 largest id stays; of rows repeated with the same id and text, exactly one. A row with
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .scratch import broadcast_if_small, frequent_values, materialize, table
 
-#: Digests whose groups may be settled by broadcast, and counters of the summary.
-HEAVY, TRACKED = 256, 4096
+#: Counters of the summary; as many digests at most are settled by broadcast.
+TRACKED = 4096
 
 
 def text_digest(text: Column) -> Column:
@@ -32,8 +32,8 @@ def text_digest(text: Column) -> Column:
 
 
 def frequent_digests(rows: DataFrame) -> DataFrame:
-    """At most HEAVY values of `digest`, the most frequent of those in the summary."""
-    found = frequent_values(rows.select(F.hex("digest").alias("digest")), "digest", HEAVY, TRACKED)
+    """The values of `digest` in the summary, at most TRACKED."""
+    found = frequent_values(rows.select(F.hex("digest").alias("digest")), "digest", TRACKED, TRACKED)
     return found.where("count > 1").select(F.unhex("item").alias("digest"))
 
 
