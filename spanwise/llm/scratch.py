@@ -32,7 +32,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.scratch_path = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables that `materialize` wrote, once what was made of them is itself a table."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,41 +74,41 @@ def frequent_values(df: DataFrame, column: str, most: int, tracked: int, groups:
     return top.select("x.item", "x.count")
 
 
-#: Bits of a membership bitmap, 8 MB, and bits set for each value.
-BITS, HASHES = 1 << 26, 2
+#: Values that a membership bitmap takes at most, bits for each (in all at most 2^29, 64 MB), and bits set for each.
+MOST, ROOM, HASHES = 1 << 26, 8, 2
 
 
 class Bitmap:
-    """Which 64-bit values may be in a set: never wrong about one that is, and of a fixed size.
-
-    Where the set is too large for it, it says yes more often; what relies on it then moves
-    more rows, with the same result.
-    """
+    """Which 64-bit values may be in a set, with ROOM bits for each: never wrong about one that is."""
 
     def __init__(self, words: np.ndarray):
         self.words = words
 
     @staticmethod
-    def places(values: np.ndarray) -> list[np.ndarray]:
+    def places(values: np.ndarray, bits: int) -> list[np.ndarray]:
         h = mix(values.view(np.uint64))
-        return [(h >> np.uint64(26 * k)) & np.uint64(BITS - 1) for k in range(HASHES)]
+        return [(h >> np.uint64(32 * k)) & np.uint64(bits - 1) for k in range(HASHES)]
 
     def may_hold(self, values: np.ndarray) -> np.ndarray:
         found = np.ones(len(values), bool)
-        for at in self.places(values):
+        for at in self.places(values, 64 * len(self.words)):
             found &= (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
         return found
 
     @classmethod
-    def of(cls, df: DataFrame, column: str) -> Bitmap:
-        """Made by an aggregation of at most BITS / 64 rows, which the driver gets."""
+    def of(cls, df: DataFrame, column: str, most: int = MOST) -> Bitmap | None:
+        """Sized by a count of the rows and made by an aggregation; none for more than `most` rows, where Spark joins instead."""
+        count = df.count()
+        if count > most:
+            return None
+        bits = 1 << max(16, (ROOM * count - 1).bit_length())
 
         def run(batches):
             import pyarrow as pa
 
-            words = np.zeros(BITS // 64, np.uint64)
+            words = np.zeros(bits // 64, np.uint64)
             for batch in batches:
-                for at in cls.places(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)):
+                for at in cls.places(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), bits):
                     np.bitwise_or.at(words, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
             held = np.flatnonzero(words)
             for a in range(0, len(held), 1 << 16):
@@ -106,6 +116,6 @@ class Bitmap:
                 yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(words[part].view(np.int64))], names=["at", "word"])
 
         parts = ship(df).select(F.col(column).cast("long")).mapInArrow(run, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
-        words = np.zeros(BITS // 64, np.uint64)
+        words = np.zeros(bits // 64, np.uint64)
         words[parts.column(0).to_numpy()] = parts.column(1).to_numpy().view(np.uint64)
         return cls(words)
