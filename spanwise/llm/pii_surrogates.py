@@ -4,12 +4,15 @@ Entities are found by one pattern. An entity is its kind and its core: what is t
 however it is written (the digits of a phone number, a lower-case address). The surrogate of
 a core follows from a key: characters are replaced one by one by others of the same sort and
 script, within what the kind allows, so length, punctuation and case stay; a name keeps its
-title and gets a first name of the same gender and script. The same core gets the same
+title and gets a first name of the same gender and script. After a title that tells no gender, the
+first name does (a known one, or else by its last letter), so a name is the same person under
+either title; letters of other scripts become Latin ones. The same core gets the same
 surrogate in all documents, and e-mail addresses of one domain keep sharing one.
 
 Surrogates are checked over all distinct cores: where two cores got the same one, or one is
 a core that occurs, all but the least core try again under the next attempt, until no
-collision is left. First attempts are computed in place from the key, so only documents with
+collision is left. From attempt `WIDEN` on, where a kind has hardly any free surrogates, each core
+still left gets a number of its own, written behind the surrogate; so the attempts end. First attempts are computed in place from the key, so only documents with
 a core of a later attempt, which are few, take part in a join; texts do not move otherwise.
 
 Results for odd input. Null text stays null, without entities; text without entities stays
@@ -40,7 +43,12 @@ FIRST = {
     ("m", "greek"): ["Ανδρέας", "Γιώργος", "Δημήτρης", "Κώστας", "Νίκος", "Πέτρος", "Σταύρος", "Φίλιππος"],
     ("f", "greek"): ["Άννα", "Βασιλική", "Δήμητρα", "Ελένη", "Κατερίνα", "Μαρία", "Σοφία", "Χριστίνα"],
 }
+#: Letters that stand for each other, by code points: plain and marked ones of Latin, Cyrillic and Greek, and Armenian.
 ALPHABETS = ["abcdefghijklmnopqrstuvwxyz", "абвгдежзиклмнопрстуфхцчшщэюя", "αβγδεζηθικλμνξοπρστυφχψω"]
+ALPHABETS += ["".join(c for c in map(chr, range(first, last)) if c.islower() and c.upper().lower() == c and len(c.upper()) == 1) for first, last in ((0xDF, 0x180), (0x450, 0x530), (0x3AC, 0x3CF), (0x561, 0x587))]
+ALPHABETS += ["йъыь"]
+#: The first attempt that writes a number behind the surrogate.
+WIDEN = 5
 
 _EDGE, _STOP = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
@@ -78,8 +86,12 @@ def kind_of(match: Column) -> Column:
 
 
 def _gender(match: Column) -> Column:
+    """Of the title, else of the first name."""
     starts = lambda titles: match.rlike("^(?:" + "|".join(titles) + r")[. ]")
-    return F.when(starts(FEMALE), "f").when(starts(MALE), "m").otherwise("n")
+    first = F.lower(F.regexp_extract(match, rf"^{_TITLE} ([^ ]+)", 1))
+    known = {g: [n.lower() for (of, _), names in FIRST.items() if of == g for n in names] for g in "mf"}
+    by_name = F.when(first.isin(known["f"]), "f").when(first.isin(known["m"]), "m").when(first.rlike("[aàáâαάая]$"), "f").otherwise("m")
+    return F.when(starts(FEMALE), "f").when(starts(MALE), "m").otherwise(by_name)
 
 
 def core_of(match: Column, kind: Column) -> Column:
@@ -101,11 +113,12 @@ def _pick(seed: Column, at: Column | int, n: int | Column) -> Column:
 
 
 def _letter(c: Column, v: Column, alphabets: list[str]) -> Column:
-    """A letter of the same script."""
-    out = c
-    for letters in alphabets:
-        out = F.when(F.instr(F.lit(letters), c) > 0, F.substr(F.lit(letters), (F.pmod(v, F.lit(len(letters))) + 1).cast("int"), F.lit(1))).otherwise(out)
-    return out
+    """A letter of the same script; of scripts without an alphabet here, a Latin one."""
+    every, begin = "".join(alphabets), [sum(map(len, alphabets[:k])) for k in range(len(alphabets))]
+    table = lambda values: F.array(*(F.lit(x) for k, letters in enumerate(alphabets) for x in [values[k]] * len(letters)))
+    at = F.instr(F.lit(every), c)
+    own = F.pmod(v, F.element_at(table([len(x) for x in alphabets]), at)) + F.element_at(table(begin), at)
+    return F.when(at > 0, F.substr(F.lit(every), (own + 1).cast("int"), F.lit(1))).when(c.rlike(r"\p{L}"), F.substr(F.lit(every), (F.pmod(v, F.lit(len(alphabets[0]))) + 1).cast("int"), F.lit(1))).otherwise(c)
 
 
 def _joined(n: Column, make) -> Column:
@@ -144,13 +157,13 @@ def surrogate(kind: Column, core: Column, attempt: Column, key: str) -> Column:
 
     words = F.split(F.substr(core, F.lit(3)), " ")
     script = F.when(core.rlike(r"\p{IsCyrillic}"), "cyrillic").when(core.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
-    gender = F.when(F.substr(core, F.lit(1), F.lit(1)) == "n", F.when(_pick(seed, 98, 2) == 0, "m").otherwise("f")).otherwise(F.substr(core, F.lit(1), F.lit(1)))
+    gender = F.substr(core, F.lit(1), F.lit(1))
     first = F.lit("")
     for (g, s), names in FIRST.items():
         first = F.when((gender == g) & (script == s), F.element_at(F.array(*map(F.lit, names)), (_pick(seed, 97, len(names)) + 1).cast("int"))).otherwise(first)
     rest = F.transform(words, lambda w, k: F.initcap(_joined(F.length(w), lambda i: _letter(F.substr(w, i, F.lit(1)), F.xxhash64(seed, k, i), ALPHABETS))))
     name = F.when(F.size(words) > 1, F.array_join(F.concat(F.array(first), F.slice(rest, 2, 3)), " ")).otherwise(rest[0])
-    return (
+    made = (
         F.when(kind == "email", email)
         .when(kind == "hash", hashed)
         .when(kind == "phone", phone)
@@ -161,6 +174,9 @@ def surrogate(kind: Column, core: Column, attempt: Column, key: str) -> Column:
         .when(kind == "name", name)
         .otherwise(_joined(n, lambda i: digit(v(i))))
     )
+    number = (attempt - WIDEN).cast("string")
+    mark = F.when(kind.isin("email", "name"), F.translate(number, "0123456789", "abcdefghij")).when(kind == "ip", F.concat(F.lit("."), number)).otherwise(number)
+    return F.when(attempt >= WIDEN, F.concat(made, mark)).otherwise(made)
 
 
 def written_like(match: Column, kind: Column, core: Column, new: Column) -> Column:
@@ -179,7 +195,8 @@ def written_like(match: Column, kind: Column, core: Column, new: Column) -> Colu
     rest = F.substr(match, F.length(title) + 1)
     named = F.concat(title, F.when((F.upper(rest) == rest) & (F.length(rest) > 2), F.upper(new)).otherwise(new))
     capital = (kind == "hash") & match.rlike("[A-F]") & (F.upper(match) == match)
-    return F.when(kind == "ip", new).when(kind == "name", named).when(capital, F.upper(new)).otherwise(_joined(F.length(match), char))
+    more = F.substr(new, F.length(core) + 1)
+    return F.when(kind == "ip", new).when(kind == "name", named).when(capital, F.upper(new)).otherwise(F.concat(_joined(F.length(match), char), more))
 
 
 def _matches(text: Column) -> Column:
@@ -201,13 +218,19 @@ def later_attempts(found: DataFrame, key: str) -> DataFrame:
     now = make(cores.withColumn("attempt", F.lit(0)))
     # surrogates and cores in one form: lower-case, and a name without the mark of its gender
     written = F.when(F.col("kind") == "name", F.regexp_replace("core", r"^[mfn]\|", "")).otherwise(F.col("core"))
-    taken = cores.select("kind", F.lower(written).alias("form"), F.lit(True).alias("real")).distinct()
+    taken = materialize(cores.select("kind", F.lower(written).alias("form"), F.lit(True).alias("real")).distinct(), "taken")
     while True:
         order = F.row_number().over(W.partitionBy("kind", "form").orderBy("attempt", "core"))
         now = materialize(now.withColumn("form", F.lower("new")).withColumn("nth", order).join(taken, ["kind", "form"], "left").withColumn("clash", (F.col("nth") > 1) | F.col("real").isNotNull()).drop("nth", "real", "form"), "surrogates")
         if now.where("clash").isEmpty():
             return now.where("attempt > 0").select("kind", "core", "attempt")
-        again = make(now.where("clash").select("kind", "core", (F.col("attempt") + 1).alias("attempt")))
+        # from WIDEN on, cores that share a surrogate get different numbers, above all that were given before
+        left, given = now.where("clash"), now.agg(F.max("attempt")).first()[0]
+        if given + 1 < WIDEN:
+            again = make(left.select("kind", "core", (F.col("attempt") + 1).alias("attempt")))
+        else:
+            numbered = left.select("kind", "core", F.row_number().over(W.partitionBy("kind", "new").orderBy("core")).alias("nth"))
+            again = make(numbered.select("kind", "core", (F.col("nth") + max(given, WIDEN - 1)).cast("int").alias("attempt")))
         now = now.where("not clash").drop("clash").unionByName(again)
 
 
