@@ -2,14 +2,14 @@
 
 URLs that a rule covers are the labelled ones. The trees learn from lexical features of
 at most `MOST_TRAINING` of them, chosen by hash: length, depth, digit ratio, entropy,
-parameter counts, and how often a host suffix was blocked, which is counted over all
-labelled URLs. Suffixes with less than 1 / MOST_SUFFIXES of those rows take the overall
-rate, so the broadcast table of suffixes has MOST_SUFFIXES rows at most.
+parameter counts, and how often a host suffix was blocked. That is counted over all labelled
+URLs, for a labelled one over those outside its own fold, so no URL's own label is among its
+features. The table of all suffixes is broadcast if it is counted to be small, else joined by a shuffle.
 
 Results for odd input. A null URL, or one without `://`, has an empty host and path and no
 rule. Without labelled URLs of both kinds the verdict for the rest is that of the kind
 there is, or allow. Repeated rows give repeated results; an empty table gives an empty
-result. Other columns are ignored.
+result; a very long URL is read whole. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,18 +18,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import materialize, ship, table
+from .scratch import broadcast_if_small, materialize, ship, table
 
 #: Rule, and its verdict; a rule is a host and the start of a path.
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 MOST_TRAINING = 20_000
-MOST_SUFFIXES = 1000
+#: Folds by hash of id and URL; suffixes are counted outside of a URL's own.
+FOLDS = 5
 #: Weight of the overall rate in a suffix's rate, in rows.
 PRIOR = 10.0
 TREES, DEPTH = 10, 4
@@ -70,31 +72,66 @@ def lexical(urls: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(values[:, k]) for k in range(len(LEXICAL)))], names=[*batch.schema.names, *LEXICAL])
 
 
-def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: list[tuple[str, str]] = RULES) -> DataFrame:
-    """One row per row of `pages`: id, host, path, rule, verdict, score (the trees' probability of block; null under a rule)."""
+def _rows(pages: DataFrame, id_col: str, url_col: str, rules: list[tuple[str, str]]) -> DataFrame:
+    """id, url, host, path, rule, decided (the rule's verdict), suffix (the last two labels of the host), fold."""
     host, path = split_url(F.col("url"))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).withColumns({"host": host, "path": path})
     rule, decided = matching_rule(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": rule, "decided": decided})
-    rows = rows.withColumn("suffix", F.array_join(F.slice(F.concat(F.array(F.lit("")), F.split("host", r"\.")), -2, 2), "."))
-    counts = rows.where("decided is not null").groupBy("suffix").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("decided") == "block").alias("blocked"))
-    counts = materialize(counts, "suffixes")
-    total, blocked = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("blocked"), F.lit(0))).first()
+    suffix = F.array_join(F.slice(F.concat(F.array(F.lit("")), F.split("host", r"\.")), -2, 2), ".")
+    return rows.withColumns({"suffix": suffix, "fold": F.when(rule.isNotNull(), F.pmod(F.xxhash64("id", "url"), F.lit(FOLDS)).cast("int")).otherwise(-1)})
+
+
+def suffix_rates(labelled: DataFrame, rate: float) -> DataFrame:
+    """suffix, fold, suffix_rate: of labelled rows outside that fold the share blocked, drawn to `rate`; fold -1: of all."""
+    counts = labelled.groupBy("suffix", "fold").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("decided") == "block").alias("blocked"))
+    total = counts.groupBy("suffix").agg(F.sum("n").alias("all_n"), F.sum("blocked").alias("all_blocked"))
+    each = total.select("*", F.explode(F.array(*map(F.lit, range(-1, FOLDS)))).alias("fold")).join(counts, ["suffix", "fold"], "left").fillna(0, ["n", "blocked"])
+    value = (F.col("all_blocked") - F.col("blocked") + PRIOR * rate) / (F.col("all_n") - F.col("n") + PRIOR)
+    return each.select("suffix", "fold", value.alias("suffix_rate"))
+
+
+def _featured(rows: DataFrame, rates: DataFrame, rate: float) -> DataFrame:
+    schema = f"id {dict(rows.dtypes)['id']}, url string, host string, path string, rule string, decided string, suffix string, fold int, " + ", ".join(f"{c} double" for c in LEXICAL)
+    featured = ship(rows).mapInArrow(lexical, schema).join(rates, ["suffix", "fold"], "left").fillna(rate, ["suffix_rate"])
+    return VectorAssembler(inputCols=[*LEXICAL, "suffix_rate"], outputCol="features").transform(featured)
+
+
+def train(labelled: DataFrame, total: int, blocked: int) -> tuple[GBTClassificationModel, DataFrame, float]:
+    """The trees, the table of suffix rates and the overall rate, from `total` labelled rows of which some are blocked and some not."""
+    rate = blocked / total
+    rates = broadcast_if_small(materialize(suffix_rates(labelled, rate), "suffixes"))
+    chosen = F.pmod(F.xxhash64("url", "id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, MOST_TRAINING / total))
+    sample = _featured(labelled.where(chosen), rates, rate).select("features", (F.col("decided") == "block").cast("double").alias("label"))
+    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=32, seed=7).fit(materialize(sample, "labelled").coalesce(8))
+    return model, rates, rate
+
+
+def _counts(labelled: DataFrame) -> tuple[int, int]:
+    return tuple(labelled.agg(F.count(F.lit(1)), F.count_if(F.col("decided") == "block")).first())
+
+
+def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: list[tuple[str, str]] = RULES) -> DataFrame:
+    """One row per row of `pages`: id, host, path, rule, verdict, score (the trees' probability of block; null under a rule)."""
+    rows = _rows(pages, id_col, url_col, rules)
+    labelled = rows.where("decided is not null")
+    total, blocked = _counts(labelled)
     result = lambda df, verdict, score: df.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("decided", verdict).alias("verdict"), score.cast("double").alias("score"))
     if blocked in (0, total):
         return result(rows, F.lit("block" if blocked else "allow"), F.lit(None))
-
-    rate = blocked / total
-    suffixes = counts.where(F.col("n") * MOST_SUFFIXES >= total).select("suffix", ((F.col("blocked") + PRIOR * rate) / (F.col("n") + PRIOR)).alias("suffix_rate"))
-    schema = f"id {dict(rows.dtypes)['id']}, url string, host string, path string, rule string, decided string, suffix string, " + ", ".join(f"{c} double" for c in LEXICAL)
-    featured = ship(rows).mapInArrow(lexical, schema).join(F.broadcast(suffixes), "suffix", "left").fillna(rate, ["suffix_rate"])
-    featured = VectorAssembler(inputCols=[*LEXICAL, "suffix_rate"], outputCol="features").transform(featured)
-
-    share = F.pmod(F.xxhash64("id", "url"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, MOST_TRAINING / total))
-    labelled = featured.where(F.col("decided").isNotNull() & share).select("features", (F.col("decided") == "block").cast("double").alias("label"))
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=32, seed=7).fit(materialize(labelled, "labelled").coalesce(8))
-    scored = model.transform(featured).withColumn("score", vector_to_array("probability")[1])
-    return result(scored, F.when(F.col("score") > 0.5, "block").otherwise("allow"), F.when(F.col("decided").isNull(), F.col("score")))
+    model, rates, rate = train(labelled, total, blocked)
+    scored = model.transform(_featured(rows.where("decided is null"), rates, rate)).withColumn("score", vector_to_array("probability")[1])
+    scored = result(scored, F.when(F.col("score") > 0.5, "block").otherwise("allow"), F.col("score"))
+    return result(labelled, F.lit(None), F.lit(None)).unionByName(scored)
+
+
+def held_out_auc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: list[tuple[str, str]] = RULES) -> float:
+    """Area under the ROC curve on labelled URLs of fold 0, for trees and suffix rates made without that fold."""
+    labelled = _rows(pages, id_col, url_col, rules).where("decided is not null")
+    known, test = labelled.where("fold <> 0"), labelled.where("fold = 0").withColumn("fold", F.lit(-1))
+    model, rates, rate = train(known, *_counts(known))
+    scored = model.transform(_featured(test, rates, rate)).withColumn("label", (F.col("decided") == "block").cast("double"))
+    return BinaryClassificationEvaluator(metricName="areaUnderROC").evaluate(scored)
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
