@@ -7,10 +7,17 @@ under the length and position bounds. For candidates the overlap is counted sepa
 each fragment of the order and summed per pair.
 
 Documents with the same set form one class, which goes through the join once. Within the
-documents of one n-gram, candidates are made in two rounds, neither of which lists all pairs
-of a large group of near copies: first each against one pivot, then, after the links found
-so far are merged to components, only pairs of different components. No link between
-components can be missed, since any such pair still stands in the second round.
+documents of one n-gram, candidates are made in rounds, none of which lists all pairs of a
+large group of near copies. First each document meets one pivot, the one with most frequent
+n-grams in its set, as what copies do not share is rare. Then, after the links found so far are
+merged to components, only documents of different components meet: in a group of at most SMALL
+documents directly, in a larger one by what sets them apart from the pivot. Where x and y differ
+from the pivot in the sets X and Y, they differ from each other in (X or Y, not both), so a link
+asks for |X| + |Y| - 2 |X and Y| to be small. Of two documents far from the pivot, or of one far
+and one near, X and Y must therefore share an n-gram among the first few of each, in an order
+that puts what few members of the group have first. Random edits share none. Documents that are
+far from the pivot anyway, those that only share a common line with it, meet directly: distances
+of sets obey the triangle inequality, so of a pair that links both or neither lie within CLOSE.
 
 A candidate must also pass the bound that parity bitmaps give: sets whose bitmaps differ in d
 bits differ in d shingles at least. That, too, rejects no pair that links.
@@ -38,11 +45,15 @@ from pyspark.sql import Window as W
 
 from . import wordhash
 from .components import connected_components
-from .scratch import broadcast_if_small, frequent_values, materialize, ship, table
+from .scratch import broadcast_if_small, discard, frequent_values, materialize, ship, table
 
 FRAGMENTS = 8
 #: Frequent n-grams at most, from how many documents on, and counters of the summary that finds them.
 FREQUENT, OFTEN, TRACKED = 50_000, 64, 1 << 17
+#: Documents of one n-gram that meet directly; in larger groups, they meet by their differences from the pivot.
+SMALL = 256
+#: How much less similar than a link asks for a document may be to the pivot and still meet others by its difference.
+CLOSE = 25
 #: 64-bit words that the parity bitmap of a set has at most.
 BITMAP = 1024
 
@@ -73,7 +84,7 @@ def _needed(n: int, percent: int) -> int:
 
 
 def heads(k: int, percent: int, frequent=None, more: float = 1.0):
-    """A function for mapInArrow: (id, text) to (id, n, class, parity bitmap, the head of the set in the global order)."""
+    """A function for mapInArrow: (id, text) to (id, n, class, parity bitmap, frequent n-grams in 1000, the head of the set in the global order)."""
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, rank = frequent.value if frequent is not None else (np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -85,11 +96,11 @@ def heads(k: int, percent: int, frequent=None, more: float = 1.0):
                 for j, (a, b) in enumerate(zip(begins[:-1], begins[1:], strict=True)):
                     items = shingle_set(hashes[a:b], k)
                     head = len(items) - _needed(len(items), percent) + 1 if len(items) else 0
-                    head = min(len(items), int(head * more))
+                    head, common = min(len(items), int(head * more)), 0
                     if len(often) and len(items):
                         at = np.minimum(np.searchsorted(often, items), len(often) - 1)
                         last = often[at] == items
-                        seldom = items[~last]
+                        seldom, common = items[~last], 1000 * int(last.sum()) // len(items)
                         if len(seldom) < head:
                             tail, order = items[last], np.argsort(rank[at[last]], kind="stable")
                             chosen = np.concatenate([seldom, tail[order]])[:head]
@@ -101,19 +112,25 @@ def heads(k: int, percent: int, frequent=None, more: float = 1.0):
                     out["n"].append(len(items))
                     out["class"].append(class_of(items) if len(items) else None)
                     out["bitmap"].append(parities(items))
+                    out["common"].append(common)
                     out["head"].append(chosen)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(out["id"], pa.int64()), pa.array(out["n"], pa.int64()), pa.array(out["class"], pa.int64()), pa.array(out["bitmap"], pa.list_(pa.int64())), pa.array(out["head"], pa.list_(pa.int64()))], names=["id", "n", "class", "bitmap", "head"]
+                    [pa.array(out["id"], pa.int64()), pa.array(out["n"], pa.int64()), pa.array(out["class"], pa.int64()), pa.array(out["bitmap"], pa.list_(pa.int64())), pa.array(out["common"], pa.int32()), pa.array(out["head"], pa.list_(pa.int64()))],
+                    names=["id", "n", "class", "bitmap", "common", "head"],
                 )
 
     return run
 
 
-def fragments(k: int):
-    """A function for mapInArrow: (id, text) to (class, fragment, the part of the set in that fragment)."""
+def fragments(k: int, frequent):
+    """A function for mapInArrow: (id, text) to (class, fragment, the part of the set in that fragment).
+
+    The fragments follow the global order: ranges of hashes of the n-grams that few documents hold, then all frequent ones.
+    """
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cuts = np.linspace(-(2.0**63), 2.0**63, FRAGMENTS + 1)[1:-1].astype(np.int64)
+        often, _ = frequent.value
+        cuts = np.linspace(-(2.0**63), 2.0**63, FRAGMENTS)[1:-1].astype(np.int64)
         for batch in found:
             for _, group in wordhash.batches(batch.column(1).to_pylist()):
                 hashes, begins = wordhash.words_of(group)
@@ -121,12 +138,12 @@ def fragments(k: int):
                 for a, b in zip(begins[:-1], begins[1:], strict=True):
                     items = shingle_set(hashes[a:b], k)
                     if len(items):
-                        name = class_of(items)
-                        for f, part in enumerate(np.split(items, np.searchsorted(items, cuts))):
-                            if len(part):
-                                out["class"].append(name)
-                                out["fragment"].append(f)
-                                out["part"].append(part)
+                        last = np.isin(items, often, assume_unique=True) if len(often) else np.zeros(len(items), bool)
+                        seldom, name = items[~last], class_of(items)
+                        for f, part in enumerate([*np.split(seldom, np.searchsorted(seldom, cuts)), items[last]]):
+                            out["class"].append(name)
+                            out["fragment"].append(f)
+                            out["part"].append(part)
                 yield pa.RecordBatch.from_arrays([pa.array(out["class"], pa.int64()), pa.array(out["fragment"], pa.int32()), pa.array(out["part"], pa.list_(pa.int64()))], names=["class", "fragment", "part"])
 
     return run
@@ -139,43 +156,97 @@ def _may_link(percent: int, m: str, i: str, n: str, j: str) -> Column:
     return (100 * F.least(m, n) >= percent * F.greatest(m, n)) & ((100 + percent) * room >= percent * (m + n))
 
 
-def _halved(bitmap: Column) -> Column:
-    """The bitmap of half the size: buckets that differ in the top bit only are joined."""
-    half = (F.size(bitmap) / 2).cast("int")
-    return F.zip_with(F.slice(bitmap, 1, half), F.slice(bitmap, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+def _folded(bitmap: Column, size: Column) -> Column:
+    """The bitmap with `size` words: buckets that differ in the top bits only are joined."""
+    xor = lambda s, k: s.bitwiseXOR(F.get(bitmap, k))
+    folded = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.aggregate(F.sequence(i, F.size(bitmap) - 1, size), F.lit(0).cast("long"), xor))
+    return F.when(F.size(bitmap) == size, bitmap).otherwise(folded)
 
 
-def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, m, b, n) that the bitmaps do not rule out. Sizes of sets that may link differ by less than two, so those of bitmaps by one halving at most."""
+def _bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, m, b, n) with most_both, an upper bound of the overlap."""
     left, right = (classes.select(F.col("class").alias(x), F.col("bitmap").alias(f"of_{x}")) for x in "ab")
-    a = F.when(F.size("of_a") > F.size("of_b"), _halved(F.col("of_a"))).otherwise(F.col("of_a"))
-    b = F.when(F.size("of_b") > F.size("of_a"), _halved(F.col("of_b"))).otherwise(F.col("of_b"))
-    differ = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    both = (F.col("m") + F.col("n") - differ) / 2  # an upper bound of the overlap
-    joined = pairs.join(left, "a").join(right, "b")
-    return joined.where((100 + percent) * both >= percent * (F.col("m") + F.col("n"))).select("a", "m", "b", "n")
+    size = F.least(F.size("of_a"), F.size("of_b"))
+    differ = F.aggregate(F.zip_with(_folded(F.col("of_a"), size), _folded(F.col("of_b"), size), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return pairs.join(left, "a").join(right, "b").select(*pairs.columns, ((F.col("m") + F.col("n") - differ) / 2).alias("most_both"))
+
+
+def _may_reach(percent: int) -> Column:
+    return (100 + percent) * F.col("most_both") >= percent * (F.col("m") + F.col("n"))
+
+
+def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, m, b, n) that the bitmaps do not rule out."""
+    return _bounded(pairs, classes).where(_may_reach(percent)).select("a", "m", "b", "n")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of the pairs (a, m, b, n) of classes those that link: overlaps counted by fragment, then summed."""
+def _parts(pairs: DataFrame, classes: DataFrame, rows: DataFrame, k: int, frequent) -> tuple[DataFrame, list[DataFrame]]:
+    """The fragments of the sets of all classes in `pairs`, one set a class, and the tables that this takes."""
     wanted = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
     wanted = materialize(wanted.join(classes.select("class", "least_id"), "class").select(F.col("least_id").alias("wanted_id")).distinct(), "wanted")
     texts = rows.join(broadcast_if_small(wanted), F.col("id") == F.col("wanted_id"), "left_semi")
-    parts = materialize(texts.mapInArrow(fragments(k), "class long, fragment int, part array<long>"), "fragments")
+    parts = materialize(texts.mapInArrow(fragments(k, frequent), "class long, fragment int, part array<long>"), "fragments")
+    return parts, [wanted, parts]
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, k: int, percent: int, frequent) -> DataFrame:
+    """Of the pairs (a, m, b, n) of classes those that link, as a table: overlaps counted by fragment, then summed."""
+    parts, used = _parts(pairs, classes, rows, k, frequent)
     left = parts.select(F.col("class").alias("a"), "fragment", F.col("part").alias("of_a"))
     right = parts.select(F.col("class").alias("b"), "fragment", F.col("part").alias("of_b"))
     shared = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "m", "b", "n", "fragment", F.size(F.array_intersect("of_a", "of_b")).alias("both"))
     # a class comes twice where the input repeats a row, with the same overlaps
     shared = shared.groupBy("a", "m", "b", "n", "fragment").agg(F.max("both").alias("both"))
     total = shared.groupBy("a", "m", "b", "n").agg(F.sum("both").alias("both"))
-    return total.where(100 * F.col("both") >= percent * (F.col("m") + F.col("n") - F.col("both"))).select("a", "b")
+    links = materialize(total.where(100 * F.col("both") >= percent * (F.col("m") + F.col("n") - F.col("both"))).select("a", "b"), "links")
+    discard(*used)
+    return links
+
+
+def _by_difference(spokes: DataFrame, classes: DataFrame, rows: DataFrame, k: int, percent: int, frequent) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links (a, b) with the pivots, pairs (a, m, b, n) of other classes that may link, and those (a, b) that are not within CLOSE.
+
+    `spokes` are distinct (a, m, b, n, label): a pivot a of size m, a member b of size n of its group, and b's component.
+    """
+    parts, used = _parts(spokes, classes, rows, k, frequent)
+    parts = parts.dropDuplicates(["class", "fragment"])  # a class comes twice where the input repeats a row
+    left = parts.select(F.col("class").alias("a"), "fragment", F.col("part").alias("of_a"))
+    right = parts.select(F.col("class").alias("b"), "fragment", F.col("part").alias("of_b"))
+    apart = spokes.join(right, "b").join(left, ["a", "fragment"]).select(*spokes.columns, F.concat(F.array_except("of_b", "of_a"), F.array_except("of_a", "of_b")).alias("part"))
+    apart = apart.groupBy(*spokes.columns).agg(F.flatten(F.collect_list("part")).alias("apart"))
+    apart = materialize(apart.withColumn("d", F.size("apart")), "apart")
+    m, n, d = (F.col(c).cast("double") for c in "mnd")
+    tau = (100 - percent) / (100 + percent)  # sets link when they differ in at most tau of the sum of their sizes
+    near = (100 + percent) * F.col("d") <= (100 - percent) * (F.col("m") + F.col("n"))
+    # least overlap of the differences of this member and of any that it may link to
+    least = d - tau * n * (1 + 100 / percent)
+    least = F.greatest(F.lit(1.0), F.when(near, F.greatest((d + tau * (m - n)) / 2, least)).otherwise(least))
+
+    each = apart.select("a", "b", F.explode("apart").alias("gram"))
+    held = each.groupBy("a", "gram").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1")
+    seldom_first = each.join(held, ["a", "gram"]).groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("holders", "gram"))).alias("shared"))
+    # what only this member has comes first in the order and meets nothing
+    heads_of = apart.drop("apart").join(seldom_first, ["a", "b"]).withColumns({"near": near, "last": d - least + 1e-6, "alone": F.col("d") - F.size("shared")})
+    heads_of = heads_of.select("a", F.col("b").alias("x"), "n", "label", "d", "near", "last", "alone", F.posexplode("shared").alias("pos", "item"))
+    heads_of = heads_of.withColumn("place", F.col("alone") + F.col("pos")).where("place <= last").select("a", "x", "n", "label", "d", "near", "place", F.col("item.gram").alias("gram"))
+    heads_of = materialize(heads_of, "differences")
+    one = heads_of.toDF("a", "x", "m", "la", "dx", "near_x", "i", "gram")
+    other = heads_of.toDF("a", "y", "n", "lb", "dy", "near_y", "j", "gram")
+    sizes = F.col("m") + F.col("n")
+    met = (F.col("x") < F.col("y")) & (F.col("la") != F.col("lb")) & ~(F.col("near_x") & F.col("near_y")) & (100 * F.least("m", "n") >= percent * F.greatest("m", "n"))
+    room = (100 + percent) * (F.col("dx") + F.col("dy")) - (100 - percent) * sizes <= 2 * (100 + percent) * F.least(F.col("dx") - F.col("i"), F.col("dy") - F.col("j"))
+    pairs = one.join(other, ["a", "gram"]).where(met & room).select(F.col("x").alias("a"), "m", F.col("y").alias("b"), "n").distinct()
+    links, pairs = materialize(apart.where(near).select("a", "b"), "links"), materialize(pairs, "pairs")
+    distant = materialize(apart.where(100 * (m + n - d) < (percent - CLOSE) * (m + n + d)).select("a", "b"), "distant")
+    discard(*used, apart, heads_of)
+    return links, pairs, distant
 
 
 def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
     """One row per row of `docs`: id, n_shingles, component_id (null for a null id)."""
     spark = docs.sparkSession
     rows = ship(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    schema = "id long, n long, class long, bitmap array<long>, head array<long>"
+    schema = "id long, n long, class long, bitmap array<long>, common int, head array<long>"
     # 1.3 times the head, as the heads get longer where frequent n-grams leave them
     grams = rows.mapInArrow(heads(k, percent, more=1.3), schema).select(F.explode("head").alias("gram"))
     often = frequent_values(grams, "gram", FREQUENT, TRACKED).where(F.col("count") >= OFTEN).toPandas().sort_values("item")
@@ -184,37 +255,47 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     profile = materialize(rows.mapInArrow(heads(k, percent, sent), schema), "profile")
     linkable = profile.where("id is not null and class is not null")
     classes = materialize(linkable.groupBy("class", "n").agg(F.min("id").alias("least_id"), F.first("bitmap").alias("bitmap")), "classes")
-    held = linkable.select("class", "id", "head").join(classes.drop("bitmap"), "class").where("id = least_id")
-    held = held.select("class", "n", F.posexplode("head").alias("place", "gram"))
+    held = linkable.select("class", "id", "common", "head").join(classes.drop("bitmap"), "class").where("id = least_id")
+    held = held.select("class", "n", "common", F.posexplode("head").alias("place", "gram"))
 
     frequent = F.broadcast(spark.createDataFrame([(int(g),) for g in often["item"]], "gram long"))
     seldom, often_held = held.join(frequent, "gram", "left_anti"), held.join(frequent, "gram", "left_semi")
     of_gram = W.partitionBy("gram")
-    first = F.struct("place", F.col("class").alias("a"), F.col("n").alias("m"))
-    met = seldom.withColumn("docs", F.count(F.lit(1)).over(of_gram)).withColumn("pivot", F.min(first).over(of_gram)).where("docs > 1")
+    cleanest = F.struct((-F.col("common")).alias("rare"), "place", F.col("class").alias("a"), F.col("n").alias("m"))
+    met = seldom.withColumn("docs", F.count(F.lit(1)).over(of_gram)).withColumn("pivot", F.min(cleanest).over(of_gram)).where("docs > 1")
     # of a frequent n-gram the pivot is found by an aggregate that combines early, and sent to its rows
-    pivots = F.broadcast(often_held.groupBy("gram").agg(F.count(F.lit(1)).alias("docs"), F.min(first).alias("pivot")).where("docs > 1"))
-    met = materialize(met.unionByName(often_held.join(pivots, "gram")).drop("docs"), "met")
+    pivots = F.broadcast(often_held.groupBy("gram").agg(F.count(F.lit(1)).alias("docs"), F.min(cleanest).alias("pivot")).where("docs > 1"))
+    met = materialize(met.unionByName(often_held.join(pivots, "gram")).drop("common"), "met")
 
     near = met.select(F.col("pivot.a").alias("a"), F.col("pivot.m").alias("m"), F.col("pivot.place").alias("i"), F.col("class").alias("b"), "n", F.col("place").alias("j"))
     tried = near.where((F.col("a") != F.col("b")) & _may_link(percent, "m", "i", "n", "j")).select("a", "m", "b", "n").distinct()
     tried = materialize(_plausible(tried, classes, percent), "pairs")
-    links = materialize(_verified(tried, classes, rows, k, percent), "links")
-    label = materialize(connected_components(links), "labels")
+    links = _verified(tried, classes, rows, k, percent, sent)
+    label = connected_components(links)
 
     known = label.select(F.col("node").alias("class"), "label")
-    spread = materialize(met.drop("pivot").join(known, "class", "left").withColumn("label", F.coalesce("label", "class")), "spread")
+    spread = materialize(met.join(known, "class", "left").withColumn("label", F.coalesce("label", "class")), "spread")
     shares = spread.groupBy("gram", "label").agg(F.count(F.lit(1)).alias("c"))
     mixed = shares.groupBy("gram").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1").drop("labels")
-    spread = spread.join(mixed, "gram")
-    one = spread.where("label <> main").select("gram", F.col("class").alias("a"), F.col("n").alias("m"), F.col("place").alias("i"), F.col("label").alias("la"))
-    other = spread.select(F.col("gram").alias("same_gram"), "main", F.col("class").alias("b"), "n", F.col("place").alias("j"), F.col("label").alias("lb"))
+    mixed = materialize(spread.join(mixed, "gram"), "mixed")
+    discard(met, spread)
+
+    apart = mixed.where((F.col("docs") > SMALL) & (F.col("class") != F.col("pivot.a"))).select(F.col("pivot.a").alias("a"), F.col("pivot.m").alias("m"), F.col("class").alias("b"), "n", "label").distinct()
+    spokes = materialize(_bounded(apart, classes), "spokes")
+    close = _may_reach(2 * (percent - CLOSE) - (100 - CLOSE)) if 2 * percent > 100 + CLOSE else F.lit(True)
+    to_pivots, by_difference, distant = _by_difference(spokes.where(close).drop("most_both"), classes, rows, k, percent, sent)
+    distant = spokes.where(~close).select("a", "b").unionByName(distant).toDF("of", "class")
+    large = mixed.where(F.col("docs") > SMALL).withColumn("of", F.col("pivot.a")).join(distant, ["of", "class"]).drop("of")
+    few = mixed.where(F.col("docs") <= SMALL).unionByName(large)
+    one = few.where("label <> main").select("gram", F.col("class").alias("a"), F.col("n").alias("m"), F.col("place").alias("i"), F.col("label").alias("la"))
+    other = few.select(F.col("gram").alias("same_gram"), "main", F.col("class").alias("b"), "n", F.col("place").alias("j"), F.col("label").alias("lb"))
     across = (F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("main")) | (F.col("a") < F.col("b"))) & _may_link(percent, "m", "i", "n", "j")
-    rest = one.join(other, (F.col("gram") == F.col("same_gram")) & across).select("a", "m", "b", "n").distinct()
+    rest = one.join(other, (F.col("gram") == F.col("same_gram")) & across).select("a", "m", "b", "n").unionByName(by_difference).distinct()
     done = tried.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
     rest = rest.join(done, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti")
     rest = materialize(_plausible(rest, classes, percent), "pairs")
-    more = materialize(_verified(rest, classes, rows, k, percent), "links")
+    discard(mixed, spokes, tried, by_difference)
+    more = to_pivots.unionByName(_verified(rest, classes, rows, k, percent, sent))
     label = connected_components(links.unionByName(more)) if not more.isEmpty() else label
 
     named = classes.select("class", "least_id").join(label.select(F.col("node").alias("class"), "label"), "class", "left").withColumn("label", F.coalesce("label", "class"))
