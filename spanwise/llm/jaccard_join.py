@@ -9,9 +9,9 @@ each fragment of the order and summed per pair.
 Documents with the same set form one class, which goes through the join once. Within the
 documents of one n-gram, candidates are made in rounds, none of which lists all pairs of a
 large group of near copies. First each document meets one pivot, the one with most frequent
-n-grams in its set, as what copies do not share is rare. Then, after the links found so far are
-merged to components, only documents of different components meet: in a group of at most SMALL
-documents directly, in a larger one by what sets them apart from the pivot. Where x and y differ
+n-grams in its set, as what copies do not share is rare. The links found are merged to components,
+and only documents of different components meet: in a group of at most SMALL documents directly, in
+a larger one by what sets them apart from the pivot. Where x and y differ
 from the pivot in the sets X and Y, they differ from each other in (X or Y, not both), so a link
 asks for |X| + |Y| - 2 |X and Y| to be small. Of two documents far from the pivot, or of one far
 and one near, X and Y must therefore share an n-gram among the first few of each, in an order
@@ -19,6 +19,10 @@ that puts what few members of the group have first. Random edits share none. Doc
 far from the pivot anyway, those that only share a common line with it, meet directly: distances
 of sets obey the triangle inequality, so of a pair that links both or neither lie within CLOSE.
 
+Of these last candidates, each component tries its most promising one first, for ROUNDS rounds;
+those that the links found so far have brought into one component need no try, and what is left
+after the rounds is tried all at once. So no link between components is missed.
+
 A candidate must also pass the bound that parity bitmaps give: sets whose bitmaps differ in d
 bits differ in d shingles at least. That, too, rejects no pair that links.
 
@@ -54,6 +58,8 @@ FREQUENT, OFTEN, TRACKED = 50_000, 64, 1 << 17
 SMALL = 256
 #: How much less similar than a link asks for a document may be to the pivot and still meet others by its difference.
 CLOSE = 25
+#: Rounds in which components try their best candidate alone.
+ROUNDS = 3
 #: 64-bit words that the parity bitmap of a set has at most.
 BITMAP = 1024
 
@@ -207,6 +213,7 @@ def _by_difference(spokes: DataFrame, classes: DataFrame, rows: DataFrame, k: in
     """Links (a, b) with the pivots, pairs (a, m, b, n) of other classes that may link, and those (a, b) that are not within CLOSE.
 
     `spokes` are distinct (a, m, b, n, label): a pivot a of size m, a member b of size n of its group, and b's component.
+    The pairs carry the components la and lb of their classes.
     """
     parts, used = _parts(spokes, classes, rows, k, frequent)
     parts = parts.dropDuplicates(["class", "fragment"])  # a class comes twice where the input repeats a row
@@ -235,13 +242,49 @@ def _by_difference(spokes: DataFrame, classes: DataFrame, rows: DataFrame, k: in
     sizes = F.col("m") + F.col("n")
     met = (F.col("x") < F.col("y")) & (F.col("la") != F.col("lb")) & ~(F.col("near_x") & F.col("near_y")) & (100 * F.least("m", "n") >= percent * F.greatest("m", "n"))
     room = (100 + percent) * (F.col("dx") + F.col("dy")) - (100 - percent) * sizes <= 2 * (100 + percent) * F.least(F.col("dx") - F.col("i"), F.col("dy") - F.col("j"))
-    pairs = one.join(other, ["a", "gram"]).where(met & room).select(F.col("x").alias("a"), "m", F.col("y").alias("b"), "n").distinct()
+    pairs = one.join(other, ["a", "gram"]).where(met & room).select(F.col("x").alias("a"), "m", F.col("y").alias("b"), "n", "la", "lb").distinct()
     links, pairs = materialize(apart.where(near).select("a", "b"), "links"), materialize(pairs, "pairs")
     distant = materialize(apart.where(100 * (m + n - d) < (percent - CLOSE) * (m + n + d)).select("a", "b"), "distant")
     discard(*used, apart, heads_of)
     return links, pairs, distant
 
 
+def _mixed(met: DataFrame, label: DataFrame) -> DataFrame:
+    """The rows of `met` of the groups that hold several components, with their own component and the group's largest, as a table."""
+    known = label.select(F.col("node").alias("class"), "label")
+    spread = materialize(met.join(known, "class", "left").withColumn("label", F.coalesce("label", "class")), "spread")
+    shares = spread.groupBy("gram", "label").agg(F.count(F.lit(1)).alias("c"))
+    mixed = shares.groupBy("gram").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1").drop("labels")
+    mixed = materialize(spread.join(mixed, "gram"), "mixed")
+    discard(spread)
+    return mixed
+
+
+def _merged(label: DataFrame, links: DataFrame) -> DataFrame:
+    """The components `label` after further links."""
+    return connected_components(label.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(links))
+
+
+def _best_first(pairs: DataFrame, classes: DataFrame, rows: DataFrame, k: int, percent: int, frequent) -> list[DataFrame]:
+    """Links among the pairs (a, m, b, n, la, lb, most_both), enough of them to join every two components that a link joins."""
+    found = []
+    for _ in range(ROUNDS):
+        likely = F.struct((-F.col("most_both") / (F.col("m") + F.col("n"))).alias("unlike"), "a", "b", "m", "n", "la", "lb").alias("pair")
+        sides = pairs.select(F.col("la").alias("of"), likely).unionByName(pairs.select(F.col("lb").alias("of"), likely))
+        tried = materialize(sides.groupBy("of").agg(F.min("pair").alias("pair")).select("pair.*").distinct(), "tried")
+        links = _verified(tried.select("a", "m", "b", "n"), classes, rows, k, percent, frequent)
+        found.append(links)
+        joined = connected_components(tried.join(links, ["a", "b"]).select(F.col("la").alias("a"), F.col("lb").alias("b")))
+        left = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        for side in ("la", "lb"):
+            left = left.join(joined.select(F.col("node").alias(side), F.col("label").alias("new")), side, "left").withColumn(side, F.coalesce("new", side)).drop("new")
+        pairs = materialize(left.where("la <> lb"), "pairs")
+        discard(tried)
+        if pairs.isEmpty():
+            return found
+    return [*found, _verified(pairs.select("a", "m", "b", "n"), classes, rows, k, percent, frequent)]
+
+
 def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
     """One row per row of `docs`: id, n_shingles, component_id (null for a null id)."""
     spark = docs.sparkSession
@@ -272,13 +315,8 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tried = materialize(_plausible(tried, classes, percent), "pairs")
     links = _verified(tried, classes, rows, k, percent, sent)
     label = connected_components(links)
-
-    known = label.select(F.col("node").alias("class"), "label")
-    spread = materialize(met.join(known, "class", "left").withColumn("label", F.coalesce("label", "class")), "spread")
-    shares = spread.groupBy("gram", "label").agg(F.count(F.lit(1)).alias("c"))
-    mixed = shares.groupBy("gram").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1").drop("labels")
-    mixed = materialize(spread.join(mixed, "gram"), "mixed")
-    discard(met, spread)
+    mixed = _mixed(met, label)
+    discard(met)
 
     apart = mixed.where((F.col("docs") > SMALL) & (F.col("class") != F.col("pivot.a"))).select(F.col("pivot.a").alias("a"), F.col("pivot.m").alias("m"), F.col("class").alias("b"), "n", "label").distinct()
     spokes = materialize(_bounded(apart, classes), "spokes")
@@ -290,13 +328,16 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     one = few.where("label <> main").select("gram", F.col("class").alias("a"), F.col("n").alias("m"), F.col("place").alias("i"), F.col("label").alias("la"))
     other = few.select(F.col("gram").alias("same_gram"), "main", F.col("class").alias("b"), "n", F.col("place").alias("j"), F.col("label").alias("lb"))
     across = (F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("main")) | (F.col("a") < F.col("b"))) & _may_link(percent, "m", "i", "n", "j")
-    rest = one.join(other, (F.col("gram") == F.col("same_gram")) & across).select("a", "m", "b", "n").unionByName(by_difference).distinct()
+    rest = one.join(other, (F.col("gram") == F.col("same_gram")) & across).select("a", "m", "b", "n", "la", "lb").unionByName(by_difference)
+    swapped = F.when(F.col("a") < F.col("b"), F.struct("a", "m", "la", "b", "n", "lb")).otherwise(F.struct(*(F.col(x).alias(y) for x, y in zip(["b", "n", "lb", "a", "m", "la"], ["a", "m", "la", "b", "n", "lb"], strict=True))))
     done = tried.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
-    rest = rest.join(done, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti")
-    rest = materialize(_plausible(rest, classes, percent), "pairs")
+    rest = rest.select(swapped.alias("pair")).select("pair.*").distinct()
+    rest = rest.join(done, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti")
+    rest = materialize(_bounded(rest, classes).where(_may_reach(percent)), "pairs")
     discard(mixed, spokes, tried, by_difference)
-    more = to_pivots.unionByName(_verified(rest, classes, rows, k, percent, sent))
-    label = connected_components(links.unionByName(more)) if not more.isEmpty() else label
+    label = _merged(label, to_pivots)
+    for more in _best_first(rest, classes, rows, k, percent, sent):
+        label = _merged(label, more)
 
     named = classes.select("class", "least_id").join(label.select(F.col("node").alias("class"), "label"), "class", "left").withColumn("label", F.coalesce("label", "class"))
     names = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
