@@ -7,6 +7,7 @@ key is. The folds themselves are small functions on (start, end, pitch, confiden
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -20,6 +21,7 @@ from .lineage import ship
 
 Note = tuple[float, float, float, float, int]
 FIELDS = ["start_sec", "end_sec", "pitch", "confidence", "note_seq"]
+ORDER = ["start_sec", "note_seq"]
 
 
 def fold_runs(notes: DataFrame, key: str, bridge: float, fold: Callable[[list[Note]], list[tuple]], columns: str) -> DataFrame:
@@ -28,10 +30,14 @@ def fold_runs(notes: DataFrame, key: str, bridge: float, fold: Callable[[list[No
     Runs are dealt out whole and come sorted, so a task walks through its runs one after the
     other and holds one at a time; a run may go on in the next batch.
     """
-    order = ["start_sec", "note_seq"]
-    rows = ship(notes).select(key, *FIELDS).withColumn("__reach", reach([key], order))
-    rows = island_ids(rows, [key], order, F.col("start_sec") > F.col("__reach") + bridge, "__run").drop("__reach")
-    kind = dict(notes.dtypes)[key]
+    rows = ship(notes).select(key, *FIELDS).withColumn("__reach", reach([key], ORDER))
+    rows = island_ids(rows, [key], ORDER, F.col("start_sec") > F.col("__reach") + bridge, "__run").drop("__reach")
+    return fold_each(rows, key, fold, columns)
+
+
+def fold_each(rows: DataFrame, key: str, fold: Callable[[list[Note]], list[tuple]], columns: str) -> DataFrame:
+    """Applies `fold` to the rows of each key and `__run`; its rows get the key before them."""
+    kind = dict(rows.dtypes)[key]
     schema = _parse_datatype_string(f"{key} {kind}, {columns}")
     arrow = to_arrow_schema(schema)
 
@@ -51,7 +57,7 @@ def fold_runs(notes: DataFrame, key: str, bridge: float, fold: Callable[[list[No
             yield made(out)
         yield made([(name[0], *x) for x in fold(held)] if held else [])
 
-    dealt = rows.select(key, "__run", *FIELDS).repartition(key, "__run").sortWithinPartitions(key, "__run", *order)
+    dealt = rows.select(key, "__run", *FIELDS).repartition(key, "__run").sortWithinPartitions(key, "__run", *ORDER)
     return dealt.mapInArrow(run, schema)
 
 
@@ -110,17 +116,51 @@ def best_of_conflicts(window: float) -> Callable[[list[Note]], list[tuple]]:
     return fold
 
 
-def drop_leaps(most: float) -> Callable[[list[Note]], list[tuple]]:
-    """Notes over `most` semitones from the last one kept go, unless they are surer than it."""
+def drop_leaps(notes: DataFrame, key: str, leap: float = 12, short: float = 0.25, unsure: float = 0.62, width: float | None = None) -> DataFrame:
+    """Short or unsure notes at least `leap` semitones from the last one kept go, however long ago that was.
 
-    def fold(notes: list[Note]) -> list[tuple]:
-        kept: list[Note] = []
-        for note in notes:
-            if not kept or abs(note[2] - kept[-1][2]) <= most or note[3] > kept[-1][3]:
+    Notes that are neither are kept whatever came before, so each begins a run that needs no memory of what lies
+    before it. width: seconds of a key that one task takes when runs are numbered.
+    """
+
+    def fold(run: list[Note]) -> list[tuple]:
+        kept = run[:1]
+        for note in run[1:]:
+            if abs(note[2] - kept[-1][2]) < leap:
                 kept.append(note)
         return [(n[4], n[0], n[1], int(n[2])) for n in kept]
 
-    return fold
+    firm = (F.col("end_sec") - F.col("start_sec") >= short) & (F.col("confidence") >= unsure)
+    bucket = None if width is None else F.floor(F.col("start_sec") / width)
+    rows = island_ids(ship(notes).select(key, *FIELDS), [key], ORDER, firm, "__run", bucket)
+    return fold_each(rows, key, fold, "note_seq long, start_sec double, end_sec double, pitch int")
+
+
+def match_each_left(left: DataFrame, right: DataFrame, key: str, tolerance: float) -> DataFrame:
+    """Each left note in order of its start takes the nearest free right note of its pitch (the earlier of equals): key, left_seq, right_seq.
+
+    Notes of a key and pitch that start over `tolerance` apart never meet, so runs are cut there.
+    """
+
+    def fold(run: list[Note]) -> list[tuple]:
+        free, out = [n for n in run if n[2]], []
+        starts = [n[0] for n in free]
+        taken = [False] * len(free)
+        for note in run:
+            if note[2]:
+                continue
+            near = range(bisect_left(starts, note[0] - 2 * tolerance), bisect_right(starts, note[0] + 2 * tolerance))
+            open_ = [(abs(starts[j] - note[0]), j) for j in near if not taken[j] and abs(starts[j] - note[0]) <= tolerance]
+            if open_:
+                j = min(open_)[1]
+                taken[j] = True
+                out.append((note[4], free[j][4]))
+        return out
+
+    side = lambda df, k: df.select(F.struct(key, F.col("pitch").alias("of_pitch")).alias("__key"), "start_sec", F.col("start_sec").alias("end_sec"), F.lit(k).alias("pitch"), F.lit(0.0).alias("confidence"), "note_seq")
+    # twice the tolerance, as the sum of start and tolerance is rounded
+    found = fold_runs(side(left, 0).unionByName(side(right, 1)), "__key", 2 * tolerance, fold, "left_seq long, right_seq long")
+    return found.select(f"__key.{key}", "left_seq", "right_seq")
 
 
 def fix_octaves(least_gain: float) -> Callable[[list[Note]], list[tuple]]:

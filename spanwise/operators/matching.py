@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalar import circular_distance, overlap, ratio_or_zero
@@ -56,3 +57,16 @@ def match_scores(expected: DataFrame, predicted: DataFrame, matched: DataFrame,
     out = counts.join(m, keys, "left").fillna(0, ["n_expected", "n_predicted", "n_matched"])
     out = out.withColumns({"precision": ratio_or_zero(F.col("n_matched").cast("double"), F.col("n_predicted").cast("double")), "recall": ratio_or_zero(F.col("n_matched").cast("double"), F.col("n_expected").cast("double"))})
     return out.withColumn("f1", ratio_or_zero(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
+
+
+def pair_starts_with_ends(events: DataFrame, keys: list[str], order: list[str], starts: str = "on") -> DataFrame:
+    """Each end closes the oldest open start of its key, and an end with none open is passed over: keys, k, is_start and the other columns.
+
+    The two rows of a pair get the same `k`; a start that is never closed has a `k` to itself. `starts` is a boolean column.
+    """
+    w = W.partitionBy(*keys).orderBy(*order)
+    # an end finds nothing open when the balance of starts and ends falls below all that it was, and below 0
+    e = events.withColumn("__balance", F.sum(F.when(F.col(starts), 1).otherwise(-1)).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    e = e.withColumn("__least", F.least(F.lit(0), F.min("__balance").over(w.rowsBetween(W.unboundedPreceding, -1))))
+    e = e.where(F.col(starts) | (F.col("__balance") >= F.col("__least"))).drop("__balance", "__least")
+    return e.withColumn("k", F.row_number().over(W.partitionBy(*keys, starts).orderBy(*order)))

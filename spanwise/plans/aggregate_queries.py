@@ -188,10 +188,10 @@ def a23_stage_continuity(spark, sf):
     return A.continuity(n, ["stage", "sample_id"], ORDER, 0.5, 0.35, 0.12, 12).select("stage", "sample_id", "n_notes", "n_gaps", "n_jumps", "max_gap_sec")
 
 
-@REGISTRY.query("a24_means_by_status", f"WITH {NOTES} SELECT coalesce(event_type, 'total') AS status, round(avg(confidence), 6) AS confidence, round(avg(end_sec - start_sec), 6) AS seconds, count(*) AS n FROM notes GROUP BY GROUPING SETS ((event_type), ())")
+@REGISTRY.query("a24_means_by_status", f"WITH {NOTES} SELECT CASE WHEN grouping(event_type) = 1 THEN 'total' ELSE event_type END AS status, round(avg(confidence), 6) AS confidence, round(avg(end_sec - start_sec), 6) AS seconds, count(*) AS n FROM notes GROUP BY GROUPING SETS ((event_type), ())")
 def a24_means_by_status(spark, sf):
-    n = T.notes(spark, sf).rollup("event_type").agg(r6(F.avg("confidence")).alias("confidence"), r6(F.avg(dur())).alias("seconds"), F.count(F.lit(1)).alias("n"))
-    return n.select(F.coalesce("event_type", F.lit("total")).alias("status"), "confidence", "seconds", "n")
+    n = T.notes(spark, sf).rollup("event_type").agg(r6(F.avg("confidence")).alias("confidence"), r6(F.avg(dur())).alias("seconds"), F.count(F.lit(1)).alias("n"), F.grouping("event_type").alias("all"))
+    return n.select(F.when(F.col("all") == 1, "total").otherwise(F.col("event_type")).alias("status"), "confidence", "seconds", "n")
 
 
 @REGISTRY.query("a26_direction_counts", f"WITH {NOTES}, d AS (SELECT sample_id, lead(pitch) OVER {BY} - pitch AS d FROM notes), c AS (SELECT sample_id, count(*) FILTER (d > 0) AS up, count(*) FILTER (d < 0) AS down, count(*) FILTER (d = 0) AS repeats FROM d GROUP BY 1) SELECT *, CASE WHEN up > down * 1.2 THEN 'rising' WHEN down > up * 1.2 THEN 'falling' ELSE 'balanced' END AS bias FROM c")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..operators import aggregates as A
 from ..operators import intervals as I
+from ..operators import matching as M
 from ..operators import rules as R
 from ..operators import windows as X
 from . import fixtures as T
@@ -185,16 +186,71 @@ def j9_gap_choice(spark, sf):
 
 @REGISTRY.query(
     "s6_on_off_pairing",
-    """WITH e AS (SELECT user_id, CAST(props->>'k' AS INT) % 4 AS channel, event_id, epoch_us(ts) AS t, event_type FROM events), a AS (SELECT *, row_number() OVER (PARTITION BY user_id, channel ORDER BY t) AS k FROM e WHERE event_type IN ('view', 'click')), o AS (SELECT *, row_number() OVER (PARTITION BY user_id, channel ORDER BY t) AS k FROM e WHERE event_type NOT IN ('view', 'click'))
-  SELECT a.user_id, a.channel, a.event_id AS on_id, o.event_id AS off_id, round((o.t - a.t) / 1000000.0::DOUBLE, 3) AS seconds FROM a JOIN o ON a.user_id = o.user_id AND a.channel = o.channel AND a.k = o.k WHERE o.t > a.t""",
+    """WITH RECURSIVE e AS (SELECT user_id, CAST(props->>'k' AS INT) % 4 AS channel, CAST(props->>'k' AS INT) // 4 % 2 AS note, event_id, epoch_us(ts) AS t, event_type IN ('view', 'click') AS s FROM events), o AS (SELECT *, row_number() OVER (PARTITION BY user_id, channel, note ORDER BY t, event_id) AS k FROM e),
+  q AS (SELECT DISTINCT user_id, channel, note, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(id BIGINT, t BIGINT)[]) AS held, CAST(NULL AS STRUCT(id BIGINT, t BIGINT)) AS first, CAST(NULL AS BIGINT) AS off_id, CAST(NULL AS BIGINT) AS t2 FROM e UNION ALL
+    SELECT o.user_id, o.channel, o.note, o.k, CASE WHEN o.s THEN list_append(held, {'id': o.event_id, 't': o.t}) ELSE held[2:] END, CASE WHEN o.s THEN NULL ELSE held[1] END, o.event_id, o.t FROM q JOIN o ON o.user_id = q.user_id AND o.channel = q.channel AND o.note = q.note AND o.k = q.k + 1)
+  SELECT user_id, channel, note, first.id AS on_id, off_id, round((t2 - first.t) / 1000000.0::DOUBLE, 3) AS seconds FROM q WHERE first IS NOT NULL AND t2 > first.t""",
 )
 def s6_on_off_pairing(spark, sf):
-    """The n-th start of a channel with its n-th end: an equi-join on ordinals."""
-    e = T.table(spark, sf, "events").select("user_id", (F.get_json_object("props", "$.k").cast("int") % 4).alias("channel"), "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), F.col("event_type").isin("view", "click").alias("on"))
-    e = e.withColumn("k", F.row_number().over(W.partitionBy("user_id", "channel", "on").orderBy("t")))
+    """Each end with the oldest open start of its channel and note: ordinals, once ends with nothing open are gone."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    e = T.table(spark, sf, "events").select("user_id", (k % 4).alias("channel"), F.floor(k / 4 % 2).cast("int").alias("note"), "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), F.col("event_type").isin("view", "click").alias("on"))
+    e = M.pair_starts_with_ends(e, ["user_id", "channel", "note"], ["t", "event_id"])
     pick = lambda c, on: F.max(F.when(F.col("on") == F.lit(on), F.col(c)))
-    p = e.groupBy("user_id", "channel", "k").agg(pick("event_id", True).alias("on_id"), pick("event_id", False).alias("off_id"), pick("t", True).alias("t1"), pick("t", False).alias("t2")).where("t2 > t1")
-    return p.select("user_id", "channel", "on_id", "off_id", F.round((F.col("t2") - F.col("t1")) / 1000000.0, 3).alias("seconds"))
+    p = e.groupBy("user_id", "channel", "note", "k").agg(pick("event_id", True).alias("on_id"), pick("event_id", False).alias("off_id"), pick("t", True).alias("t1"), pick("t", False).alias("t2")).where("t2 > t1")
+    return p.select("user_id", "channel", "note", "on_id", "off_id", F.round((F.col("t2") - F.col("t1")) / 1000000.0, 3).alias("seconds"))
+
+
+@REGISTRY.query(
+    "c66_rhythm_diagnosis",
+    f"""WITH {NOTES}, m AS (SELECT sample_id, avg(confidence) AS tempo, avg(CASE WHEN note_seq % 4 = 0 THEN confidence END) AS down, avg(CASE WHEN note_seq % 3 = 0 THEN confidence END) AS bar, avg((abs(start_sec / 0.5 - round_even(start_sec / 0.5, 0)) * 0.5 > 0.15)::INT) AS off, least(1, min(start_sec) / 2) AS pickup, avg(voiced::INT) AS rubato FROM notes GROUP BY 1),
+  i AS (SELECT *, list_filter([CASE WHEN tempo < 0.65 THEN 'possible_tempo_instability' END, CASE WHEN down < 0.35 THEN 'possible_downbeat_uncertainty' END, CASE WHEN bar < 0.45 THEN 'possible_bar_phase_error' END, CASE WHEN off > 0.35 THEN 'possible_off_grid_quantization' END, CASE WHEN pickup >= 0.7 THEN 'possible_pickup_or_leading_silence' END, CASE WHEN rubato >= 0.7 AND NOT coalesce(tempo < 0.65, FALSE) THEN 'possible_tempo_instability' END], lambda x: x IS NOT NULL) AS issues FROM m),
+  d AS (SELECT *, CASE WHEN len(issues) > 1 THEN 'mixed_rhythm_issue' WHEN len(issues) = 1 THEN issues[1] ELSE 'stable_grid' END AS diagnosis FROM i)
+  SELECT sample_id, diagnosis, array_to_string(list_sort(list_distinct(CASE WHEN diagnosis = 'stable_grid' THEN issues ELSE list_append(issues, diagnosis) END)), ',') AS flags FROM d""",
+)
+def c66_rhythm_diagnosis(spark, sf):
+    """The diagnosis and flags of each sample from six measures of its rhythm."""
+    n, conf = T.notes(spark, sf), F.col("confidence")
+    off = F.abs(F.col("start_sec") - S.snap(F.col("start_sec"), 0.5)) > 0.15
+    m = n.groupBy("sample_id").agg(F.avg(conf).alias("tempo"), F.avg(F.when(F.col("note_seq") % 4 == 0, conf)).alias("down"), F.avg(F.when(F.col("note_seq") % 3 == 0, conf)).alias("bar"), F.avg(off.cast("int")).alias("off"), F.least(F.lit(1.0), F.min("start_sec") / 2).alias("pickup"), F.avg(F.col("voiced").cast("int")).alias("rubato"))
+    diagnosis, flags = R.rhythm_issues(*map(F.col, ("tempo", "down", "bar", "off", "pickup", "rubato")))
+    return m.select("sample_id", diagnosis.alias("diagnosis"), F.array_join(flags, ",").alias("flags"))
+
+
+#: The edits that each reason suggests.
+PATCHES = {
+    "octave_outlier": ["shift_octave", "replace_pitch"],
+    "large_quantize_error": ["move_note_to_grid", "adjust_duration"],
+    "possible_fragmentation": ["merge_notes", "delete_note"],
+    "possible_overmerge": ["split_note", "adjust_duration"],
+    "low_confidence": ["mark_uncertain", "replace_pitch"],
+}
+_PATCH_ROWS = ", ".join(f"('{reason}', {k}, '{patch}')" for reason, patches in PATCHES.items() for k, patch in enumerate(patches))
+
+
+@REGISTRY.query(
+    "c68_uncertain_notes",
+    f"""WITH {NOTES}, r AS (SELECT sample_id, note_seq, unnest(reasons) AS reason, unnest(range(len(reasons))) AS place, array_to_string(reasons, ',') AS reason_codes FROM (SELECT *, list_filter([CASE WHEN pitch > 76 THEN 'octave_outlier' END, CASE WHEN end_sec - start_sec < 0.09 THEN 'possible_fragmentation' END, CASE WHEN end_sec - start_sec > 0.39 THEN 'possible_overmerge' END, CASE WHEN confidence < 0.2 THEN 'low_confidence' END, CASE WHEN NOT voiced THEN 'unvoiced' END], lambda x: x IS NOT NULL) AS reasons FROM notes)),
+  p(reason, k, patch) AS (VALUES {_PATCH_ROWS}), f AS (SELECT sample_id, note_seq, reason_codes, patch, min(place * 10 + k) AS place FROM r LEFT JOIN p USING (reason) GROUP BY 1, 2, 3, 4)
+  SELECT sample_id, note_seq, reason_codes, coalesce(string_agg(patch, ',' ORDER BY place), 'mark_uncertain') AS patches FROM f GROUP BY 1, 2, 3""",
+)
+def c68_uncertain_notes(spark, sf):
+    """Notes that have reasons, with the edits that these suggest."""
+    reasons = [(F.col("pitch") > 76, "octave_outlier"), (dur() < 0.09, "possible_fragmentation"), (dur() > 0.39, "possible_overmerge"), (F.col("confidence") < 0.2, "low_confidence"), (~F.col("voiced"), "unvoiced")]
+    n = R.with_reasons(T.notes(spark, sf), reasons).where(F.size("reasons") > 0)
+    return n.select("sample_id", "note_seq", F.array_join("reasons", ",").alias("reason_codes"), F.array_join(R.looked_up(F.col("reasons"), PATCHES, "mark_uncertain"), ",").alias("patches"))
+
+
+@REGISTRY.query(
+    "f9_voiced_frames",
+    f"""WITH {NOTES}, f AS (SELECT sample_id, note_seq, CASE WHEN note_seq % 3 = 0 THEN voiced END AS flag, CASE WHEN note_seq % 4 <> 0 THEN upper(state) END AS state, CASE WHEN note_seq % 5 = 0 THEN pitch END AS pitch, CASE WHEN note_seq % 7 = 0 THEN velocity - 60 END AS hz FROM notes)
+  SELECT sample_id, note_seq, CASE WHEN flag IS NOT NULL THEN flag WHEN state IN ('VOICED', 'ACTIVE', 'VOCAL', 'SINGING') THEN TRUE ELSE pitch IS NOT NULL OR coalesce(hz > 0, FALSE) END AS voiced FROM f""",
+)
+def f9_voiced_frames(spark, sf):
+    """Frames that tell in different ways whether they are voiced."""
+    some = lambda k, c: F.when(F.col("note_seq") % k == 0, c)
+    state = F.when(F.col("note_seq") % 4 != 0, F.upper("state"))
+    return T.notes(spark, sf).select("sample_id", "note_seq", R.is_voiced(some(3, F.col("voiced")), state, some(5, F.col("pitch")), some(7, F.col("velocity") - 60)).alias("voiced"))
 
 
 @REGISTRY.query(

@@ -93,6 +93,12 @@ def t2_latest_per_key(spark, sf):
     return V.latest(T.table(spark, sf, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"], ["o_orderkey", "o_totalprice"])
 
 
+@REGISTRY.query("t3_ascending_list", "SELECT o_custkey, o_orderdate, o_orderkey FROM orders ORDER BY o_custkey, o_orderdate, o_orderkey")
+def t3_ascending_list(spark, sf):
+    """The versions of every key in ascending order: a sort by ranges, without a group."""
+    return T.table(spark, sf, "orders").select("o_custkey", "o_orderdate", "o_orderkey").orderBy("o_custkey", "o_orderdate", "o_orderkey")
+
+
 @REGISTRY.query("t7_bounded_examples", "WITH r AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders) SELECT o_custkey, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY k) AS examples FROM r WHERE k <= 3 GROUP BY 1")
 def t7_bounded_examples(spark, sf):
     """Three examples for each key (T4)."""

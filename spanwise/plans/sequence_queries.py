@@ -11,7 +11,7 @@ from ..operators import intervals as I
 from ..operators import matching as M
 from ..operators import windows as X
 from . import fixtures as T
-from .fixtures import NOTES
+from .fixtures import EXPECTED, NOTES, PREDICTED
 from .registry import REGISTRY
 
 KEY, ORDER = ["sample_id"], ["start_sec", "note_seq"]
@@ -68,10 +68,29 @@ def i14_trim_overlaps(spark, sf):
     return D.fold_runs(T.notes(spark, sf), "sample_id", 0.0, D.trim_weaker(0.03), "note_seq long, start_sec double, end_sec double, pitch int")
 
 
-@REGISTRY.query("i16_drop_leaps")
+@REGISTRY.query(
+    "i16_drop_leaps",
+    f"""WITH RECURSIVE {NOTES}, o AS (SELECT *, row_number() OVER {BY} AS k FROM notes), s AS (SELECT sample_id, k, note_seq, pitch AS last, TRUE AS kept FROM o WHERE k = 1 UNION ALL
+    SELECT sample_id, k, note_seq, CASE WHEN x THEN last ELSE pitch END, NOT x FROM (SELECT o.*, s.last, abs(o.pitch - s.last) >= 12 AND (o.end_sec - o.start_sec < 0.25 OR o.confidence < 0.62) AS x FROM s JOIN o ON o.sample_id = s.sample_id AND o.k = s.k + 1))
+  SELECT o.sample_id, o.note_seq, round(start_sec, 6) AS start_sec, round(end_sec, 6) AS end_sec, pitch FROM s JOIN o ON o.sample_id = s.sample_id AND o.k = s.k WHERE kept""",
+)
 def i16_drop_leaps(spark, sf):
-    """Within phrases: a silence of two seconds ends the memory of the last note kept."""
-    return D.fold_runs(T.notes(spark, sf), "sample_id", 2.0, D.drop_leaps(24), "note_seq long, start_sec double, end_sec double, pitch int")
+    """The last note kept is remembered over any silence."""
+    return D.drop_leaps(T.notes(spark, sf), "sample_id", width=30).select("sample_id", "note_seq", r6("start_sec").alias("start_sec"), r6("end_sec").alias("end_sec"), "pitch")
+
+
+@REGISTRY.query(
+    "j13_match_each_left",
+    f"""WITH RECURSIVE {NOTES}, {EXPECTED}, {PREDICTED}, o AS (SELECT *, row_number() OVER (PARTITION BY sample_id, pitch ORDER BY start_sec, note_seq) AS k FROM expected),
+  s AS (SELECT DISTINCT sample_id, pitch, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS e, CAST(NULL AS BIGINT) AS p, CAST([] AS BIGINT[]) AS used FROM expected UNION ALL
+    SELECT sample_id, pitch, k, e, p, CASE WHEN p IS NULL THEN used ELSE list_append(used, p) END FROM (SELECT s.sample_id, s.pitch, o.k, o.note_seq AS e, any_value(s.used) AS used, arg_min(q.note_seq, {{'d': abs(q.start_sec - o.start_sec), 't': q.start_sec, 'n': q.note_seq}}) AS p
+      FROM s JOIN o ON o.sample_id = s.sample_id AND o.pitch = s.pitch AND o.k = s.k + 1 LEFT JOIN predicted q ON q.sample_id = s.sample_id AND q.pitch = s.pitch AND abs(q.start_sec - o.start_sec) <= 0.08 AND NOT list_contains(s.used, q.note_seq) GROUP BY 1, 2, 3, 4))
+  SELECT sample_id, e AS expected_seq, p AS predicted_seq FROM s WHERE p IS NOT NULL""",
+)
+def j13_match_each_left(spark, sf):
+    n = T.notes(spark, sf)
+    m = D.match_each_left(T.expected(n), T.predicted(n), "sample_id", 0.08)
+    return m.select("sample_id", F.col("left_seq").alias("expected_seq"), F.col("right_seq").alias("predicted_seq"))
 
 
 @REGISTRY.query("i17_octave_fix")

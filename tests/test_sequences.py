@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from spanwise.functions import scalar as S
-from spanwise.operators import alignment, folds, intervals, matching
+from spanwise.operators import alignment, folds, intervals, matching, rules
 from spanwise.plans import catalog, fixtures
 from pyspark.sql import functions as F
 
@@ -160,3 +160,57 @@ def test_registry_rejects_a_second_query_of_a_name():
 
 def test_fixture_columns(spark, small):
     assert fixtures.notes(spark, small).where("end_sec <= start_sec").count() == 0
+
+
+def test_ends_close_the_oldest_open_start(spark):
+    """Against a queue for each key, with orphan ends, unclosed starts and ends at the time of their start."""
+    r = random.Random(11)
+    rows = [(r.randrange(4), k, r.randrange(60), r.random() < 0.5) for k in range(240)] + [(9, 900, 1, False), (9, 901, 2, True), (9, 902, 3, False), (8, 903, 1, True)]
+    df = spark.createDataFrame(rows, "key long, id long, t long, on boolean")
+    got = {}
+    for x in matching.pair_starts_with_ends(df, ["key"], ["t", "id"]).collect():
+        got.setdefault((x.key, x.k), {})[x.on] = x.id
+    want, held = set(), {}
+    for key, i, _, on in sorted(rows, key=lambda x: (x[2], x[1])):
+        if on:
+            held.setdefault(key, []).append(i)
+        elif held.get(key):
+            want.add((held[key].pop(0), i))
+    assert {(x[True], x[False]) for x in got.values() if len(x) == 2} == want and (901, 902) in want
+
+
+@pytest.mark.parametrize("width", [None, 1.0])
+def test_leaps_from_the_last_note_kept(spark, width):
+    df, rows = notes(spark, 400, 12)
+    want = set()
+    for s in {x[0] for x in rows}:
+        last = None
+        for _, seq, a, b, pitch, sure in sorted((x for x in rows if x[0] == s), key=lambda x: (x[2], x[1])):
+            if last is None or not (abs(pitch - last) >= 12 and (b - a < 0.25 or sure < 0.62)):
+                last = pitch
+                want.add((s, seq))
+    assert {tuple(x)[:2] for x in folds.drop_leaps(df, "sample_id", width=width).collect()} == want and len(want) < 400
+
+
+def test_each_left_note_takes_the_nearest_free_one(spark):
+    r = random.Random(13)
+    rows = [(r.randrange(2), k, round(r.random() * 3, 2), 0.0, r.randrange(50, 53), 0.5) for k in range(300)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {tuple(x) for x in folds.match_each_left(df.where("note_seq % 2 = 0"), df.where("note_seq % 2 = 1"), "sample_id", 0.08).collect()}
+    order = sorted(rows, key=lambda x: (x[2], x[1]))
+    want, taken = set(), set()
+    for e in (x for x in order if x[1] % 2 == 0):
+        best = None
+        for p in (x for x in order if x[1] % 2 == 1 and x[0] == e[0] and x[4] == e[4] and x[1] not in taken):
+            if abs(p[2] - e[2]) <= 0.08 and (best is None or abs(p[2] - e[2]) < abs(best[2] - e[2])):
+                best = p
+        if best:
+            taken.add(best[1])
+            want.add((e[0], e[1], best[1]))
+    assert got == want and want
+
+
+def test_voiced_by_what_a_frame_has(spark):
+    rows = [(False, "vocal", 60, 440.0), (None, "Singing", None, None), (None, "rest", 60, None), (None, None, None, 0.0), (None, None, None, 1.0), (None, "rest", None, None)]
+    df = spark.createDataFrame(rows, "v boolean, s string, p int, f double")
+    assert [x[0] for x in df.select(rules.is_voiced(*map(F.col, "vspf"))).collect()] == [False, True, True, False, True, False]
