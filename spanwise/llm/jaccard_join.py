@@ -49,7 +49,7 @@ from pyspark.sql import Window as W
 
 from . import wordhash
 from .components import connected_components
-from .scratch import broadcast_if_small, discard, frequent_values, materialize, ship, table
+from .scratch import BROADCAST_IDS, broadcast_if_small, discard, frequent_values, materialize, ship, table
 
 FRAGMENTS = 8
 #: Frequent n-grams at most, from how many documents on, and counters of the summary that finds them.
@@ -60,6 +60,8 @@ SMALL = 256
 CLOSE = 25
 #: Rounds in which components try their best candidate alone.
 ROUNDS = 3
+#: Shingles of all pivots together, 8 bytes each, up to which they are broadcast; beyond that Spark shuffles and splits skewed keys.
+PIVOTS = 1 << 22
 #: 64-bit words that the parity bitmap of a set has at most.
 BITMAP = 1024
 
@@ -217,7 +219,11 @@ def _by_difference(spokes: DataFrame, classes: DataFrame, rows: DataFrame, k: in
     """
     parts, used = _parts(spokes, classes, rows, k, frequent)
     parts = parts.dropDuplicates(["class", "fragment"])  # a class comes twice where the input repeats a row
-    left = parts.select(F.col("class").alias("a"), "fragment", F.col("part").alias("of_a"))
+    pivots = spokes.select(F.col("a").alias("class")).distinct()
+    few = pivots.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    left = parts.join(F.broadcast(pivots) if few else pivots, "class", "left_semi").select(F.col("class").alias("a"), "fragment", F.col("part").alias("of_a"))
+    # a pivot of many members has few keys, so its parts are sent to the members where they are small
+    left = F.broadcast(left) if few and (left.agg(F.sum(F.size("of_a"))).first()[0] or 0) <= PIVOTS else left
     right = parts.select(F.col("class").alias("b"), "fragment", F.col("part").alias("of_b"))
     apart = spokes.join(right, "b").join(left, ["a", "fragment"]).select(*spokes.columns, F.concat(F.array_except("of_b", "of_a"), F.array_except("of_a", "of_b")).alias("part"))
     apart = apart.groupBy(*spokes.columns).agg(F.flatten(F.collect_list("part")).alias("apart"))
