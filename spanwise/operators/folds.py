@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,8 +36,8 @@ def fold_runs(notes: DataFrame, key: str, bridge: float, fold: Callable[[list[No
     return fold_each(rows, key, fold, columns)
 
 
-def fold_each(rows: DataFrame, key: str, fold: Callable[[list[Note]], list[tuple]], columns: str) -> DataFrame:
-    """Applies `fold` to the rows of each key and `__run`; its rows get the key before them."""
+def fold_each(rows: DataFrame, key: str, fold: Callable[[list[tuple]], list[tuple]], columns: str, fields: list[str] = FIELDS, order: list[str] = ORDER) -> DataFrame:
+    """Applies `fold` to the `fields` of the rows of each key and `__run`; its rows get the key before them."""
     kind = dict(rows.dtypes)[key]
     schema = _parse_datatype_string(f"{key} {kind}, {columns}")
     arrow = to_arrow_schema(schema)
@@ -57,7 +58,7 @@ def fold_each(rows: DataFrame, key: str, fold: Callable[[list[Note]], list[tuple
             yield made(out)
         yield made([(name[0], *x) for x in fold(held)] if held else [])
 
-    dealt = rows.select(key, "__run", *FIELDS).repartition(key, "__run").sortWithinPartitions(key, "__run", *ORDER)
+    dealt = rows.select(key, "__run", *fields).repartition(key, "__run").sortWithinPartitions(key, "__run", *order)
     return dealt.mapInArrow(run, schema)
 
 
@@ -99,21 +100,44 @@ def trim_weaker(least: float) -> Callable[[list[Note]], list[tuple]]:
     return fold
 
 
-def best_of_conflicts(window: float) -> Callable[[list[Note]], list[tuple]]:
-    """Of the notes that start within `window` of a group's first one the best stays: most confident, then nearest to the last winner."""
+def best_of_conflicts(notes: DataFrame, key: str, window: float, width: float | None = None) -> DataFrame:
+    """Of the notes that start within `window` of a group's first one the best stays: key, note_seq, start_sec, end_sec, pitch, n_group.
 
-    def fold(notes: list[Note]) -> list[tuple]:
-        out, group, last = [], [], None
-        for note in [*notes, None]:
+    The best is the longest, then the most confident, then the nearest in pitch to the winner before, the earliest, and
+    the one with the largest note_seq. Only among notes as long and as confident does the winner before matter: first,
+    each group is brought down to those, and a group with one of them begins a run that needs no memory. width: seconds of
+    a key that one task takes when runs are numbered.
+    """
+
+    def length(note: Note) -> float:
+        return round(note[1] - note[0], 6)
+
+    def groups(run: list[Note]) -> list[tuple]:
+        out, group = [], []
+        for note in [*run, None]:
             if group and (note is None or note[0] - group[0][0] > window):
-                best = min(group, key=lambda n: (-n[3], abs(n[2] - last) if last is not None else 0.0, n[4]))
-                out.append((best[4], best[0], best[1], int(best[2]), len(group)))
-                last, group = best[2], []
+                most = max((length(n), n[3]) for n in group)
+                best = [n for n in group if (length(n), n[3]) == most]
+                out += [(group[0][0], len(best), len(group), n[4], n[0], n[1], int(n[2])) for n in best]
+                group = []
             if note is not None:
                 group.append(note)
         return out
 
-    return fold
+    def winners(run: list[tuple]) -> list[tuple]:
+        out, last = [], None
+        for _, group in groupby(run, key=lambda n: n[0]):
+            best = min(group, key=lambda n: (abs(n[5] - last) if last is not None else 0, n[3], -n[2]))
+            out.append((*best[2:], best[1]))
+            last = best[5]
+        return out
+
+    # twice the window, as no group reaches over a silence longer than it
+    tied = fold_runs(notes, key, 2 * window, groups, "anchor double, n_best int, n_group int, note_seq long, start_sec double, end_sec double, pitch int")
+    bucket = None if width is None else F.floor(F.col("anchor") / width)
+    runs = island_ids(tied, [key], ["anchor", "note_seq"], F.col("n_best") == 1, "__run", bucket)
+    fields = ["anchor", "n_group", "note_seq", "start_sec", "end_sec", "pitch"]
+    return fold_each(runs, key, winners, "note_seq long, start_sec double, end_sec double, pitch int, n_group int", fields, ["anchor", "note_seq"])
 
 
 def drop_leaps(notes: DataFrame, key: str, leap: float = 12, short: float = 0.25, unsure: float = 0.62, width: float | None = None) -> DataFrame:

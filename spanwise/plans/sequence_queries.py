@@ -58,9 +58,18 @@ def i11_merge_same_pitch(spark, sf):
     return out.drop("part")
 
 
-@REGISTRY.query("i13_conflict_groups")
+@REGISTRY.query(
+    "i13_conflict_groups",
+    f"""WITH RECURSIVE {NOTES}, o AS (SELECT *, round(end_sec - start_sec, 6) AS dur, row_number() OVER {BY} AS k FROM notes),
+  a AS (SELECT sample_id, k, start_sec AS anchor FROM o WHERE k = 1 UNION ALL SELECT o.sample_id, o.k, CASE WHEN o.start_sec - a.anchor <= 0.15::DOUBLE THEN a.anchor ELSE o.start_sec END FROM a JOIN o ON o.sample_id = a.sample_id AND o.k = a.k + 1),
+  m AS (SELECT o.*, dense_rank() OVER (PARTITION BY o.sample_id ORDER BY anchor) AS g FROM o JOIN a ON a.sample_id = o.sample_id AND a.k = o.k),
+  w AS (SELECT DISTINCT sample_id, CAST(0 AS BIGINT) AS g, CAST(NULL AS INT) AS last, CAST(NULL AS BIGINT) AS note_seq, CAST(0 AS BIGINT) AS n FROM notes UNION ALL
+    SELECT sample_id, g, best.pitch, best.note_seq, n FROM (SELECT m.sample_id, m.g, arg_min({{'pitch': m.pitch, 'note_seq': m.note_seq}}, {{'a': -m.dur, 'b': -m.confidence, 'c': coalesce(abs(m.pitch - w.last), 0), 'd': m.start_sec, 'e': -m.note_seq}}) AS best, count(*) AS n FROM w JOIN m ON m.sample_id = w.sample_id AND m.g = w.g + 1 GROUP BY 1, 2))
+  SELECT m.sample_id, m.note_seq, round(m.start_sec, 6) AS start_sec, round(m.end_sec, 6) AS end_sec, m.pitch, CAST(w.n AS INT) AS n_group FROM w JOIN m ON m.sample_id = w.sample_id AND m.note_seq = w.note_seq""",
+)
 def i13_conflict_groups(spark, sf):
-    return D.fold_runs(T.notes(spark, sf), "sample_id", 0.2, D.best_of_conflicts(0.15), "note_seq long, start_sec double, end_sec double, pitch int, n_group int")
+    b = D.best_of_conflicts(T.notes(spark, sf), "sample_id", 0.15, width=30)
+    return b.select("sample_id", "note_seq", r6("start_sec").alias("start_sec"), r6("end_sec").alias("end_sec"), "pitch", "n_group")
 
 
 @REGISTRY.query("i14_trim_overlaps")
