@@ -7,7 +7,7 @@ key is. The folds themselves are small functions on (start, end, pitch, confiden
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Callable, Iterator
 from itertools import groupby
 
@@ -140,6 +140,23 @@ def best_of_conflicts(notes: DataFrame, key: str, window: float, width: float |
     return fold_each(runs, key, winners, "note_seq long, start_sec double, end_sec double, pitch int, n_group int", fields, ["anchor", "note_seq"])
 
 
+def limit_polyphony(most: int) -> Callable[[list[Note]], list[tuple]]:
+    """Notes in order of confidence, length, start and pitch stay where at most `most` then sound at once. Runs are cut at silences, over which nothing sounds."""
+
+    def fold(notes: list[Note]) -> list[tuple]:
+        kept: list[tuple[float, float, int]] = []  # by start
+        longest = max((n[1] - n[0] for n in notes), default=0.0)
+        for note in sorted(notes, key=lambda n: (-n[3], n[0] - n[1], n[0], n[2], n[4])):
+            near = kept[bisect_left(kept, (note[0] - 2 * longest,)) : bisect_left(kept, (note[1],))]
+            near = [k for k in near if k[1] > note[0]]
+            points = [note[0], *(k[0] for k in near if k[0] > note[0])]
+            if note[1] <= note[0] or most > max(sum(k[0] <= p < k[1] for k in near) for p in points):
+                insort(kept, (note[0], note[1], note[4]))
+        return [(k[2], k[0], k[1]) for k in kept] if most > 0 else []
+
+    return fold
+
+
 def drop_leaps(notes: DataFrame, key: str, leap: float = 12, short: float = 0.25, unsure: float = 0.62, width: float | None = None) -> DataFrame:
     """Short or unsure notes at least `leap` semitones from the last one kept go, however long ago that was.
 

@@ -59,3 +59,11 @@ def is_voiced(voiced: Column, state: Column, pitch: Column, frequency: Column) -
     """The flag where there is one, else a state that says so, else any pitch or a frequency above 0."""
     said = F.coalesce(F.lower(state).isin("voiced", "active", "vocal", "singing"), F.lit(False))
     return F.coalesce(voiced, said | pitch.isNotNull() | F.coalesce(frequency > 0, F.lit(False)))
+
+
+def all_flags(texts: list[Column], lists: list[Column], maps: list[Column]) -> Column:
+    """The sorted flags named by texts, by lists, or by maps of a flag to whether it is set; null where there are none."""
+    found = [F.array(t) for t in texts] + lists + [F.map_keys(F.map_filter(m, lambda _, v: v)) for m in maps]
+    found = F.flatten(F.array(*(F.coalesce(x, F.array().cast("array<string>")) for x in found)))
+    found = F.array_sort(F.array_distinct(F.filter(found, lambda x: x.isNotNull() & (x != ""))))
+    return F.when(F.size(found) > 0, found)

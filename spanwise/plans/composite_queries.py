@@ -241,6 +241,19 @@ def c68_uncertain_notes(spark, sf):
     return n.select("sample_id", "note_seq", F.array_join("reasons", ",").alias("reason_codes"), F.array_join(R.looked_up(F.col("reasons"), PATCHES, "mark_uncertain"), ",").alias("patches"))
 
 
+@REGISTRY.query(
+    "c17_flag_union",
+    f"""WITH {NOTES}, f AS (SELECT sample_id, note_seq, unnest([CASE WHEN confidence < 0.5 THEN event_type END, CASE WHEN pitch > 60 THEN 'high' END, CASE WHEN pitch > 60 AND NOT voiced THEN 'error' END, CASE WHEN velocity > 64 THEN 'loud' END, CASE WHEN end_sec - start_sec < 0.12 THEN 'short' END]) AS flag FROM notes)
+  SELECT sample_id, note_seq, coalesce(string_agg(DISTINCT flag, ',' ORDER BY flag), 'unavailable') AS flags FROM f GROUP BY 1, 2""",
+)
+def c17_flag_union(spark, sf):
+    """Flags that come as a text, as a list and as a map."""
+    lists = S.labels((F.col("pitch") > 60, "high"), ((F.col("pitch") > 60) & ~F.col("voiced"), "error"))
+    maps = F.create_map(F.lit("loud"), F.col("velocity") > 64, F.lit("short"), dur() < 0.12)
+    flags = R.all_flags([F.when(F.col("confidence") < 0.5, F.col("event_type"))], [lists], [maps])
+    return T.notes(spark, sf).select("sample_id", "note_seq", F.coalesce(F.array_join(flags, ","), F.lit("unavailable")).alias("flags"))
+
+
 @REGISTRY.query(
     "f9_voiced_frames",
     f"""WITH {NOTES}, f AS (SELECT sample_id, note_seq, CASE WHEN note_seq % 3 = 0 THEN voiced END AS flag, CASE WHEN note_seq % 4 <> 0 THEN upper(state) END AS state, CASE WHEN note_seq % 5 = 0 THEN pitch END AS pitch, CASE WHEN note_seq % 7 = 0 THEN velocity - 60 END AS hz FROM notes)

@@ -102,6 +102,20 @@ def j13_match_each_left(spark, sf):
     return m.select("sample_id", F.col("left_seq").alias("expected_seq"), F.col("right_seq").alias("predicted_seq"))
 
 
+@REGISTRY.query(
+    "i22_polyphony_limit",
+    f"""WITH RECURSIVE {NOTES}, o AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY confidence DESC, start_sec - end_sec, start_sec, pitch, note_seq) AS k FROM notes),
+  s AS (SELECT DISTINCT sample_id, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(a DOUBLE, b DOUBLE, id BIGINT)[]) AS kept FROM notes UNION ALL
+    SELECT sample_id, k, CASE WHEN list_max(list_transform(list_append(list_transform(list_filter(kept, lambda x: x.a > a AND x.a < b), lambda x: x.a), a), lambda p: len(list_filter(kept, lambda x: x.a <= p AND p < x.b)))) < 1 THEN list_append(kept, {{'a': a, 'b': b, 'id': note_seq}}) ELSE kept END
+    FROM (SELECT o.sample_id, o.k, s.kept, o.start_sec AS a, o.end_sec AS b, o.note_seq FROM s JOIN o ON o.sample_id = s.sample_id AND o.k = s.k + 1)),
+  l AS (SELECT sample_id, unnest(kept) AS x FROM (SELECT sample_id, arg_max(kept, k) AS kept FROM s GROUP BY 1))
+  SELECT sample_id, x.id AS note_seq, round(x.a, 6) AS start_sec, round(x.b, 6) AS end_sec FROM l""",
+)
+def i22_polyphony_limit(spark, sf):
+    kept = D.fold_runs(T.notes(spark, sf), "sample_id", 0.0, D.limit_polyphony(1), "note_seq long, start_sec double, end_sec double")
+    return kept.select("sample_id", "note_seq", r6("start_sec").alias("start_sec"), r6("end_sec").alias("end_sec"))
+
+
 @REGISTRY.query("i17_octave_fix")
 def i17_octave_fix(spark, sf):
     return D.fold_runs(T.notes(spark, sf), "sample_id", 1.0, D.fix_octaves(8), "note_seq long, before int, after int")

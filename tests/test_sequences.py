@@ -234,3 +234,18 @@ def test_voiced_by_what_a_frame_has(spark):
     rows = [(False, "vocal", 60, 440.0), (None, "Singing", None, None), (None, "rest", 60, None), (None, None, None, 0.0), (None, None, None, 1.0), (None, "rest", None, None)]
     df = spark.createDataFrame(rows, "v boolean, s string, p int, f double")
     assert [x[0] for x in df.select(rules.is_voiced(*map(F.col, "vspf"))).collect()] == [False, True, True, False, True, False]
+
+
+@pytest.mark.parametrize("most", [0, 1, 2, 3])
+def test_polyphony_limit(spark, most):
+    df, rows = notes(spark, 250, 15)
+    want = set()
+    for s in {x[0] for x in rows}:
+        kept = []
+        for x in sorted((x for x in rows if x[0] == s), key=lambda x: (-x[5], x[2] - x[3], x[2], x[4], x[1])):
+            tried = [*kept, x]
+            if max(sum(y[2] <= p[2] < y[3] for y in tried) for p in tried) <= most:
+                kept = tried
+        want |= {(s, x[1]) for x in kept if most}
+    got = {tuple(x)[:2] for x in folds.fold_runs(df, "sample_id", 0.0, folds.limit_polyphony(most), "note_seq long, start_sec double, end_sec double").collect()}
+    assert got == want
