@@ -13,6 +13,7 @@ from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
@@ -101,7 +102,7 @@ def trim_weaker(least: float) -> Callable[[list[Note]], list[tuple]]:
 
 
 def best_of_conflicts(notes: DataFrame, key: str, window: float, width: float | None = None) -> DataFrame:
-    """Of the notes that start within `window` of a group's first one the best stays: key, note_seq, start_sec, end_sec, pitch, n_group.
+    """Of the notes that start within `window` of a group's first one the best stays: key, note_seq, start_sec, end_sec, pitch, confidence, n_group.
 
     The best is the longest, then the most confident, then the nearest in pitch to the winner before, the earliest, and
     the one with the largest note_seq. Only among notes as long and as confident does the winner before matter: first,
@@ -118,7 +119,7 @@ def best_of_conflicts(notes: DataFrame, key: str, window: float, width: float |
             if group and (note is None or note[0] - group[0][0] > window):
                 most = max((length(n), n[3]) for n in group)
                 best = [n for n in group if (length(n), n[3]) == most]
-                out += [(group[0][0], len(best), len(group), n[4], n[0], n[1], int(n[2])) for n in best]
+                out += [(group[0][0], len(best), len(group), n[4], n[0], n[1], int(n[2]), n[3]) for n in best]
                 group = []
             if note is not None:
                 group.append(note)
@@ -133,11 +134,11 @@ def best_of_conflicts(notes: DataFrame, key: str, window: float, width: float |
         return out
 
     # twice the window, as no group reaches over a silence longer than it
-    tied = fold_runs(notes, key, 2 * window, groups, "anchor double, n_best int, n_group int, note_seq long, start_sec double, end_sec double, pitch int")
+    tied = fold_runs(notes, key, 2 * window, groups, "anchor double, n_best int, n_group int, note_seq long, start_sec double, end_sec double, pitch int, confidence double")
     bucket = None if width is None else F.floor(F.col("anchor") / width)
     runs = island_ids(tied, [key], ["anchor", "note_seq"], F.col("n_best") == 1, "__run", bucket)
-    fields = ["anchor", "n_group", "note_seq", "start_sec", "end_sec", "pitch"]
-    return fold_each(runs, key, winners, "note_seq long, start_sec double, end_sec double, pitch int, n_group int", fields, ["anchor", "note_seq"])
+    fields = ["anchor", "n_group", "note_seq", "start_sec", "end_sec", "pitch", "confidence"]
+    return fold_each(runs, key, winners, "note_seq long, start_sec double, end_sec double, pitch int, confidence double, n_group int", fields, ["anchor", "note_seq"])
 
 
 def limit_polyphony(most: int) -> Callable[[list[Note]], list[tuple]]:
@@ -169,12 +170,12 @@ def drop_leaps(notes: DataFrame, key: str, leap: float = 12, short: float = 0.25
         for note in run[1:]:
             if abs(note[2] - kept[-1][2]) < leap:
                 kept.append(note)
-        return [(n[4], n[0], n[1], int(n[2])) for n in kept]
+        return [(n[4], n[0], n[1], int(n[2]), n[3]) for n in kept]
 
     firm = (F.col("end_sec") - F.col("start_sec") >= short) & (F.col("confidence") >= unsure)
     bucket = None if width is None else F.floor(F.col("start_sec") / width)
     rows = island_ids(ship(notes).select(key, *FIELDS), [key], ORDER, firm, "__run", bucket)
-    return fold_each(rows, key, fold, "note_seq long, start_sec double, end_sec double, pitch int")
+    return fold_each(rows, key, fold, "note_seq long, start_sec double, end_sec double, pitch int, confidence double")
 
 
 def match_each_left(left: DataFrame, right: DataFrame, key: str, tolerance: float) -> DataFrame:
@@ -317,3 +318,24 @@ def lattice_snap(grid: float) -> Callable[[list[Note]], list[tuple]]:
         return [(n[4], n[0], points[k][s] * grid) for k, (n, s) in enumerate(zip(notes, path, strict=True))]
 
     return fold
+
+
+def merge_same_pitch(notes: DataFrame, key: str, gap: float, width: float | None = None) -> DataFrame:
+    """Neighbours of one pitch at most `gap` apart become one note, with the first one's note_seq and start, the latest end and the best confidence."""
+    bucket = None if width is None else F.floor(F.col("start_sec") / width)
+    w = W.partitionBy(key).orderBy(*ORDER)
+    rows = notes.select(key, *FIELDS)
+    # the row before may lie in another bucket, so it is looked up over the key
+    rows = island_ids(rows.withColumn("__other", F.col("pitch") != F.lag("pitch").over(w)), [key], ORDER, F.col("__other"), "__same", bucket)
+    rows = rows.withColumn("__reach", reach([key, "__same"], ORDER))
+    rows = island_ids(rows, [key], ORDER, F.col("__other") | (F.col("start_sec") - F.col("__reach") > gap), "__note", bucket)
+    found = rows.groupBy(key, "__note").agg(F.min("start_sec").alias("start_sec"), F.max("end_sec").alias("end_sec"), F.first("pitch").alias("pitch"), F.max("confidence").alias("confidence"), F.min_by("note_seq", F.struct(*ORDER)).alias("note_seq"))
+    return found.drop("__note")
+
+
+def clean_melody(notes: DataFrame, key: str, width: float | None = None) -> DataFrame:
+    """A single line of notes: by range, length and confidence, merged, one of each conflict, without leaps, merged again. Equal starts go by note_seq."""
+    length, sure = F.round(F.col("end_sec") - F.col("start_sec"), 6), F.col("confidence")
+    kept = notes.where(F.col("pitch").between(52, 76) & (length >= 0.12) & (sure >= 0.52) & ~((length < 0.16) & (sure < 0.6)))
+    one = best_of_conflicts(merge_same_pitch(kept, key, 0.08, width), key, 0.1, width)
+    return merge_same_pitch(drop_leaps(one, key, width=width), key, 0.08, width)

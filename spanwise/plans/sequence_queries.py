@@ -116,6 +116,12 @@ def i22_polyphony_limit(spark, sf):
     return kept.select("sample_id", "note_seq", r6("start_sec").alias("start_sec"), r6("end_sec").alias("end_sec"))
 
 
+@REGISTRY.query("c45_clean_melody")
+def c45_clean_melody(spark, sf):
+    m = D.clean_melody(T.notes(spark, sf), "sample_id", width=30)
+    return m.select("sample_id", "note_seq", r6("start_sec").alias("start_sec"), r6("end_sec").alias("end_sec"), "pitch", "confidence")
+
+
 @REGISTRY.query("i17_octave_fix")
 def i17_octave_fix(spark, sf):
     return D.fold_runs(T.notes(spark, sf), "sample_id", 1.0, D.fix_octaves(8), "note_seq long, before int, after int")

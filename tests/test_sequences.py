@@ -249,3 +249,38 @@ def test_polyphony_limit(spark, most):
         want |= {(s, x[1]) for x in kept if most}
     got = {tuple(x)[:2] for x in folds.fold_runs(df, "sample_id", 0.0, folds.limit_polyphony(most), "note_seq long, start_sec double, end_sec double").collect()}
     assert got == want
+
+
+def test_clean_melody(spark):
+    r = random.Random(16)
+    rows = [(r.randrange(3), k, t := round(r.random() * 40, 3), round(t + 0.1 + r.random() * 0.4, 3), r.randrange(50, 79, r.choice((1, 13))), r.randint(40, 100) / 100) for k in range(500)]
+
+    def merged(notes):
+        out = []
+        for seq, a, b, pitch, sure in notes:
+            if out and out[-1][3] == pitch and a - out[-1][2] <= 0.08:
+                out[-1] = (*out[-1][:2], max(b, out[-1][2]), pitch, max(sure, out[-1][4]))
+            else:
+                out.append((seq, a, b, pitch, sure))
+        return out
+
+    want = set()
+    for s in range(3):
+        own = sorted((x[1:] for x in rows if x[0] == s), key=lambda x: (x[1], x[0]))
+        own = [x for x in own if 52 <= x[3] <= 76 and (d := round(x[2] - x[1], 6)) >= 0.12 and x[4] >= 0.52 and not (d < 0.16 and x[4] < 0.6)]
+        won, group = [], []
+        for x in [*merged(own), None]:
+            if group and (x is None or x[1] - group[0][1] > 0.1):
+                last = won[-1][3] if won else None
+                won.append(max(group, key=lambda n: (round(n[2] - n[1], 6), n[4], -abs(n[3] - last) if last is not None else 0, -n[1], n[0])))
+                group = []
+            if x is not None:
+                group.append(x)
+        line = won[:1]
+        for x in won[1:]:
+            if not (abs(x[3] - line[-1][3]) >= 12 and (x[2] - x[1] < 0.25 or x[4] < 0.62)):
+                line.append(x)
+        want |= {(s, *x) for x in merged(line)}
+    for width in (None, 2.0):
+        got = {(x.sample_id, x.note_seq, x.start_sec, x.end_sec, x.pitch, x.confidence) for x in folds.clean_melody(spark.createDataFrame(rows, SCHEMA), "sample_id", width).collect()}
+        assert got == want and 20 < len(want) < 250
