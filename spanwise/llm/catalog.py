@@ -10,6 +10,7 @@ from .language_model import op10_lm_scoring
 from .license_scan import OP9_SQL, op9_license_scan
 from .packing import op2_best_fit_packing
 from .pii_surrogates import op1_pii_surrogates
+from .quality_rules import OP12_SQL, op12_quality_rules
 from .substring_dedup import OP7_SQL, op7_substring_dedup
 from .url_filter import op4_url_filter
 
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_license_scan": op9_license_scan,
     "op10_lm_scoring": op10_lm_scoring,
+    "op12_quality_rules": op12_quality_rules,
 }
-ORACLES = {"op6_exact_dedup": OP6_SQL, "op7_substring_dedup": OP7_SQL, "op9_license_scan": OP9_SQL}
+ORACLES = {"op6_exact_dedup": OP6_SQL, "op7_substring_dedup": OP7_SQL, "op9_license_scan": OP9_SQL, "op12_quality_rules": OP12_SQL}
