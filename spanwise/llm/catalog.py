@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .collocations import OP13_SQL, op13_phrase_collocations
 from .decontaminate import op3_benchmark_decontamination
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .jaccard_join import op5_ngram_jaccard_join
@@ -26,5 +27,6 @@ QUERIES = {
     "op9_license_scan": op9_license_scan,
     "op10_lm_scoring": op10_lm_scoring,
     "op12_quality_rules": op12_quality_rules,
+    "op13_phrase_collocations": op13_phrase_collocations,
 }
-ORACLES = {"op6_exact_dedup": OP6_SQL, "op7_substring_dedup": OP7_SQL, "op9_license_scan": OP9_SQL, "op12_quality_rules": OP12_SQL}
+ORACLES = {"op6_exact_dedup": OP6_SQL, "op7_substring_dedup": OP7_SQL, "op9_license_scan": OP9_SQL, "op12_quality_rules": OP12_SQL, "op13_phrase_collocations": OP13_SQL}
