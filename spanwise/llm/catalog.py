@@ -14,6 +14,7 @@ from .pii_surrogates import op1_pii_surrogates
 from .quality_rules import OP12_SQL, op12_quality_rules
 from .substring_dedup import OP7_SQL, op7_substring_dedup
 from .url_filter import op4_url_filter
+from .whitening import op11_embedding_whitening
 
 QUERIES = {
     "op1_pii_surrogates": op1_pii_surrogates,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_license_scan": op9_license_scan,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_embedding_whitening": op11_embedding_whitening,
     "op12_quality_rules": op12_quality_rules,
     "op13_phrase_collocations": op13_phrase_collocations,
 }
