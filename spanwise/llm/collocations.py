@@ -39,7 +39,7 @@ from .scratch import Bitmap, broadcast_if_small, materialize, ship, table
 # Words of a phrase, its fewest occurrences, the share of a longer phrase (percent), rows per language.
 DEPTH, LEAST, INSIDE, FIRST = 4, 30, 80, 2000
 #: Suffixes of a group, and words that a task gathers before it sends them.
-BUDGET, HELD = 1 << 21, 1 << 21
+BUDGET, HELD = 1 << 21, 1 << 20
 #: Slices of the hash by which running sums are carried.
 SLICES = 1 << 12
 #: Words with their text that are broadcast, by count; beyond that they are joined by a shuffle.
@@ -151,21 +151,20 @@ def suffixes(blocks: Iterator[Words], frequent: Bitmap | None, held: int) -> Ite
 
     def distinct():
         key, follow, count = np.concatenate(keys), np.concatenate(follows), np.concatenate(counted)
+        keys.clear(), follows.clear(), counted.clear()
         every, code = np.unique(key, return_inverse=True)
-        code = np.concatenate([code.astype(np.uint64) + np.uint64(1), np.zeros(DEPTH, np.uint64)])
+        n = len(key)
+        code = np.concatenate([code.astype(np.uint32) + np.uint32(1), np.zeros(DEPTH, np.uint32)])
         follow = np.concatenate([follow, np.zeros(DEPTH, bool)])
-        columns, on, n = [code[: len(key)]], np.ones(len(key), bool), len(key)
-        for k in range(1, DEPTH):
-            on = on & follow[k : n + k]
-            columns.append(np.where(on, code[k : n + k], np.uint64(0)))
-        some = count & (columns[1] > 0)
-        high, low = (columns[a][some] << np.uint64(32) | columns[a + 1][some] for a in (0, 2))
+        some = np.flatnonzero(count & follow[1 : n + 1])
+        high, on = code[some].astype(np.uint64) << np.uint64(32) | code[some + 1], follow[some + 2]
+        low = np.where(on, code[some + 2], np.uint32(0)).astype(np.uint64) << np.uint64(32)
+        low |= np.where(on & follow[some + 3], code[some + 3], np.uint32(0))
         order = np.lexsort((low, high))
         high, low = high[order], low[order]
         first = np.flatnonzero(np.append(True, (high[1:] != high[:-1]) | (low[1:] != low[:-1])))[: len(high)]
         words = np.append(np.uint64(0), every)
         parts = [half[first] >> np.uint64(32) if upper else half[first] & np.uint64(0xFFFFFFFF) for half in (high, low) for upper in (True, False)]
-        keys.clear(), follows.clear(), counted.clear()
         return [words[x] for x in parts], np.diff(np.append(first, len(high)))
 
     for block in blocks:
@@ -303,20 +302,25 @@ def subtree(messages: list[bytes], replaced: list[np.ndarray], least: int) -> tu
     Sorted suffixes are the leaves from left to right. The node of the first d words begins where
     one of them changes; its count is the total of its leaves.
     """
-    got = [unpack(m) for m in messages]
-    every = np.unique(np.concatenate([g[0] for g in got]))
-    columns = [np.concatenate([np.searchsorted(every, g[0])[g[1 + k]] for g in got]).astype(np.uint64) for k in range(DEPTH)]
-    c = np.concatenate([g[-1] for g in got]).astype(np.int64)
-    high, low = (columns[a] << np.uint64(32) | columns[a + 1] for a in (0, 2))
+    every = np.unique(np.concatenate([unpack(m)[0] for m in messages]))
+    parts = []
+    for m in messages:
+        known, *codes, c = unpack(m)
+        place = np.searchsorted(every, known).astype(np.uint64)
+        parts.append((*(place[codes[k]] << np.uint64(32) | place[codes[k + 1]] for k in (0, 2)), c))
+    high, low, c = (np.concatenate(x) for x in zip(*parts, strict=True))
+    del parts
     order = np.lexsort((low, high))
-    columns, c = [x[order] for x in columns], c[order]
-    words, counts = [], []
+    high, low, c = high[order], low[order], c[order]
+    columns = [x.astype(np.uint32) for half in (high, low) for x in (half >> np.uint64(32), half & np.uint64(0xFFFFFFFF))]
+    del high, low, order
     starts = np.append(True, columns[0][1:] != columns[0][:-1])
     prefix = every[columns[0]]
+    words, counts = [], []
     for d in range(1, DEPTH):
         starts = starts | np.append(True, columns[d][1:] != columns[d][:-1])
         first = np.flatnonzero(starts)
-        total = np.add.reduceat(c, first)
+        total = np.add.reduceat(c, first, dtype=np.int64)
         keep = (total >= least) & (every[columns[d][first]] > 0)
         first, total = first[keep], total[keep]
         prefix = longer(prefix, every[columns[d]])
