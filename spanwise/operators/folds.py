@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from .intervals import island_ids, reach
+from .intervals import island_ids, prefix, previous, reach
 from .lineage import ship
 
 Note = tuple[float, float, float, float, int]
@@ -26,14 +26,15 @@ FIELDS = ["start_sec", "end_sec", "pitch", "confidence", "note_seq"]
 ORDER = ["start_sec", "note_seq"]
 
 
-def fold_runs(notes: DataFrame, key: str, bridge: float, fold: Callable[[list[Note]], list[tuple]], columns: str) -> DataFrame:
-    """Applies `fold` to each run of notes with no silence over `bridge`; its rows get the key before them.
+def fold_runs(notes: DataFrame, key: str, bridge: float, fold: Callable[[list[Note]], list[tuple]], columns: str, width: float | None = None) -> DataFrame:
+    """Applies `fold` to each run of notes with no silence over `bridge`; its rows get the key before them. width: seconds of a key that one task takes when runs are numbered.
 
     Runs are dealt out whole and come sorted, so a task walks through its runs one after the
     other and holds one at a time; a run may go on in the next batch.
     """
-    rows = ship(notes).select(key, *FIELDS).withColumn("__reach", reach([key], ORDER))
-    rows = island_ids(rows, [key], ORDER, F.col("start_sec") > F.col("__reach") + bridge, "__run").drop("__reach")
+    bucket = None if width is None else F.floor(F.col("start_sec") / width)
+    rows = prefix(ship(notes).select(key, *FIELDS), [key], ORDER, F.col("end_sec"), "__reach", bucket=bucket)
+    rows = island_ids(rows, [key], ORDER, F.col("start_sec") > F.col("__reach") + bridge, "__run", bucket).drop("__reach")
     return fold_each(rows, key, fold, columns)
 
 
@@ -63,38 +64,49 @@ def fold_each(rows: DataFrame, key: str, fold: Callable[[list[tuple]], list[tupl
     return dealt.mapInArrow(run, schema)
 
 
-def range_bounded(limit: float) -> Callable[[list[Note]], list[tuple]]:
-    """Segments whose pitches stay within `limit`; the note that would leave the range starts the next."""
+def range_bounded(notes: DataFrame, key: str, limit: float, sure: float, gap: float, width: float = 600.0) -> DataFrame:
+    """Segments of rows of confidence `sure` or more, without a step in time over `gap`, whose pitches stay within `limit`.
 
-    def fold(notes: list[Note]) -> list[tuple]:
-        out, held = [], []
-        for note in notes:
-            pitches = [n[2] for n in [*held, note]]
-            if held and max(pitches) - min(pitches) > limit:
-                out.append(held)
-                held = []
-            held.append(note)
-        out += [held] if held else []
-        return [(s[0][4], s[0][0], max(n[1] for n in s), min(n[2] for n in s), max(n[2] for n in s), len(s)) for s in out]
+    The row that would leave the range starts the next segment. Rows that are not sure belong to none and end
+    the one before them, so runs are cut at them and at steps over `gap`. width: seconds of a key that one task takes when runs are numbered.
+    """
 
-    return fold
+    def fold(run: list[Note]) -> list[tuple]:
+        out: list[list] = []
+        for start, end, pitch, confidence, seq in run:
+            if confidence < sure:
+                continue
+            now = out[-1] if out else None
+            if now is None or max(now[4], pitch) - min(now[3], pitch) > limit:
+                out.append([seq, start, end, pitch, pitch, 1])
+            else:
+                now[2:] = end, min(now[3], pitch), max(now[4], pitch), now[5] + 1
+        return [tuple(x) for x in out]
+
+    bucket = F.floor(F.col("start_sec") / width)
+    rows = previous(ship(notes).select(key, *FIELDS), [key], ORDER, "start_sec", "__before", bucket)
+    apart = (F.col("confidence") < sure) | (F.col("start_sec") - F.col("__before") > gap)
+    rows = island_ids(rows, [key], ORDER, apart, "__run", bucket)
+    return fold_each(rows, key, fold, "first_seq long, start_sec double, end_sec double, low double, high double, n_notes int")
 
 
-def trim_weaker(least: float) -> Callable[[list[Note]], list[tuple]]:
-    """No two notes overlap: the less confident is trimmed (the earlier of equals), and goes if less than `least` is left."""
+def trim_weaker(gap: float) -> Callable[[list[Note]], list[tuple]]:
+    """Of a note and the last one kept, if they overlap, the more confident stays whole, the earlier of equals.
+
+    The other ends `gap` before it, though not before its own start, or begins `gap` after it; a note
+    whose start reaches its end goes.
+    """
 
     def fold(notes: list[Note]) -> list[tuple]:
-        kept: list[list] = []
-        for note in map(list, notes):
-            while kept and kept[-1][1] > note[0]:
-                if kept[-1][3] > note[3]:
-                    note[0] = kept[-1][1]
-                    break
-                kept[-1][1] = note[0]
-                if kept[-1][1] - kept[-1][0] >= least:
-                    break
-                kept.pop()
-            if note[1] - note[0] >= least:
+        kept = [list(notes[0])]
+        for note in map(list, notes[1:]):
+            last = kept[-1]
+            if note[0] < last[1]:
+                if note[3] > last[3]:
+                    last[1] = max(last[0], note[0] - gap)
+                else:
+                    note[0] = min(note[1], last[1] + gap)
+            if note[1] > note[0]:
                 kept.append(note)
         return [(n[4], n[0], n[1], int(n[2])) for n in kept]
 
@@ -205,75 +217,26 @@ def match_each_left(left: DataFrame, right: DataFrame, key: str, tolerance: floa
     return found.select(f"__key.{key}", "left_seq", "right_seq")
 
 
-def fix_octaves(least_gain: float) -> Callable[[list[Note]], list[tuple]]:
-    """Left to right, a note moves by one or two octaves where that brings it nearer to its neighbours by `least_gain`."""
-
-    def fold(notes: list[Note]) -> list[tuple]:
-        pitch = [n[2] for n in notes]
-        for k in range(len(pitch)):
-            near = [pitch[j] for j in (k - 1, k + 1) if 0 <= j < len(pitch)]
-            jump = lambda p: sum(abs(p - q) for q in near)  # noqa: B023, E731
-            best = min((0, -12, 12, -24, 24), key=lambda s: (jump(pitch[k] + s), abs(s), s))  # noqa: B023
-            if near and jump(pitch[k]) - jump(pitch[k] + best) >= least_gain:
-                pitch[k] += best
-        return [(n[4], int(n[2]), int(p)) for n, p in zip(notes, pitch, strict=True)]
-
-    return fold
-
-
-def bridge_merge(gap: float, step: float) -> Callable[[list[Note]], list[tuple]]:
-    """A note joins the last one over a short gap to a near pitch; the pitch becomes the mean by duration."""
-
-    def fold(notes: list[Note]) -> list[tuple]:
-        out: list[list] = []
-        for note in notes:
-            last = out[-1] if out else None
-            if last and note[0] - last[1] <= gap and abs(note[2] - last[2]) <= step:
-                a, b = last[1] - last[0], note[1] - note[0]
-                last[2] = (last[2] * a + note[2] * b) / (a + b) if a + b > 0 else last[2]
-                last[1], last[3], last[5] = max(last[1], note[1]), max(last[3], note[3]), last[5] + 1
-            else:
-                out.append([*note, 1])
-        return [(n[4], n[0], n[1], float(n[2]), n[5]) for n in out]
-
-    return fold
-
-
-def replace_weaker() -> Callable[[list[Note]], list[tuple]]:
-    """Of two notes that overlap the more confident stays whole, the earlier of equals."""
-
-    def fold(notes: list[Note]) -> list[tuple]:
-        kept: list[Note] = []
-        for note in notes:
-            while kept and kept[-1][1] > note[0] and kept[-1][3] < note[3]:
-                kept.pop()
-            if not kept or kept[-1][1] <= note[0]:
-                kept.append(note)
-        return [(n[4], n[0], n[1], int(n[2])) for n in kept]
-
-    return fold
-
+def replace_weaker(window: float) -> Callable[[list[Note]], list[tuple]]:
+    """A note that overlaps one kept by more than `window` takes the place of the first such, if it has the higher confidence, length, pitch, or goes.
 
-def absorb_short(most_sec: float, passes: int = 2) -> Callable[[list[Note]], list[tuple]]:
-    """A short note between two of one pitch makes one note with them; again until nothing changes, `passes` times at most."""
-
-    def once(notes: list[tuple]) -> list[tuple]:
-        out: list[tuple] = []
-        for note in notes:
-            if len(out) > 1 and out[-1][1] - out[-1][0] <= most_sec and out[-2][2] == note[2]:
-                first = out[-2]
-                out[-2:] = [(first[0], max(first[1], note[1]), first[2], max(first[3], note[3]), first[4])]
-            else:
-                out.append(note)
-        return out
+    Notes come by start, confidence and length; the place it takes is that in the order in which places were taken.
+    """
 
     def fold(notes: list[Note]) -> list[tuple]:
-        for _ in range(passes):
-            now = once(notes)
-            if len(now) == len(notes):
-                break
-            notes = now
-        return [(n[4], n[0], n[1], int(n[2])) for n in notes]
+        rank = lambda n: (n[3], round(n[1] - n[0], 6), n[2])
+        active: list[Note] = []
+        out: list[Note] = []
+        for note in sorted(notes, key=lambda n: (n[0], -n[3], -round(n[1] - n[0], 6), n[4])):
+            # what ends before this one begins meets none of the later ones either
+            out += [k for k in active if k[1] <= note[0]]
+            active = [k for k in active if k[1] > note[0]]
+            at = next((k for k, x in enumerate(active) if note[0] < x[1] - window and x[0] < note[1] - window), None)
+            if at is None:
+                active.append(note)
+            elif rank(note) > rank(active[at]):
+                active[at] = note
+        return [(n[4], n[0], n[1], int(n[2])) for n in out + active]
 
     return fold
 

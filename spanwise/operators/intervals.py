@@ -29,6 +29,19 @@ def prefix(df: DataFrame, keys: list[str], order: list[str], value: Column, name
     return joined.withColumn(name, both).drop("__bucket", "__value", "__own", "__carry")
 
 
+def previous(df: DataFrame, keys: list[str], order: list[str], value: str, name: str, bucket: Column) -> DataFrame:
+    """Adds `name`: `value` of the row of the key just before, null for its first.
+
+    Rows are dealt by key and bucket, a number that never falls along the order; the first row of a
+    bucket gets the last value of the bucket before, of which there is one row each.
+    """
+    rows = df.withColumn("__bucket", bucket)
+    lasts = rows.groupBy(*keys, "__bucket").agg(F.max_by(F.struct(value), F.struct(*order)).alias("__last"))
+    lasts = lasts.withColumn("__carry", F.lag("__last").over(W.partitionBy(*keys).orderBy("__bucket"))).drop("__last")
+    own = F.lag(F.struct(value)).over(W.partitionBy(*keys, "__bucket").orderBy(*order))
+    return rows.withColumn("__own", own).join(lasts, [*keys, "__bucket"]).withColumn(name, F.coalesce("__own", "__carry")[value]).drop("__bucket", "__own", "__carry")
+
+
 def _bucket(time: str, width: float | None) -> Column | None:
     return None if width is None else F.floor(F.col(time) / width)
 

@@ -36,9 +36,18 @@ def a3_match_scores(spark, sf):
     return s.select("sample_id", "n_expected", "n_predicted", "n_matched", *(r6(c).alias(c) for c in ("pitch_accuracy", "onset_mae", "mean_iou", "precision", "recall", "f1")))
 
 
-@REGISTRY.query("i5_range_bounded_segments")
+@REGISTRY.query(
+    "i5_range_bounded_segments",
+    f"""WITH RECURSIVE {NOTES}, o AS (SELECT *, row_number() OVER {BY} AS k FROM notes), r AS (
+    SELECT sample_id, k, CASE WHEN confidence >= 0.3 THEN {{'first': note_seq, 'a': start_sec, 'b': end_sec, 't': start_sec, 'lo': pitch, 'hi': pitch, 'n': 1}} END AS s FROM o WHERE k = 1
+    UNION ALL SELECT o.sample_id, o.k, CASE WHEN o.confidence < 0.3 THEN NULL
+        WHEN s IS NULL OR o.start_sec - s.t > 0.5::DOUBLE OR greatest(s.hi, o.pitch) - least(s.lo, o.pitch) > 12 THEN {{'first': o.note_seq, 'a': o.start_sec, 'b': o.end_sec, 't': o.start_sec, 'lo': o.pitch, 'hi': o.pitch, 'n': 1}}
+        ELSE {{'first': s.first, 'a': s.a, 'b': o.end_sec, 't': o.start_sec, 'lo': least(s.lo, o.pitch), 'hi': greatest(s.hi, o.pitch), 'n': s.n + 1}} END FROM r JOIN o ON o.sample_id = r.sample_id AND o.k = r.k + 1)
+  SELECT sample_id, s.first AS first_seq, round(max(s.a), 6) AS start_sec, round(arg_max(s.b, k), 6) AS end_sec, min(s.lo)::DOUBLE AS low, max(s.hi)::DOUBLE AS high, CAST(max(s.n) AS INT) AS n_notes FROM r WHERE s IS NOT NULL GROUP BY sample_id, s.first""",
+)
 def i5_range_bounded_segments(spark, sf):
-    return D.fold_runs(T.notes(spark, sf).where("voiced"), "sample_id", 0.5, D.range_bounded(12), "first_seq long, start_sec double, end_sec double, low double, high double, n_notes int")
+    s = D.range_bounded(T.notes(spark, sf), "sample_id", 12, 0.3, 0.5, width=30)
+    return s.select("sample_id", "first_seq", r6("start_sec").alias("start_sec"), r6("end_sec").alias("end_sec"), "low", "high", "n_notes")
 
 
 @REGISTRY.query(
@@ -72,9 +81,20 @@ def i13_conflict_groups(spark, sf):
     return b.select("sample_id", "note_seq", r6("start_sec").alias("start_sec"), r6("end_sec").alias("end_sec"), "pitch", "n_group")
 
 
-@REGISTRY.query("i14_trim_overlaps")
+@REGISTRY.query(
+    "i14_trim_overlaps",
+    f"""WITH RECURSIVE {NOTES}, o AS (SELECT *, row_number() OVER {BY} AS k FROM notes), r AS (
+    SELECT sample_id, k, {{'id': note_seq, 'a': start_sec, 'b': end_sec, 'p': pitch, 'c': confidence}} AS last, NULL::STRUCT(id BIGINT, a DOUBLE, b DOUBLE, p INT, c DOUBLE) AS done FROM o WHERE k = 1
+    UNION ALL SELECT sample_id, k, CASE WHEN b > a THEN {{'id': note_seq, 'a': a, 'b': b, 'p': pitch, 'c': confidence}} ELSE cut END, CASE WHEN b > a THEN cut END FROM (
+      SELECT o.*, o.end_sec AS b, CASE WHEN o.start_sec < last.b AND o.confidence <= last.c THEN least(o.end_sec, last.b + 0.005::DOUBLE) ELSE o.start_sec END AS a,
+        CASE WHEN o.start_sec < last.b AND o.confidence > last.c THEN {{'id': last.id, 'a': last.a, 'b': greatest(last.a, o.start_sec - 0.005::DOUBLE), 'p': last.p, 'c': last.c}} ELSE last END AS cut
+      FROM r JOIN o ON o.sample_id = r.sample_id AND o.k = r.k + 1)),
+  every AS (SELECT sample_id, done AS x FROM r WHERE done IS NOT NULL UNION ALL SELECT sample_id, arg_max(last, k) FROM r GROUP BY sample_id)
+  SELECT sample_id, x.id AS note_seq, round(x.a, 6) AS start_sec, round(x.b, 6) AS end_sec, x.p AS pitch FROM every""",
+)
 def i14_trim_overlaps(spark, sf):
-    return D.fold_runs(T.notes(spark, sf), "sample_id", 0.0, D.trim_weaker(0.03), "note_seq long, start_sec double, end_sec double, pitch int")
+    t = D.fold_runs(T.notes(spark, sf), "sample_id", 0.0, D.trim_weaker(0.005), "note_seq long, start_sec double, end_sec double, pitch int", width=30)
+    return t.select("sample_id", "note_seq", r6("start_sec").alias("start_sec"), r6("end_sec").alias("end_sec"), "pitch")
 
 
 @REGISTRY.query(
@@ -122,11 +142,6 @@ def c45_clean_melody(spark, sf):
     return m.select("sample_id", "note_seq", r6("start_sec").alias("start_sec"), r6("end_sec").alias("end_sec"), "pitch", "confidence")
 
 
-@REGISTRY.query("i17_octave_fix")
-def i17_octave_fix(spark, sf):
-    return D.fold_runs(T.notes(spark, sf), "sample_id", 1.0, D.fix_octaves(8), "note_seq long, before int, after int")
-
-
 @REGISTRY.query("d1_alignment")
 def d1_alignment(spark, sf):
     """Global alignment under five octave shifts, and the best of them."""
@@ -158,20 +173,17 @@ def d7_tempo_candidates(spark, sf):
     return m.select("sample_id", r6("bpm").alias("raw_bpm"), r6(F.col("bpm") * F.array_min(tries)["f"]).alias("bpm"))
 
 
-@REGISTRY.query("i12_bridge_merge")
-def i12_bridge_merge(spark, sf):
-    return D.fold_runs(T.notes(spark, sf), "sample_id", 0.12, D.bridge_merge(0.12, 2.0), "note_seq long, start_sec double, end_sec double, pitch double, n_merged int")
-
-
-@REGISTRY.query("i15_replace_weaker")
+@REGISTRY.query(
+    "i15_replace_weaker",
+    f"""WITH RECURSIVE {NOTES}, o AS (SELECT sample_id, {{'id': note_seq, 'a': start_sec, 'b': end_sec, 'p': pitch, 'c': confidence, 'd': round(end_sec - start_sec, 6)}} AS x, row_number() OVER (PARTITION BY sample_id ORDER BY start_sec, -confidence, -round(end_sec - start_sec, 6), note_seq) AS k FROM notes),
+  r AS (SELECT sample_id, k, [x] AS kept FROM o WHERE k = 1 UNION ALL
+    SELECT sample_id, k, CASE WHEN spot IS NULL OR spot = 0 THEN list_append(kept, x) ELSE list_transform(kept, lambda y, i: CASE WHEN i = spot AND (x.c, x.d, x.p) > (y.c, y.d, y.p) THEN x ELSE y END) END FROM (
+      SELECT o.sample_id, o.k, kept, x, list_position(list_transform(kept, lambda y: x.a < y.b - 0.02::DOUBLE AND y.a < x.b - 0.02::DOUBLE), TRUE) AS spot FROM r JOIN o ON o.sample_id = r.sample_id AND o.k = r.k + 1))
+  SELECT sample_id, y.id AS note_seq, round(y.a, 6) AS start_sec, round(y.b, 6) AS end_sec, y.p AS pitch FROM (SELECT sample_id, unnest(arg_max(kept, k)) AS y FROM r GROUP BY sample_id)""",
+)
 def i15_replace_weaker(spark, sf):
-    return D.fold_runs(T.notes(spark, sf), "sample_id", 0.0, D.replace_weaker(), "note_seq long, start_sec double, end_sec double, pitch int")
-
-
-@REGISTRY.query("i18_absorb_short")
-def i18_absorb_short(spark, sf):
-    """Also the chain to a fixpoint."""
-    return D.fold_runs(T.notes(spark, sf), "sample_id", 0.5, D.absorb_short(0.2), "note_seq long, start_sec double, end_sec double, pitch int")
+    t = D.fold_runs(T.notes(spark, sf), "sample_id", 0.0, D.replace_weaker(0.02), "note_seq long, start_sec double, end_sec double, pitch int", width=30)
+    return t.select("sample_id", "note_seq", r6("start_sec").alias("start_sec"), r6("end_sec").alias("end_sec"), "pitch")
 
 
 @REGISTRY.query(

@@ -77,7 +77,8 @@ def test_trimmed_notes_do_not_overlap(spark):
     df, _ = notes(spark, 150, 4)
     out = folds.fold_runs(df, "sample_id", 0.0, folds.trim_weaker(0.03), "note_seq long, start_sec double, end_sec double, pitch int").collect()
     by = {}
-    for r in sorted(out, key=lambda r: (r.sample_id, r.start_sec)):
+    # what is trimmed down to nothing takes no room
+    for r in sorted((r for r in out if r.end_sec > r.start_sec), key=lambda r: (r.sample_id, r.start_sec)):
         assert r.start_sec >= by.get(r.sample_id, 0.0) - 1e-9
         by[r.sample_id] = r.end_sec
 
@@ -94,9 +95,8 @@ def test_cheapest_path_is_the_cheapest():
 
 def test_small_folds():
     n = [(0.0, 0.5, 60.0, 0.5, 1), (0.55, 0.6, 72.0, 0.4, 2), (0.62, 1.0, 60.0, 0.6, 3), (0.9, 1.2, 65.0, 0.9, 4)]
-    assert folds.absorb_short(0.1)(n) == [(1, 0.0, 1.0, 60), (4, 0.9, 1.2, 65)]
-    assert folds.replace_weaker()(n) == [(1, 0.0, 0.5, 60), (2, 0.55, 0.6, 72), (4, 0.9, 1.2, 65)]
-    assert [x[0] for x in folds.bridge_merge(0.1, 1.0)(n)] == [1, 2, 3, 4] and folds.bridge_merge(0.2, 99.0)(n)[0][4] == 4
+    assert folds.replace_weaker(0.0)(n) == [(1, 0.0, 0.5, 60), (2, 0.55, 0.6, 72), (4, 0.9, 1.2, 65)]
+    assert folds.trim_weaker(0.005)(n)[2:] == [(3, 0.62, 0.895, 60), (4, 0.9, 1.2, 65)]
     assert [x[2] for x in folds.octave_path([(0, 1, 60.0, 0.9, 1), (1, 2, 72.0, 0.9, 2), (2, 3, 60.0, 0.9, 3)])][0] == 60
     assert [x[2] for x in folds.lattice_snap(0.5)([(0.1, 1, 60.0, 1, 1), (0.2, 1, 60.0, 1, 2)])] == [0.0, 0.5]
 
