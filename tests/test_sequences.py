@@ -73,16 +73,6 @@ def test_best_of_conflicts_by_length_confidence_and_last_winner(spark, width):
     assert got == want and any(n > 2 for _, _, n in want)
 
 
-def test_trimmed_notes_do_not_overlap(spark):
-    df, _ = notes(spark, 150, 4)
-    out = folds.fold_runs(df, "sample_id", 0.0, folds.trim_weaker(0.03), "note_seq long, start_sec double, end_sec double, pitch int").collect()
-    by = {}
-    # what is trimmed down to nothing takes no room
-    for r in sorted((r for r in out if r.end_sec > r.start_sec), key=lambda r: (r.sample_id, r.start_sec)):
-        assert r.start_sec >= by.get(r.sample_id, 0.0) - 1e-9
-        by[r.sample_id] = r.end_sec
-
-
 def test_cheapest_path_is_the_cheapest():
     r = random.Random(6)
     for _ in range(40):
