@@ -11,18 +11,30 @@ from .intervals import band_join
 from .lineage import cut
 
 
-def match_cost(delta_sec: Column, pitch_a: Column, pitch_b: Column) -> Column:
-    """Seconds apart, and 100 more for each tier of a worse pitch: same, same class, anything else."""
+def pitch_cost(pitch_a: Column, pitch_b: Column, tolerance: int = 0, octave: int = 12, any_octave: bool = False) -> Column:
+    """Semitones apart within the tolerance; 100 more for one semitone, for any octaves if they count, or for just `octave`; null for no match."""
     far = F.abs(pitch_a - pitch_b)
-    return F.abs(delta_sec) + F.when(far == 0, 0.0).when(circular_distance(pitch_a, pitch_b) == 0, 100.0).otherwise(200.0)
+    cost = F.when(far <= tolerance, far.cast("double")).when(far == 1, far + 100.0)
+    if any_octave:
+        cost = cost.when(circular_distance(pitch_a, pitch_b) <= tolerance, 100 + far * 0.01)
+    return cost.when(far == octave, far + 100.0) if octave > 0 else cost
 
 
-def match_edges(expected: DataFrame, predicted: DataFrame, keys: list[str], tolerance: float, most_cost: float = 150.0) -> DataFrame:
-    """Pairs of notes that start within the tolerance: keys, e and p (sequence numbers), cost, and both intervals."""
+def duration_iou(a: str, b: str) -> Column:
+    """Intersection over union of the intervals of the sides a and b."""
+    both = overlap(F.col(f"{a}_start_sec"), F.col(f"{a}_end_sec"), F.col(f"{b}_start_sec"), F.col(f"{b}_end_sec"))
+    return ratio_or_zero(both, F.greatest(f"{a}_end_sec", f"{b}_end_sec") - F.least(f"{a}_start_sec", f"{b}_start_sec"))
+
+
+def match_edges(expected: DataFrame, predicted: DataFrame, keys: list[str], tolerance: float, octave: int = 12, any_octave: bool = False) -> DataFrame:
+    """Pairs of notes that start within the tolerance and whose pitches may match: keys, e and p (sequence numbers), cost, and both intervals.
+
+    The cost is seconds apart, cost of the pitches and a hundredth of what the intervals do not share.
+    """
     side = lambda df, x: df.select(*keys, F.col("note_seq").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("start_sec", "end_sec", "pitch")))
     pairs = band_join(side(expected, "e"), side(predicted, "p"), keys, "e_start_sec", "p_start_sec", tolerance)
-    cost = match_cost(F.col("p_start_sec") - F.col("e_start_sec"), F.col("e_pitch"), F.col("p_pitch"))
-    return pairs.withColumn("cost", F.round(cost, 9)).where(F.col("cost") <= most_cost)
+    cost = F.abs(F.col("p_start_sec") - F.col("e_start_sec")) + pitch_cost(F.col("e_pitch"), F.col("p_pitch"), octave=octave, any_octave=any_octave) + (1 - duration_iou("e", "p")) * 0.01
+    return pairs.withColumn("cost", F.round(cost, 9)).where("cost is not null")
 
 
 def greedy_match(edges: DataFrame, keys: list[str]) -> DataFrame:
@@ -43,20 +55,32 @@ def greedy_match(edges: DataFrame, keys: list[str]) -> DataFrame:
     return left if taken is None else taken
 
 
-def match_scores(expected: DataFrame, predicted: DataFrame, matched: DataFrame, keys: list[str]) -> DataFrame:
-    """Per key: counts, precision, recall, F1, pitch accuracy, mean onset error and mean intersection over union."""
+def match_scores(expected: DataFrame, predicted: DataFrame, matched: DataFrame, keys: list[str], octave_matched: DataFrame | None = None) -> DataFrame:
+    """Per key: counts, precision, recall, F1, rates of exact, semitone and octave pitches, mean onset error and mean intersection over union.
+
+    octave_matched: a match for which octaves count, whose figures come with `octave_` before them, and how much they lift recall and F1.
+    """
+    far = F.abs(F.col("e_pitch") - F.col("p_pitch"))
+    share = lambda c: F.avg(c.cast("double"))
     counts = expected.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_expected")).join(predicted.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_predicted")), keys, "full_outer")
-    both = overlap(F.col("e_start_sec"), F.col("e_end_sec"), F.col("p_start_sec"), F.col("p_end_sec"))
-    all_of = F.greatest("e_end_sec", "p_end_sec") - F.least("e_start_sec", "p_start_sec")
     m = matched.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_matched"),
-        F.avg((F.col("e_pitch") == F.col("p_pitch")).cast("double")).alias("pitch_accuracy"),
-        F.avg(F.abs(F.col("p_start_sec") - F.col("e_start_sec"))).alias("onset_mae"),
-        F.avg(ratio_or_zero(both, all_of)).alias("mean_iou"),
-    )
-    out = counts.join(m, keys, "left").fillna(0, ["n_expected", "n_predicted", "n_matched"])
-    out = out.withColumns({"precision": ratio_or_zero(F.col("n_matched").cast("double"), F.col("n_predicted").cast("double")), "recall": ratio_or_zero(F.col("n_matched").cast("double"), F.col("n_expected").cast("double"))})
-    return out.withColumn("f1", ratio_or_zero(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
+        F.count(F.lit(1)).alias("n_matched"), share(far == 0).alias("pitch_accuracy"), share(far == 1).alias("semitone_error_rate"), share(far == 12).alias("octave_error_rate"),
+        F.avg(F.abs(F.col("p_start_sec") - F.col("e_start_sec"))).alias("onset_mae"), F.avg(duration_iou("e", "p")).alias("mean_iou"),
+    )
+    rates = ["pitch_accuracy", "semitone_error_rate", "octave_error_rate"]
+    out = counts.join(m, keys, "left").fillna(0, ["n_expected", "n_predicted", "n_matched", *rates])
+    if octave_matched is not None:
+        same = circular_distance(F.col("e_pitch"), F.col("p_pitch")) == 0
+        o = octave_matched.groupBy(*keys).agg(F.count(F.lit(1)).alias("octave_n_matched"), share(same).alias("octave_pitch_accuracy"), share(same & (far > 0)).alias("octave_octave_error_rate"), F.avg(far.cast("double")).alias("octave_mean_pitch_delta"))
+        out = out.join(o, keys, "left").fillna(0, ["octave_n_matched", "octave_pitch_accuracy", "octave_octave_error_rate"])
+    for before in ("", "octave_") if octave_matched is not None else ("",):
+        n = F.col(f"{before}n_matched").cast("double")
+        out = out.withColumns({f"{before}precision": ratio_or_zero(n, F.col("n_predicted").cast("double")), f"{before}recall": ratio_or_zero(n, F.col("n_expected").cast("double"))})
+        p, r = F.col(f"{before}precision"), F.col(f"{before}recall")
+        out = out.withColumn(f"{before}f1", ratio_or_zero(2 * p * r, p + r))
+    if octave_matched is not None:
+        out = out.withColumns({f"octave_{c}_lift": F.col(f"octave_{c}") - F.col(c) for c in ("recall", "f1")})
+    return out
 
 
 def pair_starts_with_ends(events: DataFrame, keys: list[str], order: list[str], starts: str = "on") -> DataFrame:
