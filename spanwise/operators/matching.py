@@ -83,6 +83,15 @@ def match_scores(expected: DataFrame, predicted: DataFrame, matched: DataFrame,
     return out
 
 
+def match_details(expected: DataFrame, predicted: DataFrame, matched: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys, kind (matched, unmatched_expected, unmatched_predicted), e, p, and for pairs the predicted less the expected start and pitch, and the shared part."""
+    pairs = matched.select(*keys, F.lit("matched").alias("kind"), "e", "p", (F.col("p_start_sec") - F.col("e_start_sec")).alias("onset_delta_sec"), (F.col("p_pitch") - F.col("e_pitch")).alias("pitch_delta"), duration_iou("e", "p").alias("duration_iou"))
+    for df, side in ((expected, "e"), (predicted, "p")):
+        rest = df.select(*keys, F.col("note_seq").alias(side)).join(matched.select(*keys, side), [*keys, side], "left_anti")
+        pairs = pairs.unionByName(rest.withColumn("kind", F.lit("unmatched_expected" if side == "e" else "unmatched_predicted")), allowMissingColumns=True)
+    return pairs
+
+
 def pair_starts_with_ends(events: DataFrame, keys: list[str], order: list[str], starts: str = "on") -> DataFrame:
     """Each end closes the oldest open start of its key, and an end with none open is passed over: keys, k, is_start and the other columns.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import aggregates as A
+from ..operators import folds as D
 from ..operators import intervals as I
 from ..operators import matching as M
 from ..operators import rules as R
@@ -141,12 +142,40 @@ def a33_keep_ratio(spark, sf):
     return T.notes(spark, sf).groupBy("sample_id").agg(F.count(F.lit(1)).alias("n_in"), kept.alias("n_kept"), r6(kept / F.count(F.lit(1))).alias("keep_ratio"), F.min("confidence").alias("min_confidence"), r6(F.avg("confidence")).alias("mean_confidence"), F.max("confidence").alias("max_confidence"))
 
 
-@REGISTRY.query("a35_short_note_recall", f"WITH {NOTES}, {EXPECTED}, {PREDICTED} SELECT e.sample_id, count(*) AS n_short, count(*) FILTER (EXISTS (SELECT 1 FROM predicted p WHERE p.sample_id = e.sample_id AND p.pitch = e.pitch AND abs(p.start_sec - e.start_sec) <= 0.08)) AS n_found FROM expected e WHERE end_sec - start_sec < 0.2 GROUP BY 1")
+_KEPT = {"candidate": "note_seq % 5 > 0", "selector": "note_seq % 5 > 0 AND confidence >= 0.3", "quantizer": "note_seq % 5 > 0 AND confidence >= 0.3 AND note_seq % 9 > 0"}
+_SEEN = "EXISTS (SELECT 1 FROM notes q WHERE q.sample_id = e.sample_id AND q.pitch = e.pitch AND abs(q.start_sec - e.start_sec) <= 0.1 AND ({0}) AND (q.end_sec - q.start_sec <= 0.25::DOUBLE * 1.5::DOUBLE OR greatest(0, least(e.end_sec, q.end_sec) - greatest(e.start_sec, q.start_sec)) / nullif(greatest(e.end_sec, q.end_sec) - least(e.start_sec, q.start_sec), 0) >= 0.35))"
+
+
+@REGISTRY.query(
+    "a35_short_note_recall",
+    f"""WITH RECURSIVE {NOTES}, {EXPECTED}, {PREDICTED}, es AS (SELECT * FROM expected WHERE end_sec - start_sec < 0.25), ps AS (SELECT * FROM predicted WHERE end_sec - start_sec < 0.25),
+  o AS (SELECT *, row_number() OVER (PARTITION BY sample_id, pitch ORDER BY start_sec, note_seq) AS k FROM es),
+  s AS (SELECT DISTINCT sample_id, pitch, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS e, CAST(NULL AS BIGINT) AS p, CAST([] AS BIGINT[]) AS used FROM es UNION ALL
+    SELECT sample_id, pitch, k, e, p, CASE WHEN p IS NULL THEN used ELSE list_append(used, p) END FROM (SELECT s.sample_id, s.pitch, o.k, o.note_seq AS e, any_value(s.used) AS used, arg_min(q.note_seq, {{'d': abs(q.start_sec - o.start_sec), 't': q.start_sec, 'n': q.note_seq}}) AS p
+      FROM s JOIN o ON o.sample_id = s.sample_id AND o.pitch = s.pitch AND o.k = s.k + 1 LEFT JOIN ps q ON q.sample_id = s.sample_id AND q.pitch = s.pitch AND abs(q.start_sec - o.start_sec) <= 0.08 AND NOT list_contains(s.used, q.note_seq) GROUP BY 1, 2, 3, 4)),
+  stage AS (SELECT e.sample_id, CASE WHEN m.p IS NOT NULL THEN 'matched' WHEN NOT {_SEEN.format(_KEPT["candidate"])} THEN 'candidate' WHEN NOT {_SEEN.format(_KEPT["selector"])} THEN 'selector' WHEN NOT {_SEEN.format(_KEPT["quantizer"])} THEN 'quantizer' ELSE 'export' END AS stage
+    FROM es e LEFT JOIN s m ON m.sample_id = e.sample_id AND m.e = e.note_seq)
+  SELECT g.sample_id, n_expected, coalesce(n, 0) AS n_predicted, n_matched, n_expected - n_matched AS n_missed, coalesce(n, 0) - n_matched AS n_false, round(n_matched / n_expected, 6) AS recall, round(coalesce(n_matched / n, 0), 6) AS precision, at_candidate, at_selector, at_quantizer, at_export
+  FROM (SELECT sample_id, count(*) AS n_expected, count(*) FILTER (stage = 'matched') AS n_matched, count(*) FILTER (stage = 'candidate') AS at_candidate, count(*) FILTER (stage = 'selector') AS at_selector, count(*) FILTER (stage = 'quantizer') AS at_quantizer, count(*) FILTER (stage = 'export') AS at_export FROM stage GROUP BY 1) g
+  LEFT JOIN (SELECT sample_id, count(*) AS n FROM ps GROUP BY 1) p USING (sample_id)""",
+)
 def a35_short_note_recall(spark, sf):
+    """Short notes matched one to one (J13), and for each missed one the first stage that does not have it."""
     n = T.notes(spark, sf)
-    e = T.expected(n).where(dur() < 0.2).select("sample_id", "pitch", "note_seq", F.col("start_sec").alias("t1"))
-    hit = I.band_join(e, T.predicted(n).select("sample_id", "pitch", F.col("start_sec").alias("t2")), ["sample_id", "pitch"], "t1", "t2", 0.08).select("sample_id", "note_seq").distinct().withColumn("hit", F.lit(1))
-    return e.join(hit, ["sample_id", "note_seq"], "left").groupBy("sample_id").agg(F.count(F.lit(1)).alias("n_short"), F.count("hit").alias("n_found"))
+    e, p = T.expected(n).where(dur() < 0.25), T.predicted(n).where(dur() < 0.25)
+    found = D.match_each_left(e, p, "sample_id", 0.08).select("sample_id", F.col("left_seq").alias("note_seq"), F.lit(True).alias("matched"))
+    rows = e.select("sample_id", "pitch", "note_seq", F.col("start_sec").alias("e_start_sec"), F.col("end_sec").alias("e_end_sec"))
+    of = n.select("sample_id", "pitch", F.col("start_sec").alias("q_start_sec"), F.col("end_sec").alias("q_end_sec"), *(F.expr(c).alias(f"in_{s}") for s, c in _KEPT.items()))
+    near = I.band_join(rows, of, ["sample_id", "pitch"], "e_start_sec", "q_start_sec", 0.1).where((F.col("q_end_sec") - F.col("q_start_sec") <= 0.25 * 1.5) | (M.duration_iou("e", "q") >= 0.35))
+    seen = near.groupBy("sample_id", "note_seq").agg(*(F.bool_or(f"in_{s}").alias(s) for s in _KEPT))
+    missing = lambda s: ~F.coalesce(s, F.lit(False))
+    stage = F.when(F.col("matched"), "matched").when(missing("candidate"), "candidate").when(missing("selector"), "selector").when(missing("quantizer"), "quantizer").otherwise("export")
+    staged = rows.join(found, ["sample_id", "note_seq"], "left").join(seen, ["sample_id", "note_seq"], "left").withColumn("stage", stage)
+    at = lambda s: F.count_if(F.col("stage") == s)
+    g = staged.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n_expected"), at("matched").alias("n_matched"), *(at(s).alias(f"at_{s}") for s in (*_KEPT, "export")))
+    g = g.join(p.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n_predicted")), "sample_id", "left").fillna(0, ["n_predicted"])
+    hits = F.col("n_matched")
+    return g.select("sample_id", "n_expected", "n_predicted", "n_matched", (F.col("n_expected") - hits).alias("n_missed"), (F.col("n_predicted") - hits).alias("n_false"), r6(hits / F.col("n_expected")).alias("recall"), r6(F.coalesce(F.try_divide(hits, F.col("n_predicted")), F.lit(0.0))).alias("precision"), *(f"at_{s}" for s in (*_KEPT, "export")))
 
 
 @REGISTRY.query("i6_predicate_spans", f"WITH {NOTES}, c AS (SELECT *, (confidence < 0.5) AS p, coalesce((confidence < 0.5) <> lag(confidence < 0.5) OVER {BY}, FALSE)::INT AS new FROM notes), k AS (SELECT *, sum(new) OVER {BY} AS run FROM c) SELECT sample_id, round(min(start_sec), 6) AS start_sec, round(max(end_sec), 6) AS end_sec, count(*) AS n FROM k WHERE p GROUP BY sample_id, run HAVING max(end_sec) - min(start_sec) >= 0.5")

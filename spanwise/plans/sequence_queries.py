@@ -35,12 +35,12 @@ _CLASS = f"least({_OFF} % 12, 12 - {_OFF} % 12)"
 _IOU = "CASE WHEN greatest(e.end_sec, p.end_sec) - least(e.start_sec, p.start_sec) > 0 THEN greatest(0, least(e.end_sec, p.end_sec) - greatest(e.start_sec, p.start_sec)) / (greatest(e.end_sec, p.end_sec) - least(e.start_sec, p.start_sec)) ELSE 0 END"
 
 
-def _greedy(name: str, tiers: str) -> str:
+def _greedy(name: str, tiers: str, predicted: str = "moved") -> str:
     """The greedy choice as a walk over all edges of a sample by cost."""
     return f"""{name}_edge AS (
     SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY cost, e, p) AS k FROM (
       SELECT e.sample_id, e.note_seq AS e, p.note_seq AS p, {_OFF} AS off, {_CLASS} AS class, abs(p.start_sec - e.start_sec) AS apart, {_IOU} AS iou, round(abs(p.start_sec - e.start_sec) + CASE {tiers} END + (1 - {_IOU}) * 0.01::DOUBLE, 9) AS cost
-      FROM expected e JOIN moved p ON p.sample_id = e.sample_id AND abs(p.start_sec - e.start_sec) <= 0.12) WHERE cost IS NOT NULL),
+      FROM expected e JOIN {predicted} p ON p.sample_id = e.sample_id AND abs(p.start_sec - e.start_sec) <= 0.12) WHERE cost IS NOT NULL),
   {name}_walk AS (
     SELECT sample_id, k, e, p, TRUE AS took, [e] AS es, [p] AS ps FROM {name}_edge WHERE k = 1
     UNION ALL SELECT sample_id, k, e, p, free, CASE WHEN free THEN list_append(es, e) ELSE es END, CASE WHEN free THEN list_append(ps, p) ELSE ps END
@@ -84,6 +84,45 @@ def a3_match_scores(spark, sf):
     return s.select("sample_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_expected", "n_predicted", "n_matched", "octave_n_matched")), *(r6(c).alias(c) for c in _SCORES))
 
 
+@REGISTRY.query(
+    "c7_match_details",
+    f"""WITH RECURSIVE {MOVED}, {_greedy("m", _TIERS + f" WHEN {_OFF} = 12 THEN 112::DOUBLE")}
+  SELECT m.sample_id, 'matched' AS kind, m.e AS expected_seq, m.p AS predicted_seq, round(p.start_sec - e.start_sec, 6) AS onset_delta_sec, round(abs(p.start_sec - e.start_sec), 6) AS abs_onset_delta_sec, p.pitch - e.pitch AS pitch_delta, round(iou, 6) AS duration_iou
+  FROM m JOIN expected e ON e.note_seq = m.e JOIN moved p ON p.note_seq = m.p
+  UNION ALL SELECT sample_id, 'unmatched_expected', note_seq, NULL, NULL, NULL, NULL, NULL FROM expected WHERE note_seq NOT IN (SELECT e FROM m)
+  UNION ALL SELECT sample_id, 'unmatched_predicted', NULL, note_seq, NULL, NULL, NULL, NULL FROM moved WHERE note_seq NOT IN (SELECT p FROM m)""",
+)
+def c7_match_details(spark, sf):
+    """A row for each pair, with how far apart it is, and for each note that found none."""
+    e, p = _sides(spark, sf)
+    m = M.match_details(e, p, _matched(e, p), KEY)
+    return m.select("sample_id", "kind", F.col("e").alias("expected_seq"), F.col("p").alias("predicted_seq"), r6("onset_delta_sec").alias("onset_delta_sec"), r6(F.abs("onset_delta_sec")).alias("abs_onset_delta_sec"), "pitch_delta", r6("duration_iou").alias("duration_iou"))
+
+
+@REGISTRY.query(
+    "c6_match_rates",
+    f"""WITH RECURSIVE {MOVED}, mid AS (SELECT sample_id, round((SELECT median(start_sec) FROM expected e WHERE e.sample_id = s.sample_id) - (SELECT median(start_sec) FROM moved p WHERE p.sample_id = s.sample_id), 3) AS shift FROM (SELECT DISTINCT sample_id FROM notes) s),
+  late AS (SELECT m.* REPLACE (start_sec + coalesce(shift, 0) AS start_sec, end_sec + coalesce(shift, 0) AS end_sec) FROM moved m JOIN mid USING (sample_id)),
+  {_greedy("m", _TIERS + f" WHEN {_OFF} = 12 THEN 112::DOUBLE")}, {_greedy("x", _TIERS + f" WHEN {_OFF} = 12 THEN 112::DOUBLE", "late")},
+  c AS (SELECT sample_id, shift, (SELECT count(*) FROM expected e WHERE e.sample_id = s.sample_id) AS n_expected, (SELECT count(*) FROM moved p WHERE p.sample_id = s.sample_id) AS n_predicted, (SELECT count(*) FROM m WHERE m.sample_id = s.sample_id) AS raw_matched, (SELECT count(*) FROM x WHERE x.sample_id = s.sample_id) AS shift_matched FROM mid s)
+  SELECT sample_id, coalesce(shift, 0) AS shift_sec, n_expected, n_predicted, raw_matched, shift_matched, n_expected - raw_matched AS unmatched_expected, n_predicted - raw_matched AS unmatched_predicted,
+    round(raw_matched / nullif(n_expected, 0), 6) AS raw_vs_expected, round(raw_matched / nullif(n_predicted, 0), 6) AS raw_vs_predicted, round(shift_matched / nullif(n_expected, 0), 6) AS shift_vs_expected, round(shift_matched / nullif(n_predicted, 0), 6) AS shift_vs_predicted FROM c""",
+)
+def c6_match_rates(spark, sf):
+    """Shares of notes matched as they are, and with the predicted ones moved by the difference of the median starts."""
+    e, p = _sides(spark, sf)
+    middle = lambda df, c: df.groupBy("sample_id").agg(F.median("start_sec").alias(c))
+    mid = middle(e, "a").join(middle(p, "b"), "sample_id", "full_outer").select("sample_id", F.coalesce(F.round(F.col("a") - F.col("b"), 3), F.lit(0.0)).alias("shift_sec"))
+    late = p.join(mid, "sample_id").withColumns({c: F.col(c) + F.col("shift_sec") for c in ("start_sec", "end_sec")})
+    count = lambda df, c: df.groupBy("sample_id").agg(F.count(F.lit(1)).alias(c))
+    out = mid
+    for df, c in ((e, "n_expected"), (p, "n_predicted"), (_matched(e, p), "raw_matched"), (_matched(e, late), "shift_matched")):
+        out = out.join(count(df, c), "sample_id", "left")
+    out = out.fillna(0, ["n_expected", "n_predicted", "raw_matched", "shift_matched"])
+    rate = lambda a, b: r6(F.try_divide(F.col(f"{a}_matched"), F.col(f"n_{b}"))).alias(f"{a}_vs_{b}")
+    return out.select("*", *((F.col(f"n_{s}") - F.col("raw_matched")).alias(f"unmatched_{s}") for s in ("expected", "predicted")), *(rate(a, b) for a in ("raw", "shift") for b in ("expected", "predicted")))
+
+
 @REGISTRY.query(
     "i5_range_bounded_segments",
     f"""WITH RECURSIVE {NOTES}, o AS (SELECT *, row_number() OVER {BY} AS k FROM notes), r AS (
