@@ -251,6 +251,37 @@ def octave_outliers(notes: list[Note], r: PhraseRules) -> list[Note]:
     return out
 
 
+def smooth_outliers(notes: list[Note], r: PhraseRules) -> list[Note]:
+    """Left to right, a note two to four semitones off its neighbours, which are near each other, takes the pitch of the surer one.
+
+    The note before is as this step left it, the one after as it was. Long sure notes stay, and those surer than both and no shorter.
+    """
+    out = [list(n) for n in notes]
+    for a, n, b in zip(out, out[1:], out[2:]):
+        anchor = a if (a[SURE], _length(a)) >= (b[SURE], _length(b)) else b
+        if not _near([a, n, b], r.outlier_gap) or abs(a[PITCH] - b[PITCH]) > max(1, r.same_pitch) or (_length(n) > r.outlier_longest and n[SURE] >= r.outlier_sure):
+            continue
+        firm = n[SURE] >= max(a[SURE], b[SURE]) and _length(n) >= min(_length(a), _length(b))
+        if 2 <= abs(n[PITCH] - anchor[PITCH]) <= 4 and not firm:
+            n[PITCH] = anchor[PITCH]
+    return out
+
+
+def keep_bridges(notes: DataFrame, key: str, least: float = 0.12, sure: float = 0.45, big: float = 0.5, small: float = 0.05, width: float = 600.0) -> DataFrame:
+    """The notes without the short ones, but for those without which a pause over `big`, or over `small`, would open; `bridged` tells which those are."""
+    order = ["start_sec", "end_sec", "note_seq"]
+    bucket = F.floor(F.col("start_sec") / width)
+    rows = previous(notes, [key], order, "end_sec", "__before", bucket)
+    back = [f"__{c}" for c in order]
+    rows = rows.withColumns({b: -F.col(c) for b, c in zip(back, order, strict=True)})
+    rows = previous(rows, [key], back, "start_sec", "__after", -bucket).drop(*back)
+    left, right, whole = F.col("start_sec") - F.col("__before"), F.col("__after") - F.col("end_sec"), F.col("__after") - F.col("__before")
+    opens = lambda most: (whole > most) & ((left <= most) | (right <= most))
+    short = F.round(F.col("end_sec") - F.col("start_sec"), 6) < least
+    bridge = F.coalesce((F.col("confidence") >= sure) & (left >= 0) & (right >= 0) & (whole > 0) & (opens(big) | opens(small)), F.lit(False))
+    return rows.where(~short | bridge).withColumn("bridged", short).drop("__before", "__after")
+
+
 def begun(notes: list[Note], r: PhraseRules) -> list[Note]:
     return drop_fragments(bridge(notes, r), r)
 

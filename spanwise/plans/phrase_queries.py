@@ -92,3 +92,27 @@ def i17_octave_fix(spark, sf):
 def i21_phrase_repair(spark, sf):
     """All rules of phrases, at most two passes, each for the samples that the one before has changed; with I17 and W6 as its steps."""
     return _out(P.repair_phrases(_notes(spark, sf), "sample_id", RULES))
+
+
+@REGISTRY.query(
+    "c54_bridges_and_outliers",
+    f"""WITH RECURSIVE {SUNG}, w AS (
+    SELECT *, round(e - s, 6) < 0.12 AS short, s - lag(e) OVER o AS l, lead(s) OVER o - e AS r, lead(s) OVER o - lag(e) OVER o AS x FROM sung WINDOW o AS (PARTITION BY sample_id ORDER BY k)
+  ), kept AS (
+    SELECT sample_id, note_seq, s, e, p, c, short AS bridged, row_number() OVER (PARTITION BY sample_id ORDER BY k) AS k FROM w
+    WHERE NOT short OR coalesce(c >= 0.45 AND l >= 0 AND r >= 0 AND x > 0 AND ((x > 0.5 AND (l <= 0.5 OR r <= 0.5)) OR (x > 0.05 AND (l <= 0.05 OR r <= 0.05))), FALSE)
+  ), m AS (
+    SELECT sample_id, k, note_seq, s, e, p, c, bridged FROM kept WHERE k = 1
+    UNION ALL SELECT sample_id, k, note_seq, s, e, CASE WHEN j AND abs(p - anchor) BETWEEN 2 AND 4 THEN anchor ELSE p END, c, bridged FROM (
+      SELECT n.*, CASE WHEN a.c > b.c OR (a.c = b.c AND round(a.e - a.s, 6) >= round(b.e - b.s, 6)) THEN a.p ELSE b.p END AS anchor,
+        coalesce(n.s - a.e BETWEEN 0 AND 0.08 AND b.s - n.e BETWEEN 0 AND 0.08 AND abs(a.p - b.p) <= 1 AND NOT (round(n.e - n.s, 6) > 0.25 AND n.c >= 0.58)
+          AND NOT (n.c >= greatest(a.c, b.c) AND round(n.e - n.s, 6) >= least(round(a.e - a.s, 6), round(b.e - b.s, 6))), FALSE) AS j
+      FROM m a JOIN kept n ON n.sample_id = a.sample_id AND n.k = a.k + 1 LEFT JOIN kept b ON b.sample_id = n.sample_id AND b.k = n.k + 1)
+  ) SELECT sample_id, note_seq, round(s, 6) AS start_sec, round(e, 6) AS end_sec, round(p, 6) AS pitch, bridged FROM m""",
+)
+def c54_bridges_and_outliers(spark, sf):
+    """Short notes stay where they bridge a pause, then outliers take the pitch of a neighbour."""
+    six = lambda c: r6(F.col(c)).alias(c)
+    kept = P.keep_bridges(_notes(spark, sf).select("sample_id", "note_seq", six("start_sec"), six("end_sec"), "pitch", six("confidence")), "sample_id", width=30)
+    now = P.by_phrase(kept, "sample_id", RULES.outlier_gap, lambda notes: P.smooth_outliers(notes, RULES))
+    return now.join(kept.select("sample_id", "note_seq", "bridged"), ["sample_id", "note_seq"]).select("sample_id", "note_seq", six("start_sec"), six("end_sec"), six("pitch"), "bridged")
