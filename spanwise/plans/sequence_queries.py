@@ -231,9 +231,10 @@ def c45_clean_melody(spark, sf):
 
 @REGISTRY.query("d1_alignment")
 def d1_alignment(spark, sf):
-    """Global alignment under five octave shifts, and the best of them."""
-    n = T.notes(spark, sf)
-    return L.best_shift(L.align_by_shift(T.expected(n), T.predicted(n), "sample_id", [-24, -12, 0, 12, 24]), "sample_id")
+    """Alignment under five octave shifts, and the best of them."""
+    e, p = _sides(spark, sf)
+    out = L.align_best_shift(e, p, "sample_id")
+    return out.select("sample_id", "n_expected", "n_predicted", "shift", r6("cost").alias("cost"), "pairs", *(r6(c).alias(c) for c in ("recall", "precision", "mean_pitch_delta")), "skipped_reason")
 
 
 @REGISTRY.query(

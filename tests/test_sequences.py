@@ -91,28 +91,52 @@ def test_small_folds():
     assert [x[2] for x in folds.lattice_snap(0.5)([(0.1, 1, 60.0, 1, 1), (0.2, 1, 60.0, 1, 2)])] == [0.0, 0.5]
 
 
-def naive_align(a, b):
-    d = [[(0.0, 0)] * (len(b) + 1) for _ in range(len(a) + 1)]
+def naive_align(a, b, basis, shift):
+    """Cell by cell: cost, pairs, pairs of one pitch, pitches apart; the first of a pair, a note of a and one of b left out, of equals."""
+    d = [[None] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) + 1):
         for j in range(len(b) + 1):
             tries = []
             if i and j:
-                tries.append((d[i - 1][j - 1][0] + abs(a[i - 1] - b[j - 1]), -d[i - 1][j - 1][1] - 1))
-            if i:
-                tries.append((d[i - 1][j][0] + alignment.GAP, -d[i - 1][j][1]))
-            if j:
-                tries.append((d[i][j - 1][0] + alignment.GAP, -d[i][j - 1][1]))
-            if tries:
-                c, m = min(tries)
-                d[i][j] = (c, -m)
+                (s, e, p), (t, f, q) = a[i - 1], b[j - 1]
+                far, whole = abs(p - q - shift), max(e, f) - min(s, t)
+                shared = max(0.0, min(e, f) - max(s, t)) / whole if whole > 1e-9 else 0.0
+                cost = far + min(4.0, abs(s / basis - t / basis) * 4.0) + (1.0 - shared) * 0.1
+                c, n, m, x = d[i - 1][j - 1]
+                tries.append((c + cost, n + 1, m + (far == 0), x + far))
+            for di, dj in ((1, 0), (0, 1)):
+                if i >= di and j >= dj:
+                    c, *rest = d[i - di][j - dj]
+                    tries.append((c + alignment.GAP, *rest))
+            d[i][j] = min(tries, key=lambda t: (t[0], -t[1], t[3])) if tries else (0.0, 0, 0, 0.0)
     return d[-1][-1]
 
 
-def test_alignment(spark):
+def test_alignment(spark, monkeypatch):
     r = np.random.default_rng(2)
-    for _ in range(30):
-        a, b = r.integers(40, 80, r.integers(0, 12)), r.integers(40, 80, r.integers(0, 12))
-        assert alignment.align_cost(a, b) == pytest.approx(naive_align(a.tolist(), b.tolist()))
+    sides, rows = {}, []
+    for key in range(12):
+        for side in (0, 1):
+            n = int(r.integers(0, 12)) if key < 11 else 60
+            start = np.round(r.random(n) * 20, 1)
+            own = np.stack([start, start + np.round(r.random(n), 1), r.integers(50, 53, n) + (12 * (key % 3) * side)], 1)
+            sides[key, side] = sorted(map(tuple, own.tolist()), key=lambda x: (x[0], x[2], x[1]))
+            rows += [(key, side, k, *x[:2], int(x[2])) for k, x in enumerate(own.tolist())]
+    df = spark.createDataFrame(rows, "key long, side int, note_seq long, start_sec double, end_sec double, pitch int")
+    monkeypatch.setattr(alignment, "MOST_CELLS", 3000)
+    got = {x.key: x for x in alignment.align_best_shift(df.where("side = 0"), df.where("side = 1"), "key").collect()}
+    for key in got:
+        a, b = sides[key, 0], sides[key, 1]
+        if not a or not b or key == 11:
+            assert got[key].skipped_reason == ("too_many_note_pairs" if key == 11 else "empty_note_sequence") and got[key].cost is None and got[key].pairs == 0
+            continue
+        basis = max(*(max(x[1] for x in s) - min(x[0] for x in s) for s in (a, b)), 1.0)
+        ways = {s: naive_align(a, b, basis, s) for s in alignment.SHIFTS}
+        shift = min(ways, key=lambda s: (ways[s][0], abs(s)))
+        cost, pairs, matches, apart = ways[shift]
+        assert (got[key].shift, got[key].pairs) == (shift, pairs)
+        assert got[key].cost == pytest.approx(cost / (len(a) + len(b))) and got[key].recall == pytest.approx(matches / len(a)) and got[key].mean_pitch_delta == pytest.approx(apart / pairs if pairs else 0)
+    assert len({x.shift for x in got.values()}) > 2
 
 
 def test_interval_join_equals_the_predicate(spark):
