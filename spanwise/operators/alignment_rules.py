@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .intervals import prefix
+from .lineage import cut
 
 #: Entries of a key that one task takes where an order is followed along it.
 BLOCK = 100_000
@@ -55,7 +56,7 @@ def accept_refined(original: DataFrame, refined: DataFrame, tokens: DataFrame, n
     base = tokens.groupBy(key).agg(F.count(F.lit(1)).alias("n_tokens"))
     warned = {}
     for name, entries in (("before", original), ("after", refined)):
-        w = alignment_warnings(entries, tokens, notes, key)
+        w = cut(alignment_warnings(entries, tokens, notes, key))
         # a duplicate of an unknown note is not among the warnings
         unknown = w.where("kind = 'unknown_note'").select(key, "idx", "about").distinct().withColumn("__unknown", F.lit(True))
         w = w.join(unknown, [key, "idx", "about"], "left").withColumn("__counts", ~((F.col("kind") == "duplicate_note") & F.coalesce("__unknown", F.lit(False))))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .folds import fold_runs, limit_polyphony
 from .intervals import interval_join
+from .lineage import cut
 
 
 @dataclass(frozen=True)
@@ -45,7 +46,7 @@ def arrange(segments: DataFrame, lead: DataFrame, support: DataFrame, key: str,
 
     def inside(df: DataFrame) -> DataFrame:
         found = interval_join(df.select(key, *_NOTE), spans, [key], width, "start_sec", "end_sec", "__from", "__to")
-        return found.withColumn("__key", F.struct(key, "segment_id"))
+        return cut(found.withColumn("__key", F.struct(key, "segment_id")))
 
     def limited(df: DataFrame, most: int, width: float = 60.0) -> DataFrame:
         return fold_runs(df, "__key", 0.0, limit_polyphony(most), _KEPT, width=width).select("__key", "note_seq", F.lit(True).alias("__kept"))
@@ -56,13 +57,13 @@ def arrange(segments: DataFrame, lead: DataFrame, support: DataFrame, key: str,
     second = second.join(dense, "__key").withColumn("__limit", F.when(F.col("kind") == "instrumental", rules.instrumental).when(climax, rules.climax).otherwise(rules.support)).drop("__n")
 
     leads = limited(first.where("kind <> 'instrumental'"), rules.lead)
-    first = first.join(leads, ["__key", "note_seq"], "left").withColumn("reason", F.when(F.col("kind") == "instrumental", "lead_in_instrumental").when(F.col("__kept").isNull(), "lead_limit"))
+    first = cut(first.join(leads, ["__key", "note_seq"], "left").withColumn("reason", F.when(F.col("kind") == "instrumental", "lead_in_instrumental").when(F.col("__kept").isNull(), "lead_limit")))
 
     sung = first.where("reason is null").select("__key", F.col("start_sec").alias("l_start"), F.col("end_sec").alias("l_end"), F.col("pitch").alias("l_pitch"))
     pitched = (F.col("pitch") > 0) & (F.col("l_pitch") > 0)
     clash = F.when(pitched, F.abs(F.col("pitch") - F.col("l_pitch")) <= rules.near).otherwise(F.abs(F.col("start_sec") - F.col("l_start")) <= rules.window)
     clashing = interval_join(second.select("__key", "note_seq", "start_sec", "end_sec", "pitch"), sung, ["__key"], width, "start_sec", "end_sec", "l_start", "l_end", clash).select("__key", "note_seq").distinct().withColumn("__clash", F.lit(True))
-    second = second.join(clashing, ["__key", "note_seq"], "left")
+    second = cut(second.join(clashing, ["__key", "note_seq"], "left"))
     free = second.where("__clash is null")
     kept = None
     for most in sorted({rules.support, rules.climax, rules.instrumental}):

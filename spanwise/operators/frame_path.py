@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .folds import fold_each
 from .intervals import interval_join, island_ids, prefix
 from .lattice import UNIT, cheapest_paths
+from .lineage import cut
 
 
 @dataclass(frozen=True)
@@ -102,7 +103,7 @@ def frame_path(frames: DataFrame, key: str, rules: FrameRules = FrameRules()) ->
     frames: frame_index from 0 without holes, observed (null where nothing was), confidence, voiced.
     """
     states = frame_states(frames, key, rules)
-    states = states.select(key, "frame_index", "pitches", "cost", F.col("pitches").cast("array<double>").alias("feature"))
+    states = cut(states.select(key, "frame_index", "pitches", "cost", F.col("pitches").cast("array<double>").alias("feature")))
     block = F.floor(F.col("frame_index") / rules.block)
     paths, totals = cheapest_paths(states, key, ["frame_index"], block, pitch_step(rules.jump))
     # which pitch a choice is follows from the observed one
