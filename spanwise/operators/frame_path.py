@@ -120,6 +120,37 @@ def path_segments(path: DataFrame, key: str, block: int) -> DataFrame:
     return runs.groupBy(key, "__run").agg(F.min("frame_index").alias("start_idx"), F.max("frame_index").alias("end_idx"), F.first("state").alias("pitch")).drop("__run")
 
 
+def path_statistics(path: DataFrame, frames: DataFrame, key: str, rules: FrameRules) -> DataFrame:
+    """Per key: state_changes, transition_penalty (sum of what transitions cost) and suppressed_spikes.
+
+    A spike is a run of at most one frame more than the gap, silent or surely a leap away from the path's pitch, between pitches at most a semitone
+    apart, in which some sure frame leaps away from the pitch before it. Neighbours are found by their index, so no task needs a whole key.
+    """
+    rows = cut(path.join(frames.select(key, "frame_index", "observed", "confidence"), [key, "frame_index"]))
+    before = rows.select(key, (F.col("frame_index") + 1).alias("frame_index"), F.col("state").alias("before"))
+    pairs = rows.join(before, [key, "frame_index"])
+    a, b = F.col("before"), F.col("state")
+    apart = F.abs(b - a).cast("double")
+    # the costs of `pitch_step`
+    cost = F.when(a.isNull() & b.isNull(), -0.15).when(a.isNull(), 0.45).when(b.isNull(), 0.35).when(apart == 0, -0.55).otherwise(1.05 + F.lit(0.25) * apart + F.when(apart >= rules.jump, 0.65 + F.lit(0.12) * F.least(F.lit(12.0), apart - rules.jump)).otherwise(0.0))
+    moves = pairs.groupBy(key).agg(F.count_if(~a.eqNullSafe(b)).alias("state_changes"), (F.sum(F.greatest(F.lit(0), F.round(cost * UNIT).cast("long"))) / UNIT).alias("transition_penalty"))
+
+    sure = F.col("observed").isNotNull() & (F.col("confidence") >= rules.voiced)
+    odd = rows.withColumn("__sure", sure).where(F.col("state").isNull() | (F.col("__sure") & (F.abs(F.col("observed") - F.col("state")) >= rules.jump)))
+    ahead = odd.select(key, (F.col("frame_index") + 1).alias("frame_index"), F.lit(True).alias("__goes_on"))
+    odd = island_ids(odd.join(ahead, [key, "frame_index"], "left"), [key], ["frame_index"], F.col("__goes_on").isNull(), "__run", F.floor(F.col("frame_index") / rules.block))
+    heard = F.when(F.col("__sure"), F.col("observed"))
+    runs = odd.groupBy(key, "__run").agg(F.min("frame_index").alias("__start"), F.max("frame_index").alias("__end"), F.min(heard).alias("__low"), F.max(heard).alias("__high"))
+    runs = runs.where(F.col("__end") - F.col("__start") + 1 <= max(1, rules.gap_frames + 1))
+    for name, at in (("left", F.col("__start") - 1), ("right", F.col("__end") + 1)):
+        runs = runs.withColumn("frame_index", at).join(rows.select(key, "frame_index", F.col("state").alias(f"__{name}")), [key, "frame_index"]).drop("frame_index")
+    left = F.col("__left")
+    spike = (F.abs(left - F.col("__right")) <= 1) & (F.greatest(F.abs(F.col("__low") - left), F.abs(F.col("__high") - left)) >= rules.jump)
+    spikes = runs.groupBy(key).agg(F.count_if(spike).alias("suppressed_spikes"))
+    found = rows.select(key).distinct().join(moves, key, "left").join(spikes, key, "left")
+    return found.fillna(0, ["state_changes", "suppressed_spikes"]).fillna(0.0, ["transition_penalty"])
+
+
 def merge_segments(segments: DataFrame, key: str, rules: FrameRules) -> DataFrame:
     """Segments that join the last one over a short gap: of one pitch, or near and short; the pitch of the longer stays.
 
