@@ -33,7 +33,7 @@ def fold_runs(notes: DataFrame, key: str, bridge: float, fold: Callable[[list[No
     other and holds one at a time; a run may go on in the next batch.
     """
     bucket = None if width is None else F.floor(F.col("start_sec") / width)
-    rows = prefix(ship(notes).select(key, *FIELDS), [key], ORDER, F.col("end_sec"), "__reach", bucket=bucket)
+    rows = prefix(notes.select(key, *FIELDS), [key], ORDER, F.col("end_sec"), "__reach", bucket=bucket)
     rows = island_ids(rows, [key], ORDER, F.col("start_sec") > F.col("__reach") + bridge, "__run", bucket).drop("__reach")
     return fold_each(rows, key, fold, columns)
 
@@ -60,7 +60,7 @@ def fold_each(rows: DataFrame, key: str, fold: Callable[[list[tuple]], list[tupl
             yield made(out)
         yield made([(name[0], *x) for x in fold(held)] if held else [])
 
-    dealt = rows.select(key, "__run", *fields).repartition(key, "__run").sortWithinPartitions(key, "__run", *order)
+    dealt = ship(rows).select(key, "__run", *fields).repartition(key, "__run").sortWithinPartitions(key, "__run", *order)
     return dealt.mapInArrow(run, schema)
 
 
