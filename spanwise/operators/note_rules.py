@@ -80,7 +80,7 @@ def candidate_counters(candidates: DataFrame, selected: DataFrame, key: str, ori
 
 
 def restore_lineage(notes: DataFrame, sources: DataFrame, key: str, width: float = 60.0) -> DataFrame:
-    """Adds source_seq and by ('overlap', 'id' or null): the source that overlaps a note longest, else the first of the same candidate id.
+    """Adds source_seq and found_by ('overlap', 'id' or null): the source that overlaps a note longest, else the first of the same candidate id.
 
     Both have key, note_seq, start_sec, end_sec, candidate_id. Of sources that overlap equally long the first by note_seq.
     """
@@ -91,7 +91,7 @@ def restore_lineage(notes: DataFrame, sources: DataFrame, key: str, width: float
     named = sources.where("candidate_id <> ''").groupBy(key, "candidate_id").agg(F.min("note_seq").alias("__named"))
     out = notes.join(best, [key, "note_seq"], "left").join(named, [key, "candidate_id"], "left")
     how = F.when(F.col("__best").isNotNull(), "overlap").when(F.col("__named").isNotNull(), "id")
-    return out.withColumns({"source_seq": F.coalesce("__best", "__named"), "by": how}).drop("__best", "__named")
+    return out.withColumns({"source_seq": F.coalesce("__best", "__named"), "found_by": how}).drop("__best", "__named")
 
 
 def octave_shift(expected: DataFrame, predicted: DataFrame, key: str) -> DataFrame:

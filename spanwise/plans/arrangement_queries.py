@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import arrangement as A
+from ..operators import hook as H
 from . import fixtures as T
 from .fixtures import NOTES
 from .registry import REGISTRY
@@ -55,3 +56,12 @@ def i25_arranged_notes(spark, sf):
     """The notes that stay, each once."""
     n = A.owned_once(_arranged(spark, sf), "sample_id")
     return n.select("sample_id", "source", "note_seq", F.round("start_sec", 6).alias("start_sec"), F.round("end_sec", 6).alias("end_sec"), "pitch")
+
+
+@REGISTRY.query("c30_instrumental_hook")
+def c30_instrumental_hook(spark, sf):
+    """The top line of support notes in instrumental segments."""
+    n, q = T.notes(spark, sf), F.col("note_seq")
+    segments = n.where("note_seq % 4 = 0").select("sample_id", (F.col("start_sec") - 0.4).alias("start_sec"), (F.col("end_sec") + 0.4).alias("end_sec"), F.when(q % 8 == 0, " Instrumental").otherwise("vocal").alias("state"))
+    out = H.instrumental_hook(n.where("note_seq % 4 > 0"), segments, "sample_id", width=10.0)
+    return out.withColumns({"start_sec": F.round("start_sec", 6), "end_sec": F.round("end_sec", 6)})

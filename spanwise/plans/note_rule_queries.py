@@ -77,14 +77,14 @@ def c31_candidate_counters(spark, sf):
     f"""WITH {NOTES}, note AS (SELECT *, 'c' || note_seq // 3 AS candidate_id FROM notes WHERE note_seq % 2 = 0), source AS (SELECT *, CASE WHEN note_seq % 3 > 0 THEN 'c' || note_seq // 3 WHEN note_seq % 5 = 0 THEN '' END AS candidate_id FROM notes WHERE note_seq % 4 > 0),
   best AS (SELECT n.sample_id, n.note_seq, arg_max(s.note_seq, {{'a': least(n.end_sec, s.end_sec) - greatest(n.start_sec, s.start_sec), 'b': -s.note_seq}}) AS o FROM note n JOIN source s ON s.sample_id = n.sample_id AND least(n.end_sec, s.end_sec) > greatest(n.start_sec, s.start_sec) WHERE s.note_seq <> n.note_seq GROUP BY 1, 2),
   named AS (SELECT sample_id, candidate_id, min(note_seq) AS i FROM source WHERE candidate_id <> '' GROUP BY 1, 2)
-  SELECT n.sample_id, n.note_seq, coalesce(o, i) AS source_seq, CASE WHEN o IS NOT NULL THEN 'overlap' WHEN i IS NOT NULL THEN 'id' END AS by FROM note n LEFT JOIN best b ON b.sample_id = n.sample_id AND b.note_seq = n.note_seq LEFT JOIN named d ON d.sample_id = n.sample_id AND d.candidate_id = n.candidate_id WHERE n.note_seq % 4 = 0""",
+  SELECT n.sample_id, n.note_seq, coalesce(o, i) AS source_seq, CASE WHEN o IS NOT NULL THEN 'overlap' WHEN i IS NOT NULL THEN 'id' END AS found_by FROM note n LEFT JOIN best b ON b.sample_id = n.sample_id AND b.note_seq = n.note_seq LEFT JOIN named d ON d.sample_id = n.sample_id AND d.candidate_id = n.candidate_id WHERE n.note_seq % 4 = 0""",
 )
 def c32_restore_lineage(spark, sf):
     """The source of each note by longest overlap, else by id."""
     n, q = T.notes(spark, sf), F.col("note_seq")
     name = F.concat(F.lit("c"), F.floor(q / 3).cast("string"))
     sources = n.where("note_seq % 4 > 0").withColumn("candidate_id", F.when(q % 3 > 0, name).when(q % 5 == 0, ""))
-    return R.restore_lineage(n.where("note_seq % 4 = 0").withColumn("candidate_id", name), sources, "sample_id", width=10.0).select("sample_id", "note_seq", "source_seq", "by")
+    return R.restore_lineage(n.where("note_seq % 4 = 0").withColumn("candidate_id", name), sources, "sample_id", width=10.0).select("sample_id", "note_seq", "source_seq", "found_by")
 
 
 @REGISTRY.query(
