@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import arrangement as A
 from ..operators import hook as H
+from ..operators import monophonic as M
 from . import fixtures as T
 from .fixtures import NOTES
 from .registry import REGISTRY
@@ -65,3 +66,11 @@ def c30_instrumental_hook(spark, sf):
     segments = n.where("note_seq % 4 = 0").select("sample_id", (F.col("start_sec") - 0.4).alias("start_sec"), (F.col("end_sec") + 0.4).alias("end_sec"), F.when(q % 8 == 0, " Instrumental").otherwise("vocal").alias("state"))
     out = H.instrumental_hook(n.where("note_seq % 4 > 0"), segments, "sample_id", width=10.0)
     return out.withColumns({"start_sec": F.round("start_sec", 6), "end_sec": F.round("end_sec", 6)})
+
+
+@REGISTRY.query("c35_snapped_monophonic")
+def c35_snapped_monophonic(spark, sf):
+    """Notes on a grid of sixteenths, one at a time for each pitch."""
+    n = T.notes(spark, sf).withColumn("pitch", 60 + F.col("pitch") % 4)
+    out = M.snapped_monophonic(n, "sample_id", 100.0, transpose=1, offset=-0.05, sure=0.2, lowest=61, highest=63, least=0.1, width=10.0)
+    return out.withColumns({c: F.round(c, 6) for c in ("start_sec", "end_sec", "confidence")})
