@@ -3,7 +3,7 @@
 A sequence of m non-decreasing integers below u keeps about log2(u / m) low bits of each
 packed, and the rest as a bit vector with a directory for select. A trie has, for each
 level, the children's words and the monotone pointers to them as such sequences, and
-quantised probabilities. Words of one context lie in one range; adding to them what the
+probabilities as codes of their distinct values, so none is rounded. Words of one context lie in one range; adding to them what the
 range before ended with makes the whole level monotone, so a word is found by a successor
 search relative to its context.
 """
@@ -96,17 +96,10 @@ class EliasFano:
             hi[live] = np.where(less, hi[live], mid)
 
 
-def quantise(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of 8 bits and their values: 255 by quantile, each the mean of what it stands for, and 1 exactly."""
-    book = np.ones(256)
-    if not len(values):
-        return np.zeros(0, np.uint8), book
-    edges = np.quantile(values, np.linspace(0, 1, 256)[1:-1])
-    codes = np.searchsorted(edges, values, "right").astype(np.uint8)
-    codes[values >= 1] = 255
-    many = np.bincount(codes, minlength=256)
-    book[:255] = (np.bincount(codes, values, 256) / np.maximum(1, many))[:255]
-    return codes, book
+def coded(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of as few bytes as they need, and the distinct values that they stand for."""
+    book, codes = np.unique(values, return_inverse=True)
+    return codes.astype(np.min_scalar_type(max(0, len(book) - 1))), book
 
 
 class Trie:
@@ -122,16 +115,16 @@ class Trie:
     def of(cls, words: int, back1: np.ndarray, pairs: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], triples: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Trie:
         """pairs: context, word, probability, back, sorted; triples: place of the pair, word, probability, sorted."""
         levels, codes = {}, {}
-        codes["back1"], codes["back1_book"] = quantise(back1)
+        codes["back1"], codes["back1_book"] = coded(back1)
         for name, n, (context, word) in (("2", words, pairs[:2]), ("3", len(pairs[0]), triples[:2])):
             begin = np.searchsorted(context, np.arange(n + 1))
             last = np.append(word, 0)[begin[1:] - 1] + 1
             base = np.concatenate([[0], np.cumsum(np.where(begin[1:] > begin[:-1], last, 0))])
             levels["pointers" + name] = EliasFano.of(begin)
             levels["words" + name] = EliasFano.of(base[context] + word + 1 if len(word) else np.zeros(0, np.int64))
-        codes["p2"], codes["p2_book"] = quantise(pairs[2])
-        codes["back2"], codes["back2_book"] = quantise(pairs[3])
-        codes["p3"], codes["p3_book"] = quantise(triples[2])
+        codes["p2"], codes["p2_book"] = coded(pairs[2])
+        codes["back2"], codes["back2_book"] = coded(pairs[3])
+        codes["p3"], codes["p3_book"] = coded(triples[2])
         return cls(words, levels, codes)
 
     def find(self, level: str, context: np.ndarray, word: np.ndarray) -> np.ndarray:

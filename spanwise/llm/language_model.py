@@ -8,8 +8,9 @@ with D = DISCOUNT, and b what the n-grams leave of 1. Contexts that were not see
 shorter one with weight 1. No n-gram is left out, however rare, and no word.
 
 A model of at most VOCABULARY words and NGRAMS n-grams of each order is one Elias-Fano trie,
-which the tasks get as bytes and query memory-mapped; its fractions and weights are quantised
-to 8 bits. Any larger model stays distributed, with exact fractions: blocks of texts send their
+which the tasks get as bytes and query memory-mapped. It holds the same fractions and weights, to the
+last bit, as are made of counts for any larger model, so the scores do not depend on the way. A larger
+model stays distributed: blocks of texts send their
 distinct trigrams, with counts from training, to buckets by the first word. A bucket has every
 trigram of its words, so it knows c and the number of successors of words, pairs and trigrams,
 and answers each block in the order of its question. Words that fill more than two buckets (HEAVY)
@@ -220,14 +221,12 @@ def train(docs: DataFrame, text_col: str = "text") -> LanguageModel:
 
 def make_trie(count_of: np.ndarray, pair: np.ndarray, pair_c: np.ndarray, triple: np.ndarray, triple_c: np.ndarray) -> Trie:
     """The trie from sorted keys and counts; a number's or pair's own count is that of its occurrences as a context."""
-    size = max(1, len(count_of))
-    context, word = pair >> _SHIFT, pair & (VOCABULARY - 1)
-    share = np.maximum(pair_c - DISCOUNT, 0) / count_of[context] if len(pair) else np.zeros(0)
-    back1 = np.maximum(1 - np.bincount(context, share, size), 1e-9)
-    parent = np.searchsorted(pair, triple >> _SHIFT)
-    share3 = np.maximum(triple_c - DISCOUNT, 0) / pair_c[parent] if len(triple) else np.zeros(0)
-    back2 = np.maximum(1 - np.bincount(parent, share3, len(pair)), 1e-9)
-    return Trie.of(size, back1, (context, word, share, back2), (parent, triple & (VOCABULARY - 1), share3))
+    count_of = count_of if len(count_of) else np.ones(1, np.int64)
+    context, word, parent = pair >> _SHIFT, pair & (VOCABULARY - 1), np.searchsorted(pair, triple >> _SHIFT)
+    back1 = DISCOUNT * np.bincount(context, minlength=len(count_of)) / count_of
+    back2 = DISCOUNT * np.bincount(parent, minlength=len(pair)) / pair_c
+    share, share3 = np.maximum(pair_c - DISCOUNT, 0) / count_of[context], np.maximum(triple_c - DISCOUNT, 0) / pair_c[parent]
+    return Trie.of(len(count_of), back1, (context, word, share, back2), (parent, triple & (VOCABULARY - 1), share3))
 
 
 def token_scores(words: Vocabulary, trie: Trie, n: int, v: int, tokens: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -467,15 +466,16 @@ def _assembled(heavy_counts, n: int, v: int, ends: int):
 
             c3, c2, t2, c, t1 = spread(c3), spread(c2), spread(t2), spread(c1, ends), spread(t1)
             p1 = (c + 1) / (n + v + 1)
-            p = p1.copy()
+            a, b = np.zeros(total), np.ones(total)  # of a + b * p1, in the steps of `token_scores`
             text = np.repeat(np.arange(len(length)), length)
             at = np.flatnonzero(text[1:] == text[:-1]) + 1
             at = at[c[at - 1] > 0]
-            p[at] = (np.maximum(c2[at - 1] - DISCOUNT, 0) + DISCOUNT * t1[at - 1] * p1[at]) / c[at - 1]
+            a[at], b[at] = np.maximum(c2[at - 1] - DISCOUNT, 0) / c[at - 1], DISCOUNT * t1[at - 1] / c[at - 1]
             at = np.flatnonzero(text[2:] == text[:-2]) + 2
             at = at[c2[at - 2] > 0]
-            p[at] = (np.maximum(c3[at - 2] - DISCOUNT, 0) + DISCOUNT * t2[at - 2] * p[at]) / c2[at - 2]
-            columns = [pa.array(ids, mask=~known_id), *_sums(begins, c > 0, p1, p)]
+            back = DISCOUNT * t2[at - 2] / c2[at - 2]
+            a[at], b[at] = a[at] * back + np.maximum(c3[at - 2] - DISCOUNT, 0) / c2[at - 2], b[at] * back
+            columns = [pa.array(ids, mask=~known_id), *_sums(begins, c > 0, p1, a + b * p1)]
             yield pa.RecordBatch.from_arrays(columns, names=_SCORED).filter(pa.array(query))
 
     return run

@@ -723,6 +723,21 @@ def test_lm_keeps_every_ngram(spark, docs, texts, monkeypatch):
             assert got[d] == pytest.approx(sum(math.log10(p(tuple(w[max(0, i - 2) : i + 1]))) for i in range(len(w))))
 
 
+def test_lm_scores_are_those_of_either_way(spark, monkeypatch):
+    """The trie of a small model and the exchange of a large one give the same numbers to the last bit, also with repeated, null and unknown."""
+    r = random.Random(3)
+    weights = [1 / (j + 1) for j in range(300)]
+    rows = [(k, " ".join(r.choices([f"w{j}" for j in range(300)], weights, k=r.choice([1, 2, 40, 300])))) for k in range(400)]
+    known = spark.createDataFrame(rows, "doc_id long, text string")
+    asked = known.unionByName(spark.createDataFrame([(1, "w1 w2 unseen w1 w2 w3 Unseen"), (1, None), (None, "w1"), (2, " \n"), (3, "unseen")], "doc_id long, text string"))
+    got = []
+    for most in (language_model.NGRAMS, -1):
+        monkeypatch.setattr(language_model, "NGRAMS", most)
+        model = language_model.train(known)
+        assert (model.trie is None) == (most < 0)
+        got.append(sorted(map(repr, language_model.score(asked, model).collect())))
+    assert got[0] == got[1] and len(got[0]) == 405
+
 # -- queries --------------------------------------------------------------------------------
 
 
