@@ -15,9 +15,8 @@ a larger one by what sets them apart from the pivot. Where x and y differ
 from the pivot in the sets X and Y, they differ from each other in (X or Y, not both), so a link
 asks for |X| + |Y| - 2 |X and Y| to be small. Of two documents far from the pivot, or of one far
 and one near, X and Y must therefore share an n-gram among the first few of each, in an order
-that puts what few members of the group have first. Random edits share none. Documents that are
-far from the pivot anyway, those that only share a common line with it, meet directly: distances
-of sets obey the triangle inequality, so of a pair that links both or neither lie within CLOSE.
+that puts what few members of the group have first. Random edits share none, nor do documents that
+only share a common line with the pivot, however far from it they are.
 
 Of these last candidates, each component tries its most promising one first, for ROUNDS rounds;
 those that the links found so far have brought into one component need no try, and what is left
@@ -56,8 +55,6 @@ FRAGMENTS = 8
 FREQUENT, OFTEN, TRACKED = 50_000, 64, 1 << 17
 #: Documents of one n-gram that meet directly; in larger groups, they meet by their differences from the pivot.
 SMALL = 256
-#: How much less similar than a link asks for a document may be to the pivot and still meet others by its difference.
-CLOSE = 25
 #: Rounds in which components try their best candidate alone.
 ROUNDS = 3
 #: Shingles of all pivots together, 8 bytes each, up to which they are broadcast; beyond that Spark shuffles and splits skewed keys.
@@ -211,8 +208,8 @@ def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, k: int, per
     return links
 
 
-def _by_difference(spokes: DataFrame, classes: DataFrame, rows: DataFrame, k: int, percent: int, frequent) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Links (a, b) with the pivots, pairs (a, m, b, n) of other classes that may link, and those (a, b) that are not within CLOSE.
+def _by_difference(spokes: DataFrame, classes: DataFrame, rows: DataFrame, k: int, percent: int, frequent) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) with the pivots, and pairs (a, m, b, n) of other classes that may link.
 
     `spokes` are distinct (a, m, b, n, label): a pivot a of size m, a member b of size n of its group, and b's component.
     The pairs carry the components la and lb of their classes.
@@ -250,9 +247,8 @@ def _by_difference(spokes: DataFrame, classes: DataFrame, rows: DataFrame, k: in
     room = (100 + percent) * (F.col("dx") + F.col("dy")) - (100 - percent) * sizes <= 2 * (100 + percent) * F.least(F.col("dx") - F.col("i"), F.col("dy") - F.col("j"))
     pairs = one.join(other, ["a", "gram"]).where(met & room).select(F.col("x").alias("a"), "m", F.col("y").alias("b"), "n", "la", "lb").distinct()
     links, pairs = materialize(apart.where(near).select("a", "b"), "links"), materialize(pairs, "pairs")
-    distant = materialize(apart.where(100 * (m + n - d) < (percent - CLOSE) * (m + n + d)).select("a", "b"), "distant")
     discard(*used, apart, heads_of)
-    return links, pairs, distant
+    return links, pairs
 
 
 def _mixed(met: DataFrame, label: DataFrame) -> DataFrame:
@@ -324,13 +320,10 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mixed = _mixed(met, label)
     discard(met)
 
-    apart = mixed.where((F.col("docs") > SMALL) & (F.col("class") != F.col("pivot.a"))).select(F.col("pivot.a").alias("a"), F.col("pivot.m").alias("m"), F.col("class").alias("b"), "n", "label").distinct()
-    spokes = materialize(_bounded(apart, classes), "spokes")
-    close = _may_reach(2 * (percent - CLOSE) - (100 - CLOSE)) if 2 * percent > 100 + CLOSE else F.lit(True)
-    to_pivots, by_difference, distant = _by_difference(spokes.where(close).drop("most_both"), classes, rows, k, percent, sent)
-    distant = spokes.where(~close).select("a", "b").unionByName(distant).toDF("of", "class")
-    large = mixed.where(F.col("docs") > SMALL).withColumn("of", F.col("pivot.a")).join(distant, ["of", "class"]).drop("of")
-    few = mixed.where(F.col("docs") <= SMALL).unionByName(large)
+    spokes = mixed.where((F.col("docs") > SMALL) & (F.col("class") != F.col("pivot.a"))).select(F.col("pivot.a").alias("a"), F.col("pivot.m").alias("m"), F.col("class").alias("b"), "n", "label").distinct()
+    spokes = materialize(spokes, "spokes")
+    to_pivots, by_difference = _by_difference(spokes, classes, rows, k, percent, sent)
+    few = mixed.where(F.col("docs") <= SMALL)
     one = few.where("label <> main").select("gram", F.col("class").alias("a"), F.col("n").alias("m"), F.col("place").alias("i"), F.col("label").alias("la"))
     other = few.select(F.col("gram").alias("same_gram"), "main", F.col("class").alias("b"), "n", F.col("place").alias("j"), F.col("label").alias("lb"))
     across = (F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("main")) | (F.col("a") < F.col("b"))) & _may_link(percent, "m", "i", "n", "j")

@@ -419,6 +419,21 @@ def test_jaccard_many_copies_apart(spark):
     assert got == {d: (int(n[d]), int(label[d])) for d, _ in rows}
 
 
+def test_jaccard_members_far_from_the_pivot(spark, monkeypatch):
+    """Documents that share four words and nothing else do not meet all others, though no n-gram is known as frequent; those that also have a twin find it."""
+    monkeypatch.setattr(jaccard_join, "OFTEN", 1 << 30)
+    monkeypatch.setattr(jaccard_join, "SMALL", 16)
+    tried, bounded = [], jaccard_join._bounded
+    monkeypatch.setattr(jaccard_join, "_bounded", lambda pairs, classes: tried.append(pairs.count()) or bounded(pairs, classes))
+    # of some phrases the one whose hash is the least, so that it is in all heads
+    line = min((f"a b c d{j}" for j in range(500)), key=lambda t: jaccard_join.shingle_set(language_model.wordhash.words(t.encode()), 4)[0])
+    rows = [(j, " ".join([line, *(f"w{j}x{i}" for i in range(4))])) for j in range(400)]
+    rows += [(2000 + j, " ".join([line, *(f"w{j // 2}y{i}" for i in range(9 + j % 2))])) for j in range(200)]
+    got = {x.doc_id: x.component_id for x in jaccard_join.link_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {j: j if j < 2000 else j - j % 2 for j, _ in rows}
+    assert sum(tried) < 2 * len(rows)
+
+
 def test_jaccard_odd(odd, empty):
     assert jaccard_join.link_components(empty).count() == 0
     rows = jaccard_join.link_components(odd).collect()
