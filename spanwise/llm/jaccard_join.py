@@ -215,16 +215,18 @@ def _by_difference(spokes: DataFrame, classes: DataFrame, rows: DataFrame, k: in
     The pairs carry the components la and lb of their classes.
     """
     parts, used = _parts(spokes, classes, rows, k, frequent)
-    parts = parts.dropDuplicates(["class", "fragment"])  # a class comes twice where the input repeats a row
     pivots = spokes.select(F.col("a").alias("class")).distinct()
     few = pivots.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     left = parts.join(F.broadcast(pivots) if few else pivots, "class", "left_semi").select(F.col("class").alias("a"), "fragment", F.col("part").alias("of_a"))
+    left = left.dropDuplicates(["a", "fragment"])  # a class comes twice where the input repeats a row
     # a pivot of many members has few keys, so its parts are sent to the members where they are small
     left = F.broadcast(left) if few and (left.agg(F.sum(F.size("of_a"))).first()[0] or 0) <= PIVOTS else left
     right = parts.select(F.col("class").alias("b"), "fragment", F.col("part").alias("of_b"))
-    apart = spokes.join(right, "b").join(left, ["a", "fragment"]).select(*spokes.columns, F.concat(F.array_except("of_b", "of_a"), F.array_except("of_a", "of_b")).alias("part"))
-    apart = apart.groupBy(*spokes.columns).agg(F.flatten(F.collect_list("part")).alias("apart"))
-    apart = materialize(apart.withColumn("d", F.size("apart")), "apart")
+    # the sets stay where they are, and so do their differences: only sizes and n-grams are put together
+    apart = right.join(broadcast_if_small(spokes.select("a", "b"), BROADCAST_IDS // 4), "b").join(left, ["a", "fragment"])
+    apart = materialize(apart.select("a", "b", "fragment", F.concat(F.array_except("of_b", "of_a"), F.array_except("of_a", "of_b")).alias("apart")), "apart")
+    sizes = apart.groupBy("a", "b", "fragment").agg(F.max(F.size("apart")).alias("d")).groupBy("a", "b").agg(F.sum("d").alias("d"))
+    measured = materialize(spokes.join(sizes, ["a", "b"]), "measured")
     m, n, d = (F.col(c).cast("double") for c in "mnd")
     tau = (100 - percent) / (100 + percent)  # sets link when they differ in at most tau of the sum of their sizes
     near = (100 + percent) * F.col("d") <= (100 - percent) * (F.col("m") + F.col("n"))
@@ -233,10 +235,11 @@ def _by_difference(spokes: DataFrame, classes: DataFrame, rows: DataFrame, k: in
     least = F.greatest(F.lit(1.0), F.when(near, F.greatest((d + tau * (m - n)) / 2, least)).otherwise(least))
 
     each = apart.select("a", "b", F.explode("apart").alias("gram"))
-    held = each.groupBy("a", "gram").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1")
-    seldom_first = each.join(held, ["a", "gram"]).groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("holders", "gram"))).alias("shared"))
+    held = materialize(each.groupBy("a", "gram").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1"), "held")
+    shared = each.join(broadcast_if_small(held), ["a", "gram"])
+    seldom_first = shared.groupBy("a", "b").agg(F.sort_array(F.collect_set(F.struct("holders", "gram"))).alias("shared"))
     # what only this member has comes first in the order and meets nothing
-    heads_of = apart.drop("apart").join(seldom_first, ["a", "b"]).withColumns({"near": near, "last": d - least + 1e-6, "alone": F.col("d") - F.size("shared")})
+    heads_of = measured.join(seldom_first, ["a", "b"]).withColumns({"near": near, "last": d - least + 1e-6, "alone": F.col("d") - F.size("shared")})
     heads_of = heads_of.select("a", F.col("b").alias("x"), "n", "label", "d", "near", "last", "alone", F.posexplode("shared").alias("pos", "item"))
     heads_of = heads_of.withColumn("place", F.col("alone") + F.col("pos")).where("place <= last").select("a", "x", "n", "label", "d", "near", "place", F.col("item.gram").alias("gram"))
     heads_of = materialize(heads_of, "differences")
@@ -246,8 +249,8 @@ def _by_difference(spokes: DataFrame, classes: DataFrame, rows: DataFrame, k: in
     met = (F.col("x") < F.col("y")) & (F.col("la") != F.col("lb")) & ~(F.col("near_x") & F.col("near_y")) & (100 * F.least("m", "n") >= percent * F.greatest("m", "n"))
     room = (100 + percent) * (F.col("dx") + F.col("dy")) - (100 - percent) * sizes <= 2 * (100 + percent) * F.least(F.col("dx") - F.col("i"), F.col("dy") - F.col("j"))
     pairs = one.join(other, ["a", "gram"]).where(met & room).select(F.col("x").alias("a"), "m", F.col("y").alias("b"), "n", "la", "lb").distinct()
-    links, pairs = materialize(apart.where(near).select("a", "b"), "links"), materialize(pairs, "pairs")
-    discard(*used, apart, heads_of)
+    links, pairs = materialize(measured.where(near).select("a", "b"), "links"), materialize(pairs, "pairs")
+    discard(*used, apart, measured, held, heads_of)
     return links, pairs
 
 
@@ -300,7 +303,10 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     profile = materialize(rows.mapInArrow(heads(k, percent, sent), schema), "profile")
     linkable = profile.where("id is not null and class is not null")
     classes = materialize(linkable.groupBy("class", "n").agg(F.min("id").alias("least_id"), F.first("bitmap").alias("bitmap")), "classes")
-    held = linkable.select("class", "id", "common", "head").join(classes.drop("bitmap"), "class").where("id = least_id")
+    # one document stands for each class; the others are few, and told to the heads, which do not move for this
+    others = linkable.select("class", "id").join(classes.select("class", "least_id"), "class").where("id <> least_id")
+    others = materialize(others.select(F.col("class").alias("of_class"), F.col("id").alias("other_id")).distinct(), "others")
+    held = linkable.join(broadcast_if_small(others, BROADCAST_IDS // 2), (F.col("class") == F.col("of_class")) & (F.col("id") == F.col("other_id")), "left_anti")
     held = held.select("class", "n", "common", F.posexplode("head").alias("place", "gram"))
 
     frequent = F.broadcast(spark.createDataFrame([(int(g),) for g in often["item"]], "gram long"))

@@ -434,6 +434,30 @@ def test_jaccard_members_far_from_the_pivot(spark, monkeypatch):
     assert sum(tried) < 2 * len(rows)
 
 
+def test_jaccard_sets_do_not_move_for_small_tables(spark, monkeypatch):
+    """Heads are not sent to their classes, nor sets to the members of large groups; repeated rows and copies included."""
+    monkeypatch.setattr(jaccard_join, "SMALL", 2)
+    plans, write = {}, jaccard_join.materialize
+
+    def written(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(jaccard_join, "materialize", written)
+    r = random.Random(8)
+    text = [f"w{j}" for j in range(60)]
+    rows = [(j, " ".join(f"x{r.randrange(40)}" if r.random() < 0.04 else w for w in text)) for j in range(40)]
+    rows += rows[3:6] + [(100 + j, t.upper()) for j, t in rows[:5]]
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join.link_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert got == naive_components(sorted(set(rows)), 4, 85)
+    assert "hashpartitioning(class" not in plans["met"] and "hashpartitioning(b" not in plans["apart"]
+
+
 def test_jaccard_odd(odd, empty):
     assert jaccard_join.link_components(empty).count() == 0
     rows = jaccard_join.link_components(odd).collect()
