@@ -236,7 +236,7 @@ def _by_difference(spokes: DataFrame, classes: DataFrame, rows: DataFrame, k: in
 
     each = apart.select("a", "b", F.explode("apart").alias("gram"))
     held = materialize(each.groupBy("a", "gram").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1"), "held")
-    shared = each.join(broadcast_if_small(held), ["a", "gram"])
+    shared = each.join(broadcast_if_small(held, BROADCAST_IDS // 8), ["a", "gram"])
     seldom_first = shared.groupBy("a", "b").agg(F.sort_array(F.collect_set(F.struct("holders", "gram"))).alias("shared"))
     # what only this member has comes first in the order and meets nothing
     heads_of = measured.join(seldom_first, ["a", "b"]).withColumns({"near": near, "last": d - least + 1e-6, "alone": F.col("d") - F.size("shared")})
@@ -317,6 +317,9 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # of a frequent n-gram the pivot is found by an aggregate that combines early, and sent to its rows
     pivots = F.broadcast(often_held.groupBy("gram").agg(F.count(F.lit(1)).alias("docs"), F.min(cleanest).alias("pivot")).where("docs > 1"))
     met = materialize(met.unionByName(often_held.join(pivots, "gram")).drop("common"), "met")
+    # the heads and bitmaps are not read again
+    wide, profile = profile, materialize(profile.select("id", "n", "class"), "sizes")
+    discard(wide, others)
 
     near = met.select(F.col("pivot.a").alias("a"), F.col("pivot.m").alias("m"), F.col("pivot.place").alias("i"), F.col("class").alias("b"), "n", F.col("place").alias("j"))
     tried = near.where((F.col("a") != F.col("b")) & _may_link(percent, "m", "i", "n", "j")).select("a", "m", "b", "n").distinct()
@@ -347,7 +350,6 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = classes.select("class", "least_id").join(label.select(F.col("node").alias("class"), "label"), "class", "left").withColumn("label", F.coalesce("label", "class"))
     names = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
     names = named.join(names, "label").select("class", "component_id")
-    profile = profile.select("id", "n", "class")
     found = profile.where("class is not null and id is not null").join(names, "class").select("id", F.col("n").alias("n_shingles"), "component_id")
     alone = profile.where("class is null or id is null").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
     return found.unionByName(alone).withColumnRenamed("id", id_col)
