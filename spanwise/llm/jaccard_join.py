@@ -48,7 +48,7 @@ from pyspark.sql import Window as W
 
 from . import wordhash
 from .components import connected_components
-from .scratch import BROADCAST_IDS, broadcast_if_small, discard, frequent_values, materialize, ship, table
+from .scratch import BROADCAST_IDS, Bitmap, broadcast_if_small, discard, frequent_values, materialize, ship, table
 
 FRAGMENTS = 8
 #: Frequent n-grams at most, from how many documents on, and counters of the summary that finds them.
@@ -88,8 +88,12 @@ def _needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def heads(k: int, percent: int, frequent=None, more: float = 1.0):
-    """A function for mapInArrow: (id, text) to (id, n, class, parity bitmap, frequent n-grams in 1000, the head of the set in the global order)."""
+def heads(k: int, percent: int, frequent=None, more: float = 1.0, bitmaps: bool = True):
+    """A function for mapInArrow: (id, text) to (id, n, class, parity bitmap, frequent n-grams in 1000, the head of the set in the global order).
+
+    The head comes in two columns, n-grams that are not frequent and those that are. So one pass can keep
+    the second, which are few, and another can send the first on without a table of them.
+    """
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, rank = frequent.value if frequent is not None else (np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -106,22 +110,20 @@ def heads(k: int, percent: int, frequent=None, more: float = 1.0):
                         at = np.minimum(np.searchsorted(often, items), len(often) - 1)
                         last = often[at] == items
                         seldom, common = items[~last], 1000 * int(last.sum()) // len(items)
-                        if len(seldom) < head:
-                            tail, order = items[last], np.argsort(rank[at[last]], kind="stable")
-                            chosen = np.concatenate([seldom, tail[order]])[:head]
-                        else:
-                            chosen = seldom[:head]
+                        tail, order = items[last], np.argsort(rank[at[last]], kind="stable")
+                        chosen, rest = seldom[:head], tail[order][: max(0, head - len(seldom))]
                     else:
-                        chosen = items[:head]
+                        chosen, rest = items[:head], items[:0]
                     out["id"].append(ids[first + j])
                     out["n"].append(len(items))
                     out["class"].append(class_of(items) if len(items) else None)
-                    out["bitmap"].append(parities(items))
+                    out["bitmap"].append(parities(items) if bitmaps else None)
                     out["common"].append(common)
-                    out["head"].append(chosen)
+                    out["seldom"].append(chosen)
+                    out["often"].append(rest)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(out["id"], pa.int64()), pa.array(out["n"], pa.int64()), pa.array(out["class"], pa.int64()), pa.array(out["bitmap"], pa.list_(pa.int64())), pa.array(out["common"], pa.int32()), pa.array(out["head"], pa.list_(pa.int64()))],
-                    names=["id", "n", "class", "bitmap", "common", "head"],
+                    [pa.array(out["id"], pa.int64()), pa.array(out["n"], pa.int64()), pa.array(out["class"], pa.int64()), pa.array(out["bitmap"], pa.list_(pa.int64())), pa.array(out["common"], pa.int32()), *(pa.array(out[x], pa.list_(pa.int64())) for x in ("seldom", "often"))],
+                    names=["id", "n", "class", "bitmap", "common", "seldom", "often"],
                 )
 
     return run
@@ -208,6 +210,24 @@ def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, k: int, per
     return links
 
 
+def _perhaps_of(apart: DataFrame, held: DataFrame) -> DataFrame:
+    """The rows of `apart` without most of the n-grams that `held` does not have; all of them where a bitmap of `held` would be too large."""
+    known = Bitmap.of(held, "gram")
+    if known is None:
+        return apart.select("a", "b", "apart")
+    sent = apart.sparkSession.sparkContext.broadcast(known)
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            grams = batch.column(2)
+            may = sent.value.may_hold(grams.flatten().to_numpy(zero_copy_only=False))
+            ends = np.cumsum(np.concatenate([[0], grams.value_lengths().to_numpy(zero_copy_only=False)]))
+            kept = np.concatenate([[0], np.cumsum(may)])[ends]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(kept, pa.int32()), grams.flatten().filter(pa.array(may)))], names=["a", "b", "apart"])
+
+    return apart.select("a", "b", "apart").mapInArrow(run, "a long, b long, apart array<long>")
+
+
 def _by_difference(spokes: DataFrame, classes: DataFrame, rows: DataFrame, k: int, percent: int, frequent) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) with the pivots, and pairs (a, m, b, n) of other classes that may link.
 
@@ -236,7 +256,9 @@ def _by_difference(spokes: DataFrame, classes: DataFrame, rows: DataFrame, k: in
 
     each = apart.select("a", "b", F.explode("apart").alias("gram"))
     held = materialize(each.groupBy("a", "gram").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1"), "held")
-    shared = each.join(broadcast_if_small(held, BROADCAST_IDS // 8), ["a", "gram"])
+    # most n-grams have one holder, and do not move to learn that
+    shared = _perhaps_of(apart, held).select("a", "b", F.explode("apart").alias("gram"))
+    shared = shared.join(broadcast_if_small(held, BROADCAST_IDS // 8), ["a", "gram"])
     seldom_first = shared.groupBy("a", "b").agg(F.sort_array(F.collect_set(F.struct("holders", "gram"))).alias("shared"))
     # what only this member has comes first in the order and meets nothing
     heads_of = measured.join(seldom_first, ["a", "b"]).withColumns({"near": near, "last": d - least + 1e-6, "alone": F.col("d") - F.size("shared")})
@@ -294,30 +316,35 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per row of `docs`: id, n_shingles, component_id (null for a null id)."""
     spark = docs.sparkSession
     rows = ship(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    schema = "id long, n long, class long, bitmap array<long>, common int, head array<long>"
+    schema = "id long, n long, class long, bitmap array<long>, common int, seldom array<long>, often array<long>"
     # 1.3 times the head, as the heads get longer where frequent n-grams leave them
-    grams = rows.mapInArrow(heads(k, percent, more=1.3), schema).select(F.explode("head").alias("gram"))
+    grams = rows.mapInArrow(heads(k, percent, more=1.3, bitmaps=False), schema).select(F.explode("seldom").alias("gram"))
     often = frequent_values(grams, "gram", FREQUENT, TRACKED).where(F.col("count") >= OFTEN).toPandas().sort_values("item")
     sent = spark.sparkContext.broadcast((often["item"].to_numpy(np.int64), often["count"].to_numpy(np.int64)))
 
-    profile = materialize(rows.mapInArrow(heads(k, percent, sent), schema), "profile")
+    # n-grams that are not frequent are made again where they are shuffled, as a table of them would take as much disk beside that
+    profile = rows.mapInArrow(heads(k, percent, sent), schema)
+    profile = materialize(profile.withColumn("after", F.size("seldom")).drop("seldom"), "profile")
     linkable = profile.where("id is not null and class is not null")
     classes = materialize(linkable.groupBy("class", "n").agg(F.min("id").alias("least_id"), F.first("bitmap").alias("bitmap")), "classes")
     # one document stands for each class; the others are few, and told to the heads, which do not move for this
     others = linkable.select("class", "id").join(classes.select("class", "least_id"), "class").where("id <> least_id")
     others = materialize(others.select(F.col("class").alias("of_class"), F.col("id").alias("other_id")).distinct(), "others")
-    held = linkable.join(broadcast_if_small(others, BROADCAST_IDS // 2), (F.col("class") == F.col("of_class")) & (F.col("id") == F.col("other_id")), "left_anti")
-    held = held.select("class", "n", "common", F.posexplode("head").alias("place", "gram"))
+    told = broadcast_if_small(others, BROADCAST_IDS // 2)
+
+    def held(found: DataFrame, head: str, after: Column) -> DataFrame:
+        kept = found.where("id is not null and class is not null").join(told, (F.col("class") == F.col("of_class")) & (F.col("id") == F.col("other_id")), "left_anti")
+        return kept.select("class", "n", "common", F.posexplode(head).alias("place", "gram"), after.alias("after")).select("class", "n", "common", (F.col("place") + F.col("after")).alias("place"), "gram")
 
-    frequent = F.broadcast(spark.createDataFrame([(int(g),) for g in often["item"]], "gram long"))
-    seldom, often_held = held.join(frequent, "gram", "left_anti"), held.join(frequent, "gram", "left_semi")
     of_gram = W.partitionBy("gram")
     cleanest = F.struct((-F.col("common")).alias("rare"), "place", F.col("class").alias("a"), F.col("n").alias("m"))
-    met = seldom.withColumn("docs", F.count(F.lit(1)).over(of_gram)).withColumn("pivot", F.min(cleanest).over(of_gram)).where("docs > 1")
+    seldom_held = held(rows.mapInArrow(heads(k, percent, sent, bitmaps=False), schema), "seldom", F.lit(0))
+    met = seldom_held.withColumn("docs", F.count(F.lit(1)).over(of_gram)).withColumn("pivot", F.min(cleanest).over(of_gram)).where("docs > 1")
     # of a frequent n-gram the pivot is found by an aggregate that combines early, and sent to its rows
+    often_held = held(profile, "often", F.col("after"))
     pivots = F.broadcast(often_held.groupBy("gram").agg(F.count(F.lit(1)).alias("docs"), F.min(cleanest).alias("pivot")).where("docs > 1"))
     met = materialize(met.unionByName(often_held.join(pivots, "gram")).drop("common"), "met")
-    # the heads and bitmaps are not read again
+    # the frequent n-grams and bitmaps are not read again
     wide, profile = profile, materialize(profile.select("id", "n", "class"), "sizes")
     discard(wide, others)
 

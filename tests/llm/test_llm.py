@@ -5,13 +5,14 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanwise.llm import catalog, components, decontaminate, elias_fano, exact_dedup, jaccard_join, language_id, language_model, license_scan, packing, pii_surrogates, substring_dedup, url_filter, wordhash
+from spanwise.llm import catalog, components, decontaminate, elias_fano, exact_dedup, jaccard_join, language_id, language_model, license_scan, packing, pii_surrogates, scratch, substring_dedup, url_filter, wordhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = "lorem ipsum dolor sit amet. " * 20_000
@@ -458,6 +459,42 @@ def test_jaccard_sets_do_not_move_for_small_tables(spark, monkeypatch):
     assert "hashpartitioning(class" not in plans["met"] and "hashpartitioning(b" not in plans["apart"]
 
 
+def test_jaccard_heads_are_shuffled_without_a_table_of_them(spark, monkeypatch):
+    """The table of all documents holds no n-grams but frequent ones; all still meet."""
+    monkeypatch.setattr(jaccard_join, "OFTEN", 30)
+    tables, write = {}, jaccard_join.materialize
+    monkeypatch.setattr(jaccard_join, "materialize", lambda df, name: tables.setdefault(name, []).append(df.columns) or write(df, name))
+    r = random.Random(3)
+    line = "a b c d e f"
+    rows = [(j, " ".join([line, *(f"w{j // 2}x{i}" for i in range(40)), f"y{j}"])) for j in range(80)]
+    rows += [(100 + j, line) for j in range(3)] + [(200, " ".join(f"z{r.random()}" for _ in range(30)))]
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join.link_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == naive_components(rows, 4, 85)
+    assert tables["profile"] == [["id", "n", "class", "bitmap", "common", "often", "after"]]
+
+
+def test_jaccard_differences_of_one_holder_do_not_move(spark, monkeypatch):
+    rows = [(1, 10, list(range(5000))), (1, 11, []), (1, 12, [-7, 3]), (2, 13, [2**62, -(2**62), 9])]
+    apart = spark.createDataFrame(rows, "a long, b long, apart array<long>").coalesce(1)
+    held = spark.createDataFrame([(1, 3), (1, -7), (2, 2**62)], "a long, gram long")
+    got = {x.b: x.apart for x in jaccard_join._perhaps_of(apart, held).collect()}
+    assert set(got) == {10, 11, 12, 13} and 3 in got[10] and got[12] == [-7, 3] and 2**62 in got[13]
+    assert len(got[10]) < 100 and got[11] == [] and set(got[13]) <= set(rows[3][2])
+    assert sum(map(len, (x.apart for x in jaccard_join._perhaps_of(apart, held.limit(0)).collect()))) == 0
+    monkeypatch.setattr(jaccard_join.Bitmap, "of", classmethod(lambda cls, df, column: None))
+    assert {x.b: x.apart for x in jaccard_join._perhaps_of(apart, held).collect()} == {b: grams for _, b, grams in rows}
+
+
+def test_tables_leave_no_shuffle_files(spark):
+    local = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {f for d in local for f in Path(d).rglob("shuffle_*")}
+    grouped = spark.range(5000).groupBy((F.col("id") % 700).alias("k")).count()
+    before, setting = files(), spark.conf.get(scratch.CLEANUP, "false")
+    counts = scratch.materialize(grouped, "counts")
+    assert files() <= before and spark.conf.get(scratch.CLEANUP, "false") == setting
+    assert counts.count() == grouped.count() == 700
+
+
 def test_jaccard_odd(odd, empty):
     assert jaccard_join.link_components(empty).count() == 0
     rows = jaccard_join.link_components(odd).collect()
