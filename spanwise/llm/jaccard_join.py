@@ -25,8 +25,9 @@ after the rounds is tried all at once. So no link between components is missed.
 A candidate must also pass the bound that parity bitmaps give: sets whose bitmaps differ in d
 bits differ in d shingles at least. That, too, rejects no pair that links.
 
-Frequent n-grams (at most FREQUENT, found by a Misra-Gries summary of the n-grams at the head
-of all documents) only change the order, which any two documents share: they cost no link.
+Frequent n-grams (those that OFTEN documents or more have at their head, counted exactly, and the
+FREQUENT most frequent of them if there are more) only change the order, which any two documents
+share: they cost no link. OFTEN does not grow with the input, or the groups would.
 
 Results for odd input. Null or empty texts and texts without words have no shingle and link
 with nothing. A text of fewer words than a shingle is one shingle as a whole. Rows with a
@@ -48,11 +49,11 @@ from pyspark.sql import Window as W
 
 from . import wordhash
 from .components import connected_components
-from .scratch import BROADCAST_IDS, Bitmap, broadcast_if_small, discard, frequent_values, materialize, ship, table
+from .scratch import BROADCAST_IDS, Bitmap, broadcast_if_small, discard, materialize, ship, table
 
 FRAGMENTS = 8
-#: Frequent n-grams at most, from how many documents on, and counters of the summary that finds them.
-FREQUENT, OFTEN, TRACKED = 50_000, 64, 1 << 17
+#: Frequent n-grams at most, 16 bytes each, and from how many documents on.
+FREQUENT, OFTEN = 1 << 19, 64
 #: Documents of one n-gram that meet directly; in larger groups, they meet by their differences from the pivot.
 SMALL = 256
 #: Rounds in which components try their best candidate alone.
@@ -312,6 +313,23 @@ def _best_first(pairs: DataFrame, classes: DataFrame, rows: DataFrame, k: int, p
     return [*found, _verified(pairs.select("a", "m", "b", "n"), classes, rows, k, percent, frequent)]
 
 
+def frequent_grams(grams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams that stand in at least OFTEN rows, sorted, and how often; the most frequent of them if they are over FREQUENT."""
+    counted = materialize(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") >= OFTEN), "frequent")
+    # how many n-grams have each count: from the highest down as many counts as fit
+    least, kept = OFTEN, 0
+    for rows, n in counted.groupBy("rows").agg(F.count(F.lit(1))).orderBy(F.desc("rows")).collect():
+        kept += n
+        if kept > FREQUENT:
+            least = rows + 1
+            break
+    found = counted.where(F.col("rows") >= least).toArrow()
+    discard(counted)
+    items, counts = (found.column(c).to_numpy().astype(np.int64) for c in ("gram", "rows"))
+    order = np.argsort(items)
+    return items[order], counts[order]
+
+
 def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
     """One row per row of `docs`: id, n_shingles, component_id (null for a null id)."""
     spark = docs.sparkSession
@@ -319,8 +337,8 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     schema = "id long, n long, class long, bitmap array<long>, common int, seldom array<long>, often array<long>"
     # 1.3 times the head, as the heads get longer where frequent n-grams leave them
     grams = rows.mapInArrow(heads(k, percent, more=1.3, bitmaps=False), schema).select(F.explode("seldom").alias("gram"))
-    often = frequent_values(grams, "gram", FREQUENT, TRACKED).where(F.col("count") >= OFTEN).toPandas().sort_values("item")
-    sent = spark.sparkContext.broadcast((often["item"].to_numpy(np.int64), often["count"].to_numpy(np.int64)))
+    often = frequent_grams(grams)
+    sent = spark.sparkContext.broadcast(often)
 
     # n-grams that are not frequent are made again where they are shuffled, as a table of them would take as much disk beside that
     profile = rows.mapInArrow(heads(k, percent, sent), schema)
@@ -342,7 +360,8 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     met = seldom_held.withColumn("docs", F.count(F.lit(1)).over(of_gram)).withColumn("pivot", F.min(cleanest).over(of_gram)).where("docs > 1")
     # of a frequent n-gram the pivot is found by an aggregate that combines early, and sent to its rows
     often_held = held(profile, "often", F.col("after"))
-    pivots = F.broadcast(often_held.groupBy("gram").agg(F.count(F.lit(1)).alias("docs"), F.min(cleanest).alias("pivot")).where("docs > 1"))
+    pivots = often_held.groupBy("gram").agg(F.count(F.lit(1)).alias("docs"), F.min(cleanest).alias("pivot")).where("docs > 1")
+    pivots = F.broadcast(pivots) if len(often[0]) <= BROADCAST_IDS // 8 else pivots
     met = materialize(met.unionByName(often_held.join(pivots, "gram")).drop("common"), "met")
     # the frequent n-grams and bitmaps are not read again
     wide, profile = profile, materialize(profile.select("id", "n", "class"), "sizes")

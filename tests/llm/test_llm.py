@@ -435,6 +435,20 @@ def test_jaccard_members_far_from_the_pivot(spark, monkeypatch):
     assert sum(tried) < 2 * len(rows)
 
 
+def test_jaccard_frequent_ngrams_do_not_depend_on_the_size(spark, monkeypatch):
+    """All n-grams of OFTEN rows are found among many others, with their counts, whatever share of the rows they have; beyond FREQUENT the most frequent."""
+    monkeypatch.setattr(jaccard_join, "OFTEN", 5)
+    rows = spark.range(0, 4_000_000, 1, 8).select((F.col("id") * 7919 + 100_000).alias("gram"))
+    grams = rows.union(spark.range(30_000).select((F.col("id") % 5_000).alias("gram"))).union(spark.range(400).select((F.col("id") % 100).alias("gram")))
+    items, counts = jaccard_join.frequent_grams(grams)
+    assert items.tolist() == list(range(5_000)) and set(counts[:100]) == {10} and set(counts[100:]) == {6}
+    monkeypatch.setattr(jaccard_join, "FREQUENT", 100)
+    assert jaccard_join.frequent_grams(grams)[0].tolist() == list(range(100))
+    monkeypatch.setattr(jaccard_join, "FREQUENT", 99)
+    assert len(jaccard_join.frequent_grams(grams)[0]) == 0
+    assert len(jaccard_join.frequent_grams(grams.limit(0))[0]) == 0
+
+
 def test_jaccard_sets_do_not_move_for_small_tables(spark, monkeypatch):
     """Heads are not sent to their classes, nor sets to the members of large groups; repeated rows and copies included."""
     monkeypatch.setattr(jaccard_join, "SMALL", 2)
