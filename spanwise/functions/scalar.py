@@ -108,3 +108,8 @@ def slug(text: Column) -> Column:
     """Lower-case words joined by dashes; a hash where nothing is left."""
     words = F.regexp_replace(F.regexp_replace(F.lower(text), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
     return F.when(words != "", words).otherwise(F.substr(F.sha1(text), F.lit(1), F.lit(12)))
+
+
+def round_scaled(x: Column, digits: int = 6) -> Column:
+    """Scaled before it is rounded, as DuckDB does: a value a digit below a half may become one by that."""
+    return F.round(x * 10.0**digits) / 10.0**digits

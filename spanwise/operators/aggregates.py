@@ -79,3 +79,22 @@ def continuity(df: DataFrame, keys: list[str], order: list[str], gap_sec: float,
     )
     share = lambda a, b: F.round(ratio_or_zero(F.col(a).cast("double"), F.col(b).cast("double")), 6)
     return out.withColumns({"gap_ratio": share("n_gaps", "n_pairs"), "short_ratio": share("n_short", "n_notes"), "jump_ratio": share("n_jumps", "n_pairs")})
+
+
+def sums_in_order(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column], *others: Column) -> DataFrame:
+    """The sums of each key, formed row by row along `order`, and the aggregates `others`. Nulls add nothing.
+
+    A sum of fractions depends on its order in the last digit, which decides where a mean lies just at a threshold or
+    between two rounded values. The sums are those of a window, which Spark spills; no key is gathered in memory.
+    """
+    so_far = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = df.withColumns({f"__sum_{name}": F.sum(c).over(so_far) for name, c in sums.items()})
+    return rows.groupBy(*keys).agg(*(F.max_by(f"__sum_{name}", F.struct(*order)).alias(name) for name in sums), *others)
+
+
+def means_in_order(df: DataFrame, keys: list[str], order: list[str], means: dict[str, Column], *others: Column) -> DataFrame:
+    """The means of each key, by `sums_in_order`, and the aggregates `others`."""
+    rows = df.withColumns({f"__of_{name}": c for name, c in means.items()})
+    counts = [F.count(f"__of_{name}").alias(f"__n_{name}") for name in means]
+    found = sums_in_order(rows, keys, order, {name: F.col(f"__of_{name}") for name in means}, *counts, *others)
+    return found.withColumns({name: F.try_divide(name, f"__n_{name}") for name in means}).drop(*(f"__n_{name}" for name in means))

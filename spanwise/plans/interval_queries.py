@@ -173,9 +173,11 @@ def w13_pair_diagnostics(spark, sf):
   SELECT sample_id, min(measure) AS first_measure, max(measure) AS last_measure, count(*) AS n_measures, round(avg(c), 6) AS confidence FROM g GROUP BY sample_id, run""",
 )
 def w14_low_confidence_regions(spark, sf):
-    m = T.notes(spark, sf).groupBy("sample_id", F.floor(F.col("start_sec") / 2).alias("measure")).agg(F.avg("confidence").alias("c")).where("c < 0.45")
+    n = T.notes(spark, sf).withColumn("measure", F.floor(F.col("start_sec") / 2))
+    m = A.means_in_order(n, ["sample_id", "measure"], ["note_seq"], {"c": F.col("confidence")}).where("c < 0.45")
     g = I.island_ids(m, KEY, ["measure"], F.col("measure") - F.lag("measure").over(W.partitionBy("sample_id").orderBy("measure")) > 1)
-    return g.groupBy("sample_id", "island").agg(F.min("measure").alias("first_measure"), F.max("measure").alias("last_measure"), F.count(F.lit(1)).alias("n_measures"), r6(F.avg("c")).alias("confidence")).drop("island")
+    g = A.means_in_order(g, ["sample_id", "island"], ["measure"], {"confidence": F.col("c")}, F.min("measure").alias("first_measure"), F.max("measure").alias("last_measure"), F.count(F.lit(1)).alias("n_measures"))
+    return g.select("sample_id", "first_measure", "last_measure", "n_measures", S.round_scaled(F.col("confidence")).alias("confidence"))
 
 
 @REGISTRY.query(
