@@ -91,7 +91,8 @@ def c22_issue_detection(spark, sf):
 @REGISTRY.query("c25_measure_issues", f"WITH {NOTES}, m AS (SELECT sample_id, CAST(floor(start_sec / 2) AS BIGINT) AS measure, count(*) AS n, count(*) FILTER (end_sec - start_sec < 0.12) AS n_short, avg(confidence) AS c FROM notes GROUP BY 1, 2) SELECT sample_id, measure, n, n >= 5 AND n_short >= 2 AS dense_short, c < 0.4 AS weak FROM m WHERE (n >= 5 AND n_short >= 2) OR c < 0.4")
 def c25_measure_issues(spark, sf):
     """Measures of two seconds, located by arithmetic (C60), with many short notes or little confidence."""
-    m = T.notes(spark, sf).groupBy("sample_id", F.floor(F.col("start_sec") / 2).alias("measure")).agg(F.count(F.lit(1)).alias("n"), F.count_if(dur() < 0.12).alias("k"), F.avg("confidence").alias("c"))
+    n = T.notes(spark, sf).withColumn("measure", F.floor(F.col("start_sec") / 2))
+    m = A.means_in_order(n, ["sample_id", "measure"], ["note_seq"], {"c": F.col("confidence")}, F.count(F.lit(1)).alias("n"), F.count_if(dur() < 0.12).alias("k"))
     return m.select("sample_id", "measure", "n", ((F.col("n") >= 5) & (F.col("k") >= 2)).alias("dense_short"), (F.col("c") < 0.4).alias("weak")).where("dense_short or weak")
 
 
