@@ -242,7 +242,8 @@ def c66_rhythm_diagnosis(spark, sf):
     """The diagnosis and flags of each sample from six measures of its rhythm."""
     n, conf = T.notes(spark, sf), F.col("confidence")
     off = F.abs(F.col("start_sec") - S.snap(F.col("start_sec"), 0.5)) > 0.15
-    m = n.groupBy("sample_id").agg(F.avg(conf).alias("tempo"), F.avg(F.when(F.col("note_seq") % 4 == 0, conf)).alias("down"), F.avg(F.when(F.col("note_seq") % 3 == 0, conf)).alias("bar"), F.avg(off.cast("int")).alias("off"), F.least(F.lit(1.0), F.min("start_sec") / 2).alias("pickup"), F.avg(F.col("voiced").cast("int")).alias("rubato"))
+    means = {"tempo": conf, "down": F.when(F.col("note_seq") % 4 == 0, conf), "bar": F.when(F.col("note_seq") % 3 == 0, conf)}
+    m = A.means_in_order(n, KEY, ["note_seq"], means, F.avg(off.cast("int")).alias("off"), F.least(F.lit(1.0), F.min("start_sec") / 2).alias("pickup"), F.avg(F.col("voiced").cast("int")).alias("rubato"))
     diagnosis, flags = R.rhythm_issues(*map(F.col, ("tempo", "down", "bar", "off", "pickup", "rubato")))
     return m.select("sample_id", diagnosis.alias("diagnosis"), F.array_join(flags, ",").alias("flags"))
 
