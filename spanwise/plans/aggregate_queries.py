@@ -66,9 +66,10 @@ GATES = [("first_onset", "<=", 1.0), ("voiced_ratio", ">=", 0.75), ("confidence"
 )
 def f10_threshold_gate(spark, sf):
     """Check rows from thresholds, and the status of the whole."""
-    m = T.notes(spark, sf).groupBy("sample_id").agg(F.min("start_sec").alias("first_onset"), F.avg(F.col("voiced").cast("int")).alias("voiced_ratio"), F.avg("confidence").alias("confidence"), F.count(F.lit(1)).cast("double").alias("n_notes"))
+    others = F.min("start_sec").alias("first_onset"), F.avg(F.col("voiced").cast("int")).alias("voiced_ratio"), F.count(F.lit(1)).cast("double").alias("n_notes")
+    m = A.means_in_order(T.notes(spark, sf), KEY, ["note_seq"], {"confidence": F.col("confidence")}, *others)
     c = R.gate(m, KEY, GATES)
-    return c.select("sample_id", "metric", r6("value").alias("value"), "threshold", "passed", F.bool_and("passed").over(W.partitionBy("sample_id")).alias("all_passed"))
+    return c.select("sample_id", "metric", S.round_scaled(F.col("value")).alias("value"), "threshold", "passed", F.bool_and("passed").over(W.partitionBy("sample_id")).alias("all_passed"))
 
 
 @REGISTRY.query("f12_failure_modes", f"WITH {NOTES}, {METRICS_SQL} SELECT sample_id, array_to_string(list_filter([CASE WHEN first_onset > 1 THEN 'late_start' END, CASE WHEN voiced_ratio < 0.75 THEN 'unvoiced' END, CASE WHEN confidence < 0.45 THEN 'weak' END], lambda x: x IS NOT NULL), ',') AS modes, CASE WHEN first_onset > 1 THEN 'start' WHEN voiced_ratio < 0.75 THEN 'voice' ELSE 'none' END AS stage, round(least(0.45, n_notes / 150 * 0.85), 6) AS threshold FROM m")

@@ -30,8 +30,8 @@ def test_sums_follow_the_order_of_rows(spark):
 
 def test_rounded_after_scaling(spark):
     # one unit of the last place below a half of the last digit
-    row = spark.range(1).select(round_scaled(F.lit()).alias("a"), round_scaled(F.lit(-1.25), 1).alias("b"), round_scaled(F.lit(None).cast("double")).alias("c")).first()
-    assert (row.a, row.b, row.c) == (, -1.3, None)
+    row = spark.range(1).select(round_scaled(F.lit(0.5242964999999999)).alias("a"), round_scaled(F.lit(-1.25), 1).alias("b"), round_scaled(F.lit(None).cast("double")).alias("c")).first()
+    assert (row.a, row.b, row.c) == (0.524297, -1.3, None)
 
 
 def test_gates_do_not_depend_on_partitions(spark, tmp_path):
